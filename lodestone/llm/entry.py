@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .bpe import op7_bpe_encode_decode
 from .secret_scan import op10_secret_scan
+from .simhash import op5_simhash_groups
+from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op7_bpe_encode_decode, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_simhash_groups, op7_bpe_encode_decode, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
