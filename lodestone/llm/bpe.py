@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from .common import ship, table, texts
 
 #: Fixed value: the public byte-level pre-tokenization pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Below this code point all classes of the pattern are written out, for the faster engine.
+PLAIN_BELOW = 0x250
 SCAN_MOST = 128
 CACHE_MOST = 200_000
 NEVER = 1 << 60
@@ -44,6 +47,33 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+def plain_pattern() -> re.Pattern:
+    """The same pattern with the letters, numbers and blanks below ``PLAIN_BELOW`` spelt out."""
+    members = {"L": "", "N": "", "Z": ""}
+    for c in map(chr, range(PLAIN_BELOW)):
+        kind = "Z" if regex.match(r"\s", c) else "L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else None
+        if kind:
+            members[kind] += re.escape(c)
+    letters, numbers, blanks = members["L"], members["N"], members["Z"]
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
+class Pieces(dict):
+    """Packed ids by piece; a long piece is not kept."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_MOST:
+            self.clear()
+        found = np.asarray(self.merge(piece.encode()), "<i4").tobytes()
+        if len(piece) <= SCAN_MOST:
+            self[piece] = found
+        return found
+
+
 class Tokenizer:
     """A byte-level BPE vocabulary as read from a ``tokenizers`` file."""
 
@@ -64,8 +94,9 @@ class Tokenizer:
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
-        self.pieces = regex.compile(PATTERN).findall
-        self.cache: dict[str, bytes] = {}
+        self.pieces, self.plain = regex.compile(PATTERN).findall, plain_pattern().findall
+        self.cache = Pieces(self.merge)
+        self.spelt = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)].__getitem__
 
     def merge(self, piece: bytes) -> list[int]:
         ids = [self.first[b] for b in piece]
@@ -109,30 +140,24 @@ class Tokenizer:
                 offer(before[i])
         return [x for x in ids if x >= 0]
 
-    def _packed(self, piece: str) -> bytes:
-        if len(self.cache) >= CACHE_MOST:
-            self.cache.clear()
-        found = np.asarray(self.merge(piece.encode()), "<i4").tobytes()
-        if len(piece) <= SCAN_MOST:
-            self.cache[piece] = found
-        return found
-
     def encode_packed(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         out: list[bytes] = []
-        get, packed = self.cache.get, self._packed
-        for part in self.cut.split(text) if self.cut else (text,):
+        packed = self.cache.__getitem__
+        cut = self.cut and any(x in text for x in self.special)
+        for part in self.cut.split(text) if cut else (text,):
             if part in self.special:
                 out.append(np.asarray([self.special[part]], "<i4").tobytes())
             elif part:
-                out += [get(p) or packed(p) for p in self.pieces(part)]
+                pieces = self.plain if part.isascii() or ord(max(part)) < PLAIN_BELOW else self.pieces
+                out += map(packed, pieces(part))
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
+        return b"".join(map(self.spelt, ids)).decode(errors="replace")
 
 
 def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
