@@ -6,10 +6,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words are maximal runs of anything but these six ASCII blanks, which is also
 #: how ``bytes.split()`` cuts UTF-8.
@@ -69,3 +75,67 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the whole text, a null text as the empty one."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def annotate(df: DataFrame, keep: list[str], fields: list[tuple[str, str]], make, text: str = "text", rows: int = 1000) -> DataFrame:
+    """Columns ``keep`` of every row, and ``fields`` (name, type) made from its whole text.
+
+    ``make()`` is called once a task and gives a function from a list of texts
+    (null: empty) to one list or Arrow array for each field. A kept column whose
+    name is that of a new field gives way to it.
+    """
+    ship(df.sparkSession)
+    names = [n for n, _ in fields]
+    keep = [c for c in keep if c not in names]
+    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = of(part.column(len(keep)).to_pylist())
+                made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, arrow.field(n).type) for n, x in zip(names, made)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=keep + names)
+
+    return source.mapInArrow(run, schema)
+
+
+def local_path(uri: str) -> str | None:
+    """The path of a file: URI or a plain path, None for other stores."""
+    scheme, _, rest = uri.partition(":")
+    if "/" in scheme or not rest:
+        return uri
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
+def put_bytes(uri: str, content: bytes) -> None:
+    """Write a file of the shared folder at once: a task that is run again replaces its own file."""
+    if path := local_path(uri):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        own = f"{path}.{uuid.uuid4().hex[:8]}"
+        with open(own, "wb") as f:
+            f.write(content)
+        os.replace(own, path)
+        return
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    with fs.open_output_stream(path) as f:
+        f.write(content)
+
+
+def mapped(uri: str, dtype) -> np.ndarray | None:
+    """A memory-mapped array of the shared folder (copied to this machine first if it is in another store), None if there is none."""
+    path = local_path(uri)
+    if path is None:
+        fs, source = pafs.FileSystem.from_uri(uri)
+        if fs.get_file_info(source).type == pafs.FileType.NotFound:
+            return None
+        path = os.path.join(tempfile.mkdtemp(prefix="mapped-"), os.path.basename(source))
+        with fs.open_input_stream(source) as f, open(path, "wb") as out:
+            shutil.copyfileobj(f, out)
+    if not os.path.exists(path):
+        return None
+    return np.memmap(path, dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
