@@ -34,8 +34,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Below this code point all classes of the pattern are written out, for the faster engine.
 PLAIN_BELOW = 0x250
 SCAN_MOST = 128
-CACHE_MOST = 200_000
+CACHE_MOST = 500_000
 NEVER = 1 << 60
+#: Bits of an id, where a pair of ids or a rank and an id share one number.
+ID = 24
+ONE = (1 << ID) - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -80,10 +83,10 @@ class Tokenizer:
     def __init__(self, source: bytes):
         spec = json.loads(source)
         vocab, byte_of = spec["model"]["vocab"], byte_letters()
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}  # two ids, to the rank and the id of their union
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.pairs[vocab[a] << ID | vocab[b]] = rank << ID | vocab[a + b]
         self.first = [0] * 256
         self.bytes_of: dict[int, bytes] = {}
         for token, i in vocab.items():
@@ -103,36 +106,35 @@ class Tokenizer:
         return self._scan(ids) if len(ids) <= SCAN_MOST else self._heap(ids)
 
     def _scan(self, ids: list[int]) -> list[int]:
-        pairs = self.pairs
-        rank = lambda i: pairs.get((ids[i], ids[i + 1]), (NEVER, 0))[0]
-        ranks = [rank(i) for i in range(len(ids) - 1)]
-        while ranks and (least := min(ranks)) < NEVER:
+        get = self.pairs.get
+        ranks = [get(a << ID | b, NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) != NEVER:
             i = ranks.index(least)
-            ids[i : i + 2] = [pairs[ids[i], ids[i + 1]][1]]
-            del ranks[i]
+            ids[i] = new = least & ONE
+            del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank(i)
+                ranks[i] = get(new << ID | ids[i + 1], NEVER)
             if i:
-                ranks[i - 1] = rank(i - 1)
+                ranks[i - 1] = get(ids[i - 1] << ID | new, NEVER)
         return ids
 
     def _heap(self, ids: list[int]) -> list[int]:
         n = len(ids)
-        after, before, pairs = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs
-        heap: list[tuple[int, int, int, int]] = []
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := pairs.get((ids[i], ids[j]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[j]))
+            if j < n and (found := self.pairs.get(ids[i] << ID | ids[j])):
+                heapq.heappush(heap, (found, i, ids[i] << ID | ids[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if ids[i] != a or (j := after[i]) >= n or ids[j] != b:
+            best, i, pair = heapq.heappop(heap)
+            if ids[i] < 0 or (j := after[i]) >= n or ids[i] << ID | ids[j] != pair:
                 continue
-            ids[i], ids[j], after[i] = pairs[a, b][1], -1, after[j]
+            ids[i], ids[j], after[i] = best & ONE, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             offer(i)
