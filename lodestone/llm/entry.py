@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe_encode_decode
+from .decontaminate import op1_decontamination
 from .quality import op4_quality_rules
 from .secret_scan import op10_secret_scan
 from .simhash import op5_simhash_groups
+from .substring import op2_substring_dedup
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_quality_rules, op5_simhash_groups, op7_bpe_encode_decode, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_substring_dedup, op3_toxicity, op4_quality_rules, op5_simhash_groups, op7_bpe_encode_decode, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
