@@ -124,46 +124,53 @@ def _survivors(fp: np.ndarray, coords: np.ndarray, i: np.ndarray, j: np.ndarray,
     return i[near], j[near]
 
 
-def links(distinct: DataFrame, most_bits: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b): fingerprints of ``distinct`` (fp) whose components are those of all links within ``most_bits``."""
-    masks, refs = bands(blocks, most_bits), pivots()
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "part"))
-    keyed = keyed.select("fp", F.xxhash64("band", "part").alias("key"))
+def links(rows: DataFrame, masks: list[int], most_bits: int, least_similarity: float | None = None) -> DataFrame:
+    """(a, b): ids of ``rows`` (id, fp, sketch) that make the same components as all links do.
+
+    A link is a pair that agrees on a mask, differs in at most ``most_bits`` bits, and, with
+    ``least_similarity``, whose sketches estimate at least that.
+    """
+    keyed = rows.select("id", "fp", "sketch", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "part"))
+    keyed = keyed.withColumn("key", F.xxhash64("band", "part"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     shared = keyed.join(sizes, "key")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-    met = shared.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.select("fp", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
-    coords = F.transform(F.array(*map(F.lit, refs)), lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)).cast("short"))
-    met = met.repartition("task").sortWithinPartitions("task", "own").select("task", "own", "fp", coords.alias("coords"))
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
+    met = shared.select("key", "id", "fp", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = met.withColumn("task", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    coords = F.transform(F.array(*map(F.lit, pivots())), lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)).cast("short"))
+    met = met.repartition("task").sortWithinPartitions("task").select("task", "id", "fp", "sketch", coords.alias("coords"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def found(task, own, fp, coords):
+        def near(i, j, fp, sketch, coords):
+            i, j = _survivors(fp, coords, i, j, most_bits)
+            if least_similarity is not None and len(i):
+                same = np.concatenate([(sketch[i[k : k + 4096]] == sketch[j[k : k + 4096]]).mean(1) for k in range(0, len(i), 4096)])
+                i, j = i[same >= least_similarity], j[same >= least_similarity]
+            return i, j
+
+        def found(task, ids, fp, sketch, coords):
             """Links of whole tasks, which follow each other in these arrays."""
             starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
             n = np.diff(np.r_[starts, len(task)])
-            out_a, out_b = [], []
-            small = n == 2
-            i, j = _survivors(fp, coords, starts[small], starts[small] + 1, most_bits)
-            out_a.append(fp[i])
-            out_b.append(fp[j])
-            for at, k in zip(starts[~small & (n > 1)].tolist(), n[~small & (n > 1)].tolist()):
+            i, j = near(starts[n == 2], starts[n == 2] + 1, fp, sketch, coords)
+            out_a, out_b = [ids[i]], [ids[j]]
+            for at, k in zip(starts[n > 2].tolist(), n[n > 2].tolist()):
                 for lo in range(0, k, 256):
                     i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, min(lo + 256, k)), np.arange(lo + 1, k), indexing="ij"))
                     ahead = j > i
-                    i, j = i[ahead] + at, j[ahead] + at
-                    i, j = _survivors(fp, coords, i, j, most_bits)
+                    i, j = near(i[ahead] + at, j[ahead] + at, fp, sketch, coords)
                     keep = _forest(i - at, j - at, k)
-                    out_a.append(fp[i[keep]])
-                    out_b.append(fp[j[keep]])
+                    out_a.append(ids[i[keep]])
+                    out_b.append(ids[j[keep]])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a), pa.int64()), pa.array(np.concatenate(out_b), pa.int64())], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)]
+            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sketch, batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part)]
             cut = np.searchsorted(part[0], part[0][-1])
@@ -180,7 +187,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, most_bits: int = MOST_BITS) ->
     """doc_id, fp, component_id (the smallest doc_id reachable) of every row."""
     made = written(fingerprints(docs, size), "fingerprints")
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = components(links(distinct.select("fp"), most_bits))
+    nodes = components(links(distinct.select(F.col("fp").alias("id"), "fp", F.lit(b"").alias("sketch")), bands(BLOCKS, most_bits), most_bits))
     classes = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
     classes = written(classes, "classes")
     ids = classes.groupBy("class").agg(F.min("first").alias("component_id"))
@@ -188,6 +195,60 @@ def groups(docs: DataFrame, size: int = SHINGLE, most_bits: int = MOST_BITS) ->
     return made.join(written(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
+NEAR_SIMILARITY, NEAR_SHINGLE, NEAR_BITS = 0.8, 5, 16
+NEAR_BANDS, NEAR_BAND_BITS = 24, 20
+SKETCH = 256
+
+
+def sampled_bands(n: int = NEAR_BANDS, bits: int = NEAR_BAND_BITS) -> list[int]:
+    """Masks of ``bits`` of the 64 bits each."""
+    rng = np.random.default_rng(3)
+    return [signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(n)]
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, first: the smallest doc_id of each row's group of near copies (null without a doc_id).
+
+    Near copies share ``NEAR_SIMILARITY`` of their distinct shingles of ``NEAR_SHINGLE`` words.
+    A changed word changes five such shingles and their fingerprint by ten bits, so candidates
+    come from a fingerprint of the distinct single words, of which it changes one: such
+    fingerprints of near copies differ by some 4 bits, and one of ``NEAR_BANDS`` samples of
+    ``NEAR_BAND_BITS`` bits agrees with a probability of over 0.99. Survivors of the pivot table
+    and of ``NEAR_BITS`` are verified on sketches of ``SKETCH`` minima of the shingles' hashes.
+    Texts of the same words in the same order are collapsed first; text_key is the hash of those.
+    """
+    ship(docs.sparkSession)
+    rng = np.random.default_rng(17)
+    a, b = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xx = xxhash.xxh64_intdigest
+        for batch in batches:
+            keys, fps, sketches = [], [], []
+            for t in batch.column(1).to_pylist():
+                words = t.encode(errors="replace").lower().split()
+                joined = b" ".join(words)
+                keys.append(xxhash.xxh128_digest(joined))
+                fps.append(signed(fingerprint(b" ".join(sorted(set(words))).decode(errors="replace"), 1)))
+                own = {xx(b" ".join(words[i : i + NEAR_SHINGLE])) for i in range(max(1, len(words) - NEAR_SHINGLE + 1))}
+                h = np.fromiter(own, np.uint64, len(own))
+                low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+                with np.errstate(over="ignore"):
+                    for at in range(0, len(h), 1024):
+                        low = np.minimum(low, ((h[at : at + 1024, None] * a + b) >> np.uint64(8)).min(0))
+                sketches.append(low.astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "fp", "sketch"])
+
+    source = texts(docs)
+    schema = T.StructType([source.schema["doc_id"], *T._parse_datatype_string("text_key binary, fp long, sketch binary")])
+    made = written(source.mapInArrow(run, schema), "near-rows")
+    distinct = made.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("id"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"))
+    distinct = written(distinct, "near-distinct")
+    nodes = components(links(distinct.select("id", "fp", "sketch"), sampled_bands(), NEAR_BITS, NEAR_SIMILARITY))
+    firsts = distinct.select("text_key", "id").join(nodes, F.col("id") == F.col("node"), "left").select("text_key", F.coalesce("component", "id").alias("first"))
+    return made.select("doc_id", "text_key").join(written(firsts, "near-firsts"), "text_key", "left")
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
