@@ -120,13 +120,15 @@ def factorized(targets: DataFrame, rank: int = 50, rounds: int = 10, seed: int =
     """(token, embedding): averaged row and column factors of the targets, by alternating least squares."""
     from pyspark.ml.recommendation import ALS
 
-    tokens = targets.select(F.col("row").alias("token")).union(targets.select("col")).distinct()
     from .frequencies import indexed
 
+    tokens = targets.select(F.col("row").alias("token")).union(targets.select("col")).distinct()
     ids = indexed(tokens).withColumn("token_id", F.col("token_id").cast("int"))
     r = ids.select(F.col("token").alias("row"), F.col("token_id").alias("user"))
     c = ids.select(F.col("token").alias("col"), F.col("token_id").alias("item"))
-    model = ALS(rank=rank, maxIter=rounds, regParam=0.1, seed=seed, ratingCol="target").fit(targets.join(r, "row").join(c, "col"))
+    cells = targets.join(r, "row").join(c, "col").select("user", "item", F.col("target").cast("float").alias("target")).persist()
+    model = ALS(rank=rank, maxIter=rounds, regParam=0.1, seed=seed, ratingCol="target").fit(cells)
+    cells.unpersist()
     both = model.userFactors.withColumnRenamed("features", "u").join(model.itemFactors.withColumnRenamed("features", "i"), "id")
     return both.join(ids, both["id"] == ids["token_id"]).select("token", averaged(F.col("u"), F.col("i")).alias("embedding"))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -30,3 +35,18 @@ def create_session(name: str, master: str | None = None, memory: str | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel(log_level)
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    own = tempfile.mkdtemp(prefix="ship-")
+    shutil.copytree(root, Path(own, "tree", root.name), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(own, f"{root.name}_pkg"), "zip", Path(own, "tree")))
+    _shipped.add(app)

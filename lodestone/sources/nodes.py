@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..columns import NODES
+from ..session import ship
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -123,6 +124,7 @@ def html_tree(document: str, source: str) -> list[list]:
 def parsed(files: DataFrame, document: str, content: str, parser) -> DataFrame:
     """Nodes of each row's content; rows without content or that do not parse have none."""
     schema = to_arrow_schema(NODES)
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
