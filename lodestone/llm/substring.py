@@ -159,8 +159,8 @@ class FingerprintIndex:
         return rows.join(wanted, "anchor", "left_semi").unionByName(old)
 
 
-def duplicate_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, at): windows of ``docs`` (doc_id, text) whose words also start in a document with a smaller doc_id."""
+def duplicate_windows(docs: DataFrame, unique: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, at): windows of the ``unique`` (doc_id) of ``docs`` (doc_id, text) whose words also start in one with a smaller doc_id."""
     spark = docs.sparkSession
     ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
     if not ends.n:
@@ -170,7 +170,7 @@ def duplicate_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     found = None
     for lo, hi in zip(cuts, cuts[1:]):
         batch = docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi))
-        rows = written(anchor_rows(batch).distinct(), "anchors")
+        rows = written(anchor_rows(batch).join(unique, "doc_id", "left_semi").distinct(), "anchors")
         by_doc = written(index.shared(rows).groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")), "wanted")
         seen = docs.where(F.col("doc_id") < hi).join(by_doc, "doc_id")
         windows = written(candidate_windows(seen), "windows")
@@ -194,23 +194,29 @@ def sequence_digests(docs: DataFrame) -> DataFrame:
     return annotate(docs, ["doc_id"], [("n_words", "long"), ("digest", "binary")], make)
 
 
-def removals(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_words, digest, whole, starts) of each row.
+def removals(docs: DataFrame, stored: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, n_words, digest, whole, starts) of each row; ``stored`` are the texts by ``stored_by_id``.
 
     whole: an exact copy with a smaller doc_id exists; starts: of the duplicate windows otherwise.
     """
-    ship(docs.sparkSession)
-    docs = texts(docs)
     sums = written(sequence_digests(docs), "digests")
     firsts = written(sums.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     each = sums.join(firsts, "digest", "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     each = written(each.drop("first"), "each")
     unique = each.where(~F.col("whole") & F.col("doc_id").isNotNull() & (F.col("n_words") >= SIZE)).select("doc_id").distinct()
-    starts = duplicate_windows(docs.join(unique, "doc_id", "left_semi"), batches)
+    starts = duplicate_windows(stored, written(unique, "unique"), batches)
     gathered = starts.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     return each.join(gathered, "doc_id", "left")
 
 
+def stored_by_id(docs: DataFrame) -> DataFrame:
+    """The texts of rows with a doc_id as a table bucketed by it: what is joined to them later moves, they do not."""
+    spark = docs.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"substring_texts_{uuid.uuid4().hex[:10]}"
+    texts(docs).where("doc_id is not null").repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
     covered = np.zeros(len(words) + 1, np.int64)
     starts = starts[starts + SIZE <= len(words)]
@@ -222,9 +228,11 @@ def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
 
 def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; ``sequence_rows`` has the text of those that lose a part."""
-    found = written(removals(docs, batches), "removals")
+    ship(docs.sparkSession)
+    stored = stored_by_id(docs)
+    found = written(removals(docs, stored, batches), "removals")
     some = found.where(F.col("starts").isNotNull() & ~F.col("whole")).select("doc_id", "digest", "starts").dropDuplicates(["doc_id", "digest"])
-    source = sequence_rows(docs, some)
+    source = sequence_rows(stored, some)
     plain = found.where(F.col("starts").isNull() | F.col("whole"))
     gone = F.col("whole") & (F.col("n_words") >= SIZE)
     plain = plain.select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"))
@@ -249,7 +257,7 @@ def sequence_rows(docs: DataFrame, some: DataFrame) -> DataFrame:
                 kept.append(b" ".join(left).decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return texts(docs).join(some, "doc_id").select("doc_id", "text", "digest", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return docs.join(some, "doc_id").select("doc_id", "text", "digest", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
