@@ -124,19 +124,21 @@ def _survivors(fp: np.ndarray, coords: np.ndarray, i: np.ndarray, j: np.ndarray,
     return i[near], j[near]
 
 
-def links(rows: DataFrame, masks: list[int], most_bits: int, least_similarity: float | None = None) -> DataFrame:
-    """(a, b): ids of ``rows`` (id, fp, sketch) that make the same components as all links do.
+def links(rows: DataFrame, masks: list[int], most_bits: int, sketches: DataFrame | None = None, least_similarity: float = 0.0) -> DataFrame:
+    """(a, b): ids of ``rows`` (id, fp) that make the same components as all links do.
 
     A link is a pair that agrees on a mask, differs in at most ``most_bits`` bits, and, with
-    ``least_similarity``, whose sketches estimate at least that.
+    ``sketches`` (id, sketch), has an estimated similarity of ``least_similarity``. Sketches join
+    only what shares a band with another.
     """
-    keyed = rows.select("id", "fp", "sketch", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "part"))
+    keyed = rows.select("id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "part"))
     keyed = keyed.withColumn("key", F.xxhash64("band", "part"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     shared = keyed.join(sizes, "key")
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
-    met = shared.select("key", "id", "fp", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.withColumn("task", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    met = shared.select("key", "id", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = met.withColumn("task", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("task", "id", "fp")
+    met = met.withColumn("sketch", F.lit(b"")) if sketches is None else met.join(sketches, "id")
     coords = F.transform(F.array(*map(F.lit, pivots())), lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)).cast("short"))
     met = met.repartition("task").sortWithinPartitions("task").select("task", "id", "fp", "sketch", coords.alias("coords"))
 
@@ -145,9 +147,10 @@ def links(rows: DataFrame, masks: list[int], most_bits: int, least_similarity: f
 
         def near(i, j, fp, sketch, coords):
             i, j = _survivors(fp, coords, i, j, most_bits)
-            if least_similarity is not None and len(i):
-                same = np.concatenate([(sketch[i[k : k + 4096]] == sketch[j[k : k + 4096]]).mean(1) for k in range(0, len(i), 4096)])
-                i, j = i[same >= least_similarity], j[same >= least_similarity]
+            if sketch.shape[1] and len(i):  # of the single bits 1 - s differ by chance half the time
+                differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+                good = 1 - 2 * differ / (64 * sketch.shape[1]) >= least_similarity
+                i, j = i[good], j[good]
             return i, j
 
         def found(task, ids, fp, sketch, coords):
@@ -169,7 +172,7 @@ def links(rows: DataFrame, masks: list[int], most_bits: int, least_similarity: f
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
             part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sketch, batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part)]
@@ -187,7 +190,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, most_bits: int = MOST_BITS) ->
     """doc_id, fp, component_id (the smallest doc_id reachable) of every row."""
     made = written(fingerprints(docs, size), "fingerprints")
     distinct = made.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    nodes = components(links(distinct.select(F.col("fp").alias("id"), "fp", F.lit(b"").alias("sketch")), bands(BLOCKS, most_bits), most_bits))
+    nodes = components(links(distinct.select(F.col("fp").alias("id"), "fp"), bands(BLOCKS, most_bits), most_bits))
     classes = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
     classes = written(classes, "classes")
     ids = classes.groupBy("class").agg(F.min("first").alias("component_id"))
@@ -196,8 +199,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, most_bits: int = MOST_BITS) ->
 
 
 NEAR_SIMILARITY, NEAR_SHINGLE, NEAR_BITS = 0.8, 5, 16
-NEAR_BANDS, NEAR_BAND_BITS = 24, 20
-SKETCH = 256
+NEAR_BANDS, NEAR_BAND_BITS = 48, 28
+SKETCH = 512
 
 
 def sampled_bands(n: int = NEAR_BANDS, bits: int = NEAR_BAND_BITS) -> list[int]:
@@ -214,7 +217,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     come from a fingerprint of the distinct single words, of which it changes one: such
     fingerprints of near copies differ by some 4 bits, and one of ``NEAR_BANDS`` samples of
     ``NEAR_BAND_BITS`` bits agrees with a probability of over 0.99. Survivors of the pivot table
-    and of ``NEAR_BITS`` are verified on sketches of ``SKETCH`` minima of the shingles' hashes.
+    and of ``NEAR_BITS`` are verified on sketches: one bit of each of ``SKETCH`` minima of the shingles' hashes.
     Texts of the same words in the same order are collapsed first; text_key is the hash of those.
     """
     ship(docs.sparkSession)
@@ -235,8 +238,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
                 with np.errstate(over="ignore"):
                     for at in range(0, len(h), 1024):
-                        low = np.minimum(low, ((h[at : at + 1024, None] * a + b) >> np.uint64(8)).min(0))
-                sketches.append(low.astype(np.uint16).tobytes())
+                        low = np.minimum(low, (h[at : at + 1024, None] * a + b).min(0))
+                    bit = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+                sketches.append(np.packbits(bit.astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "fp", "sketch"])
 
     source = texts(docs)
@@ -244,7 +248,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     made = written(source.mapInArrow(run, schema), "near-rows")
     distinct = made.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("id"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"))
     distinct = written(distinct, "near-distinct")
-    nodes = components(links(distinct.select("id", "fp", "sketch"), sampled_bands(), NEAR_BITS, NEAR_SIMILARITY))
+    nodes = components(links(distinct.select("id", "fp"), sampled_bands(), NEAR_BITS, distinct.select("id", "sketch"), NEAR_SIMILARITY))
     firsts = distinct.select("text_key", "id").join(nodes, F.col("id") == F.col("node"), "left").select("text_key", F.coalesce("component", "id").alias("first"))
     return made.select("doc_id", "text_key").join(written(firsts, "near-firsts"), "text_key", "left")
 
