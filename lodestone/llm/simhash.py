@@ -147,9 +147,10 @@ def links(rows: DataFrame, masks: list[int], most_bits: int, sketches: DataFrame
 
         def near(i, j, fp, sketch, coords):
             i, j = _survivors(fp, coords, i, j, most_bits)
-            if sketch.shape[1] and len(i):  # of the single bits 1 - s differ by chance half the time
-                differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
-                good = 1 - 2 * differ / (64 * sketch.shape[1]) >= least_similarity
+            if sketch.shape[1] and len(i):  # two bits of different minima are the same by chance a quarter of the time
+                x = sketch[i] ^ sketch[j]
+                differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
+                good = 1 - differ / (32 * sketch.shape[1]) / 0.75 >= least_similarity
                 i, j = i[good], j[good]
             return i, j
 
@@ -200,7 +201,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, most_bits: int = MOST_BITS) ->
 
 NEAR_SIMILARITY, NEAR_SHINGLE, NEAR_BITS = 0.8, 5, 16
 NEAR_BANDS, NEAR_BAND_BITS = 48, 28
-SKETCH = 512
+SKETCH = 256
 
 
 def sampled_bands(n: int = NEAR_BANDS, bits: int = NEAR_BAND_BITS) -> list[int]:
@@ -217,7 +218,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     come from a fingerprint of the distinct single words, of which it changes one: such
     fingerprints of near copies differ by some 4 bits, and one of ``NEAR_BANDS`` samples of
     ``NEAR_BAND_BITS`` bits agrees with a probability of over 0.99. Survivors of the pivot table
-    and of ``NEAR_BITS`` are verified on sketches: one bit of each of ``SKETCH`` minima of the shingles' hashes.
+    and of ``NEAR_BITS`` are verified on sketches: two bits of each of ``SKETCH`` minima of the shingles' hashes.
     Texts of the same words in the same order are collapsed first; text_key is the hash of those.
     """
     ship(docs.sparkSession)
@@ -237,10 +238,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 h = np.fromiter(own, np.uint64, len(own))
                 low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
                 with np.errstate(over="ignore"):
-                    for at in range(0, len(h), 1024):
-                        low = np.minimum(low, (h[at : at + 1024, None] * a + b).min(0))
-                    bit = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-                sketches.append(np.packbits(bit.astype(np.uint8)).tobytes())
+                    for at in range(0, len(h), 64):  # so few that they stay in the cache
+                        x = h[at : at + 64, None] * a
+                        x += b
+                        np.minimum(low, x.min(0), out=low)
+                    two = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)
+                sketches.append(np.packbits(np.stack([two >> np.uint64(1), two & np.uint64(1)], 1).astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "fp", "sketch"])
 
     source = texts(docs)
