@@ -26,16 +26,17 @@ repeated rows stay, each with its component.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, table, texts, written
+from .common import fresh_path, mapped, put_bytes, ship, table, texts, written
 from .components import components
 
 SHINGLE = 4
@@ -199,60 +200,189 @@ def groups(docs: DataFrame, size: int = SHINGLE, most_bits: int = MOST_BITS) ->
     return made.join(written(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-NEAR_SIMILARITY, NEAR_SHINGLE, NEAR_BITS = 0.8, 5, 16
-NEAR_BANDS, NEAR_BAND_BITS = 48, 28
-SKETCH = 256
+NEAR_SIMILARITY, NEAR_SHINGLE = (4, 5), 5
+SAMPLED, COMMON_MOST = 64, 1 << 15
+SET_FILE_BYTES = 1 << 22
+NEAR_CENTERS = 4
 
 
-def sampled_bands(n: int = NEAR_BANDS, bits: int = NEAR_BAND_BITS) -> list[int]:
-    """Masks of ``bits`` of the 64 bits each."""
-    rng = np.random.default_rng(3)
-    return [signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))) for _ in range(n)]
+def few(batch: pa.RecordBatch) -> Iterator[str]:
+    """The texts of column 1, as strings only a few at a time."""
+    for at in range(0, batch.num_rows, 200):
+        yield from batch.column(1).slice(at, 200).to_pylist()
+
+
+def near_set(text: str) -> tuple[bytes, np.ndarray]:
+    """The hash of the words of ``text``, and its distinct shingles of ``NEAR_SHINGLE`` words as sorted hashes."""
+    words = text.encode(errors="replace").lower().split()
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    if len(words) <= NEAR_SHINGLE:
+        own = {xxhash.xxh64_intdigest(joined)}
+    else:
+        own = {xxhash.xxh64_intdigest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[NEAR_SHINGLE - 1 :])}
+    return xxhash.xxh128_digest(joined), np.sort(np.fromiter(own, np.uint64, len(own)))
+
+
+def near_prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all shingles: those not in ``common`` by hash, then ``common`` by rank.
+
+    A set that shares the similarity asked for misses at most ``len // 5`` of these shingles, so
+    one of ``len // 5 + 1`` is in both sets, and in the like prefix of the other.
+    """
+    n = len(own) * (NEAR_SIMILARITY[1] - NEAR_SIMILARITY[0]) // NEAR_SIMILARITY[1] + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.lexsort((own, np.where(common[at] == own, rank[at], 0)))]
+    return own[:n]
+
+
+def _enough(overlap, n, m):
+    """Whether sets of n and m members that share ``overlap`` reach the similarity: overlap / (n + m - overlap) >= p / q."""
+    p, q = NEAR_SIMILARITY
+    return (p + q) * overlap >= p * (n + m)
+
+
+def _common_shingles(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent shingles of a sample, and their ranks: only the order of prefixes depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in few(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(near_set(t)[1].view(np.int64))], ["h"])
+
+    sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    top = sample.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    hashes = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(top) - order).astype(np.int32)
+
+
+def _near_sets(docs: DataFrame, folder: str) -> DataFrame:
+    """(t, file, at, n): where in ``folder`` the set of each text is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, rows, size = [], [], 0
+
+        def flushed():
+            file = f"{folder}/{uuid.uuid4().hex}"
+            put_bytes(file, np.concatenate(sets).tobytes())
+            made = [(t, file, at, n) for t, at, n in rows]
+            kinds = [pa.binary(), pa.string(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["text_key", "file", "at", "n"])
+
+        for batch in batches:
+            for t in few(batch):
+                key, own = near_set(t)
+                rows.append((key, size, len(own)))
+                sets.append(own)
+                size += len(own)
+                if 8 * size >= SET_FILE_BYTES:
+                    yield flushed()
+                    sets, rows, size = [], [], 0
+        if rows:
+            yield flushed()
+
+    made = written(docs.mapInArrow(run, "text_key binary, file string, at int, n int"), "near-sets")
+    places = made.groupBy("text_key").agg(F.min(F.struct("file", "at", "n")).alias("x"))
+    return places.select(F.xxhash64("text_key").alias("t"), "x.*")
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, source: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of ``distinct`` texts whose sets reach the similarity, counted on the sets of all texts in a pair."""
+    pairs = written(pairs.distinct(), "near-pairs")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    ids = written(distinct.join(members, "t", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    sets = _near_sets(source.join(ids, "doc_id", "left_semi"), fresh_path(source.sparkSession, "near-set-files"))
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("file", "at", "n")]), side)
+    pairs = pairs.select("a", "b", "a_file", "a_at", "a_n", "b_file", "b_at", "b_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, np.ndarray] = {}
+
+        def own(file, at, n):
+            if file not in opened:
+                if len(opened) >= 64:
+                    opened.clear()
+                opened[file] = mapped(file, np.uint64)
+            return opened[file][at : at + n]
+
+        for batch in batches:
+            good = []
+            for fa, i, n, fb, j, m in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                x, y = own(fa, i, n), own(fb, j, m)
+                overlap = int((y[np.minimum(np.searchsorted(y, x), m - 1)] == x).sum())
+                good.append(bool(_enough(overlap, n, m)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return written(pairs.mapInArrow(run, "a long, b long"), "near-links")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, first: the smallest doc_id of each row's group of near copies (null without a doc_id).
 
     Near copies share ``NEAR_SIMILARITY`` of their distinct shingles of ``NEAR_SHINGLE`` words.
-    A changed word changes five such shingles and their fingerprint by ten bits, so candidates
-    come from a fingerprint of the distinct single words, of which it changes one: such
-    fingerprints of near copies differ by some 4 bits, and one of ``NEAR_BANDS`` samples of
-    ``NEAR_BAND_BITS`` bits agrees with a probability of over 0.99. Survivors of the pivot table
-    and of ``NEAR_BITS`` are verified on sketches: two bits of each of ``SKETCH`` minima of the shingles' hashes.
     Texts of the same words in the same order are collapsed first; text_key is the hash of those.
+    Candidates share a shingle of their prefixes (``near_prefix``), which every such pair does, have
+    sizes and places of that shingle that allow the similarity, and are verified on their whole sets.
+
+    A first round links texts under one shingle to one or the other of them; a second compares all pairs
+    that are still in different groups. Pairs left out are in one group already, so groups are
+    those of all near copies. Texts of one doc_id are in one group.
     """
-    ship(docs.sparkSession)
-    rng = np.random.default_rng(17)
-    a, b = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+    spark = docs.sparkSession
+    ship(spark)
+    source = texts(docs)
+    order = spark.sparkContext.broadcast(_common_shingles(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xx = xxhash.xxh64_intdigest
+        common, rank = order.value
         for batch in batches:
-            keys, fps, sketches = [], [], []
-            for t in batch.column(1).to_pylist():
-                words = t.encode(errors="replace").lower().split()
-                joined = b" ".join(words)
-                keys.append(xxhash.xxh128_digest(joined))
-                fps.append(signed(fingerprint(b" ".join(sorted(set(words))).decode(errors="replace"), 1)))
-                own = {xx(b" ".join(words[i : i + NEAR_SHINGLE])) for i in range(max(1, len(words) - NEAR_SHINGLE + 1))}
-                h = np.fromiter(own, np.uint64, len(own))
-                low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-                with np.errstate(over="ignore"):
-                    for at in range(0, len(h), 64):  # so few that they stay in the cache
-                        x = h[at : at + 64, None] * a
-                        x += b
-                        np.minimum(low, x.min(0), out=low)
-                    two = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)
-                sketches.append(np.packbits(np.stack([two >> np.uint64(1), two & np.uint64(1)], 1).astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "fp", "sketch"])
-
-    source = texts(docs)
-    schema = T.StructType([source.schema["doc_id"], *T._parse_datatype_string("text_key binary, fp long, sketch binary")])
+            keys, sizes, prefixes = [], [], []
+            for t in few(batch):
+                key, own = near_set(t)
+                keys.append(key)
+                sizes.append(len(own))
+                prefixes.append(near_prefix(own, common, rank).view(np.int64))
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), prefix], ["doc_id", "text_key", "n", "prefix"])
+
+    schema = T.StructType([source.schema["doc_id"], *T._parse_datatype_string("text_key binary, n int, prefix array<long>")])
     made = written(source.mapInArrow(run, schema), "near-rows")
-    distinct = made.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("id"), F.any_value("fp").alias("fp"), F.any_value("sketch").alias("sketch"))
-    distinct = written(distinct, "near-distinct")
-    nodes = components(links(distinct.select("id", "fp"), sampled_bands(), NEAR_BITS, distinct.select("id", "sketch"), NEAR_SIMILARITY))
-    firsts = distinct.select("text_key", "id").join(nodes, F.col("id") == F.col("node"), "left").select("text_key", F.coalesce("component", "id").alias("first"))
+    distinct = made.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    distinct = written(distinct.select("text_key", F.xxhash64("text_key").alias("t"), "id", "n", "prefix"), "near-distinct")
+
+    held = distinct.select("t", "n", F.posexplode("prefix").alias("at", "key"))
+    under = Window.partitionBy("key")
+    center = F.min(F.struct(F.xxhash64("t", F.pmod("key", F.lit(NEAR_CENTERS))).alias("h"), "t", "n", "at")).over(under)
+    shared = held.select("*", F.count("*").over(under).alias("others"), center.alias("c")).where("others > 1")
+    p, q = NEAR_SIMILARITY
+
+    def possible(n, at, m, other):
+        """By the sizes, and by what is left from the place of this shingle on."""
+        return (q * F.least(n, m) >= p * F.greatest(n, m)) & _enough(F.least(n - at, m - other), n, m)
+
+    met = (F.col("t") != F.col("c.t")) & possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"))
+    shared = written(shared.select("key", "t", "n", "at", F.when(met, F.col("c.t")).alias("center")), "near-shared")
+    first_links = _verified(shared.where("center is not null").select(F.col("t").alias("a"), F.col("center").alias("b")), distinct, source)
+    same_id = distinct.groupBy("id").agg(F.min("t").alias("b"), F.max("t").alias("m")).where("b <> m").drop("m")
+    same_id = distinct.join(same_id, "id").select(F.col("t").alias("a"), "b")
+    grouped = written(components(first_links.unionByName(same_id)), "near-grouped")
+
+    named = shared.drop("center").join(grouped.withColumnRenamed("node", "t"), "t", "left").withColumn("group", F.coalesce("component", "t")).drop("component")
+    mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
+    one = written(named.join(mixed, "key", "left_semi"), "near-mixed")
+    x, y = one.alias("x"), one.alias("y")
+    together = (F.col("x.key") == F.col("y.key")) & (F.col("x.t") < F.col("y.t")) & (F.col("x.group") != F.col("y.group"))
+    met = x.join(y, together & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    second_links = _verified(met.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")), distinct, source)
+    nodes = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second_links))
+
+    classes = distinct.select("text_key", "t", "id").join(nodes, F.col("t") == F.col("node"), "left").select("text_key", "id", F.coalesce("component", "t").alias("class"))
+    classes = written(classes, "near-classes")
+    firsts = classes.join(classes.groupBy("class").agg(F.min("id").alias("first")), "class").select("text_key", "first")
     return made.select("doc_id", "text_key").join(written(firsts, "near-firsts"), "text_key", "left")
 
 
