@@ -9,6 +9,10 @@ over all joined windows of one place of that document and item: each value in th
 for one value in the document, and the other way round. So a question with other
 numbers or names in it is caught, and a chance fit of placeholders is not.
 
+Capitals tell names, so a copy in capitals or lower case has other templates. All windows are
+therefore joined a second time, with words case-folded and names literal; a pair is reported
+if either way finds it, with the figures of the first if both do.
+
 An item of fewer than ``WINDOW`` but at least ``LEAST`` words is one window of its own
 length. Windows with fewer than half literal tokens are not used.
 
@@ -54,11 +58,12 @@ DIGITS_UNIT = re.compile(r"[-+]?[$€£]?\d[\d.,]*([a-z]+)")
 EDGES = ".,;:!?\"'()[]{}<>*_`~#&|…«»“”‘’-–—"
 
 
-def template_token(word: str) -> str:
+def template_token(word: str, folded: bool = False) -> str:
+    """The token of a word; ``folded``: the same for all spellings in capitals and small letters, with names literal."""
     core = word.strip(EDGES) or word
-    low = core.lower()
+    low = core.casefold() if folded else core.lower()
     if any(c.isdigit() for c in core):
-        if DIGITS.fullmatch(core):
+        if DIGITS.fullmatch(low if folded else core):
             return NUMBER
         if (m := DIGITS_UNIT.fullmatch(low)) and m[1] in UNITS:
             return NUMBER + UNIT
@@ -67,7 +72,7 @@ def template_token(word: str) -> str:
         return NUMBER
     if low in UNITS:
         return UNIT
-    if len(core) > 1 and core[0].isupper() and core[1:].islower():
+    if not folded and len(core) > 1 and core[0].isupper() and core[1:].islower():
         return NAME
     return low
 
@@ -77,13 +82,27 @@ def is_slot(token: str) -> bool:
 
 
 class Hashes(dict):
-    """The hash of a word's template token, by the word's bytes."""
+    """The number of a word, by the word's bytes: where ``made`` has the hashes of its template token and its folded one."""
+
+    def __init__(self):
+        super().__init__()
+        self.made = np.empty((1 << 12, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.made):
+            self.made = np.concatenate([self.made, np.empty_like(self.made)])
+        text = word.decode(errors="replace")
+        self.made[n] = [xxhash.xxh64_intdigest(template_token(text, folded).encode()) for folded in (False, True)]
+        self[word] = n
+        return n
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words' template tokens and of their folded ones."""
         if len(self) >= CACHE_MOST:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(template_token(word.decode(errors="replace")).encode())
-        return h
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.made[at, 0], self.made[at, 1]
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -103,20 +122,22 @@ def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
         return out[: len(tokens) - size + 1]
 
 
-def windows_of(words: list[str], at: int, size: int) -> tuple[str, list[str]] | None:
+def windows_of(words: list[str], at: int, size: int, folded: bool = False) -> tuple[str, list[str]] | None:
     """(template, slot values) of a window, None if placeholders outweigh its words."""
     own = words[at : at + size]
-    tokens = [template_token(w) for w in own]
+    tokens = [template_token(w, folded) for w in own]
     slots = [w.strip(EDGES) or w for w, t in zip(own, tokens) if is_slot(t)]
+    if folded:
+        slots = [s.casefold() for s in slots]
     return (" ".join(tokens), slots) if 2 * len(slots) <= size else None
 
 
-WINDOWS = [("hash", "long"), ("at", "int"), ("template", "string"), ("slots", "array<string>")]
-ARROW = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())]
+WINDOWS = [("folded", "boolean"), ("hash", "long"), ("at", "int"), ("template", "string"), ("slots", "array<string>")]
+ARROW = [pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())]
 
 
 def template_windows(source: DataFrame, sizes, wanted=None) -> DataFrame:
-    """A row for each window of the rows (id, text) of ``source``.
+    """A row for each window of the rows (id, text) of ``source``, as it is and folded.
 
     sizes: gives the window sizes of a text of so many words. wanted: a broadcast
     of sorted window hashes; other windows are left out.
@@ -131,23 +152,26 @@ def template_windows(source: DataFrame, sizes, wanted=None) -> DataFrame:
             first = np.zeros(1 << 20, bool)
             first[own >> np.uint64(44)] = True
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode(errors="replace").split()
-                hashes = np.fromiter(map(known.__getitem__, raw), np.uint64, len(raw))
+                hashes = known.of(raw)
+                same = np.array_equal(*hashes)
                 words = None
                 for size in sizes(len(raw)):
-                    found = window_hashes(hashes, size)
-                    at = np.arange(len(found))
-                    if wanted is not None:
-                        at = np.flatnonzero(first[found >> np.uint64(44)])
-                        at = at[own[np.minimum(np.searchsorted(own, found[at]), len(own) - 1)] == found[at]]
-                    if len(at) and words is None:
-                        words = [w.decode(errors="replace") for w in raw]
-                    for i in at.tolist():
-                        if made := windows_of(words, i, size):
-                            for col, value in zip(cols, (key, int(found[i].view(np.int64)), i, *made)):
-                                col.append(value)
+                    for folded in (False, True):
+                        if not folded or not same:
+                            found = window_hashes(hashes[folded], size)
+                            at = np.arange(len(found))
+                            if wanted is not None:
+                                at = np.flatnonzero(first[found >> np.uint64(44)])
+                                at = at[own[np.minimum(np.searchsorted(own, found[at]), len(own) - 1)] == found[at]]
+                        if len(at) and words is None:
+                            words = [w.decode(errors="replace") for w in raw]
+                        for i in at.tolist():
+                            if made := windows_of(words, i, size, folded):
+                                for col, value in zip(cols, (key, folded, int(found[i].view(np.int64)), i, *made)):
+                                    col.append(value)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *map(pa.array, cols[1:], ARROW)], schema.names)
 
@@ -162,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_item_windows, n_slots, reparameterised) of each document that holds an item's text."""
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = template_windows(items, item_sizes).select("item_id", "hash", F.col("at").alias("item_at"), F.col("template").alias("t"), F.col("slots").alias("item_slots")).distinct()
+    own = template_windows(items, item_sizes).select("item_id", F.col("folded").alias("f"), "hash", F.col("at").alias("item_at"), F.col("template").alias("t"), F.col("slots").alias("item_slots")).distinct()
     n = own.count()
     lengths = [r[0] for r in own.select(F.size(F.split("t", " ")).alias("n")).distinct().collect()]  # LEAST to WINDOW at most
     wanted = None
@@ -171,11 +195,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(np.sort(hashes))
         own = F.broadcast(own)
     found = template_windows(texts(docs).where("doc_id is not null"), lambda n: [s for s in lengths if s <= n] if lengths else [], wanted if n else None)
-    found = found.where(F.lit(n > 0)).select("doc_id", "hash", "at", "template", "slots").distinct()
-    joined = found.join(own, (found["hash"] == own["hash"]) & (F.col("template") == F.col("t")))
+    found = found.where(F.lit(n > 0)).select("doc_id", "folded", "hash", "at", "template", "slots").distinct()
+    joined = found.join(own, (found["hash"] == own["hash"]) & (F.col("template") == F.col("t")) & (F.col("folded") == F.col("f")))
     slot = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
-    pairs = joined.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset"), found["hash"].alias("hash"), slot.alias("slot"))
-    place = ["doc_id", "item_id", "offset"]
+    pairs = joined.select("doc_id", "item_id", "folded", (F.col("at") - F.col("item_at")).alias("offset"), found["hash"].alias("hash"), slot.alias("slot"))
+    place = ["doc_id", "item_id", "folded", "offset"]
     by_value = pairs.groupBy(*place, F.col("slot.a").alias("a")).agg(F.min("slot.b").alias("b"), (F.min("slot.b") != F.max("slot.b")).alias("split"), F.collect_set("hash").alias("hashes"))
     seen = by_value.groupBy(*place).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_windows"),
@@ -184,9 +208,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or("split"), F.lit(False)).alias("split"),
         F.coalesce(F.bool_or(F.col("a") != F.col("b")), F.lit(False)).alias("reparameterised"),
     )
-    whole = own.groupBy("item_id").agg(F.countDistinct("hash").alias("n_item_windows"))
+    whole = own.groupBy("item_id", F.col("f").alias("folded")).agg(F.countDistinct("hash").alias("n_item_windows"))
     good = seen.where(~F.col("split") & (F.col("n_values") == F.col("n_slots"))).groupBy("doc_id", "item_id")
-    best = good.agg(F.max(F.struct("n_windows", "n_slots", "reparameterised")).alias("x")).join(whole, "item_id")
+    best = good.agg(F.max(F.struct((~F.col("folded")).alias("plain"), "n_windows", "n_slots", "reparameterised")).alias("x"))
+    best = best.withColumn("folded", ~F.col("x.plain")).join(whole, ["item_id", "folded"])
     return best.select("doc_id", "item_id", "x.n_windows", "n_item_windows", "x.n_slots", "x.reparameterised")
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from lodestone.llm import simhash
+from lodestone.llm import decontaminate, simhash
 
 
 def near_corpus():
@@ -38,3 +38,14 @@ def test_near_groups_are_brute_force(spark):
     rows = near_corpus()
     got = {r.doc_id: r.first for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_groups(rows)
+
+
+def test_case_hides_no_passage(spark):
+    item = "Anna told Boris that Clara gave three Apples of 7 kg to David and Emil before the Straße to Fulda closed"
+    assert not any(all(not w[:1].isupper() for w in item.split()[i : i + 13]) for i in range(len(item.split()) - 12))
+    other = item.upper().replace("THREE", "four").replace("7", "9")
+    texts = ["so " + item.upper() + " it says", item.lower(), item, other, item.upper().replace("BORIS", "BERTA")[:60]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.reparameterised, r.n_windows <= r.n_item_windows) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {0: (False, True), 1: (False, True), 2: (False, True), 3: (True, True)}
