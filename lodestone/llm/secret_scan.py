@@ -130,8 +130,8 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "pem", m.start(), m.end()
     if not has_long_run(text):
         return
-    for m in BASE64.finditer(text):
-        if (m[0].startswith(("MI", "MC", "MH", "b3BlbnNzaC1rZXk"))) and (raw := from_base64(m[0])) and is_key(raw):
+    for m in BASE64.finditer(text):  # M: a sequence of any length
+        if m[0].startswith(("M", "b3BlbnNzaC1rZXk")) and (raw := from_base64(m[0])) and is_key(raw):
             yield "base64", m.start(), m.end()
     for m in HEXKEY.finditer(text):
         if len(m[0]) <= DECODE_MOST and m[0][:2] in ("30", "6f", "6F") and is_key(bytes.fromhex(m[0])):

@@ -1,8 +1,9 @@
 """What the first review found missing: each of these failed before its change."""
 
+import base64
 import random
 
-from lodestone.llm import decontaminate, simhash
+from lodestone.llm import decontaminate, secret_scan, simhash
 
 
 def near_corpus():
@@ -49,3 +50,25 @@ def test_case_hides_no_passage(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {r.doc_id: (r.reparameterised, r.n_windows <= r.n_item_windows) for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {0: (False, True), 1: (False, True), 2: (False, True), 3: (True, True)}
+
+
+def test_keys_of_all_short_lengths():
+    rng = random.Random(5)
+    der = lambda tag, body: bytes([tag, len(body)]) + body
+    one, zero = der(2, b"\1"), der(2, b"\0")
+    oid = lambda x: der(6, bytes.fromhex(x))
+    p256 = oid("2a8648ce3d0201") + oid("2a8648ce3d030107")
+    keys = {
+        "MEECAQAw": der(0x30, zero + der(0x30, p256) + der(4, der(0x30, one + der(4, rng.randbytes(32))))),
+        "MDECAQEE": der(0x30, one + der(4, rng.randbytes(32)) + der(0xA0, oid("2a8648ce3d030107"))),
+        "MFECAQEw": der(0x30, one + der(0x30, oid("2b6570")) + der(4, der(4, rng.randbytes(32))) + der(0x81, b"\0" + rng.randbytes(32))),
+        "MEcCAQAw": der(0x30, zero + der(0x30, oid("2b6571")) + der(4, der(4, rng.randbytes(57)))),
+    }
+    for n in range(0x30, 0x70):
+        keys[n] = der(0x30, one + der(4, rng.randbytes(n - 5)))
+        assert keys[n][1] == n
+    for start, raw in keys.items():
+        text = base64.b64encode(raw).decode()
+        assert isinstance(start, int) or text.startswith(start)
+        assert ("base64", 2, 2 + len(text)) in secret_scan.spans_of(f"x {text} y"), start
+        assert secret_scan.redact(f"x {text} y", secret_scan.spans_of(f"x {text} y")) == "x <BASE64> y"
