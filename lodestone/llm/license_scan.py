@@ -10,9 +10,9 @@ reported if the share of the template's shingles in the window is at least
 ``CONTAINED``.
 
 Windows step by a quarter of their length: of some window a copy fills four fifths,
-which gives a similarity of over 0.5 even if a word of it was changed. Only windows with
-one of the templates' rarer words (``ANCHORS``: every template has one in each half)
-are hashed at all; a window without any cannot reach the containment.
+which gives a similarity of over 0.5 even if a word of it was changed. Each template, built in or
+passed, has a gate: so many of its own shingles that whatever holds ``CONTAINED`` of them holds one
+of the gate. Only windows with a shingle of a gate are hashed; the others cannot reach the containment.
 
 The templates are the short notices and grants below, and any others that are passed.
 They are a parameter of bounded size and are sent to the tasks as such.
@@ -61,29 +61,36 @@ TEMPLATES = {
     "Unlicense grant": "This is free and unencumbered software released into the public domain.",
     "All rights reserved": "All rights reserved.",
 }
-#: One of these is in every text that holds four fifths of a template's shingles.
-ANCHORS = ("license", "permi", "granted", "redistribut", "copyright", "unencumbered", "rights", "public domain")
-ANCHOR = re.compile("|".join(ANCHORS))
 
 
 def shingles(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)] or [" ".join(words)] * bool(words)
 
 
+def gate(own: set[str]) -> list[str]:
+    """The longest shingles of a template, one more than a text of ``CONTAINED`` of them can lack."""
+    least = next(k for k in range(len(own) + 1) if k / len(own) >= CONTAINED)
+    return sorted(own, key=lambda s: (-len(s), s))[: len(own) - least + 1]
+
+
 class Matcher:
     def __init__(self, templates: dict[str, str]):
         rng = np.random.default_rng(11)
         self.a, self.b = rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-        self.sets, self.words, self.by_size = {}, {}, {}
+        self.sets, self.words, self.by_size, self.gates = {}, {}, {}, {}
         for name, text in templates.items():
             words = WORDS.findall(text.lower())
             if not words:
                 continue
             self.sets[name], self.words[name] = set(shingles(words)), set(words)
+            for shingle in gate(self.sets[name]):
+                self.gates.setdefault(shingle, set()).add(len(words))
             bands = self.by_size.setdefault(len(words), {})
             for band in self.bands(self.sets[name]):
                 bands.setdefault(band, set()).add(name)
 
+        self.firsts = {s.split()[0] for s in self.gates}
+
     def bands(self, own) -> list[tuple[int, bytes]]:
         h = np.array([xxhash.xxh64_intdigest(s) for s in own], np.uint64)
         with np.errstate(over="ignore"):
@@ -93,18 +100,20 @@ class Matcher:
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
         """(template, start, end, containment) with offsets in code points: the best window of each run of overlapping ones."""
         low = text.lower()
-        if not any(a in low for a in ANCHORS):
-            return []
         if len(low) != len(text):  # a letter whose lower case is longer
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        words, near = WORDS.findall(low), {}
+        for at, pair in enumerate(zip(words, [*words[1:], ""])):
+            for shingle in (" ".join(pair), pair[0]) if pair[0] in self.firsts else ():
+                for size in self.gates.get(shingle, ()):
+                    near.setdefault(size, []).append(at)
+        if not near:
+            return []
         spans = [m.span() for m in WORDS.finditer(low)]
-        words = [low[a:b] for a, b in spans]
-        ends = np.array([b for _, b in spans])
-        near = sorted({min(int(np.searchsorted(ends, m.start(), "right")), len(words) - 1) for m in ANCHOR.finditer(low)}) if words else []
         found = []
         for size, bands in self.by_size.items():
             step, starts = max(1, size // 4), set()
-            for at in near:  # windows around an anchor that may hold four fifths of a template
+            for at in near.get(size, ()):  # every window that holds this shingle
                 lo = max(0, at - size) // step * step
                 starts.update(range(lo, min(at, len(words) - 1) + 1, step))
                 starts.add(max(0, min(at, len(words) - size)))

@@ -3,7 +3,7 @@
 import base64
 import random
 
-from lodestone.llm import decontaminate, secret_scan, simhash
+from lodestone.llm import decontaminate, license_scan, secret_scan, simhash
 
 
 def near_corpus():
@@ -72,3 +72,19 @@ def test_keys_of_all_short_lengths():
         assert isinstance(start, int) or text.startswith(start)
         assert ("base64", 2, 2 + len(text)) in secret_scan.spans_of(f"x {text} y"), start
         assert secret_scan.redact(f"x {text} y", secret_scan.spans_of(f"x {text} y")) == "x <BASE64> y"
+
+
+def test_licenses_need_no_fixed_words(spark):
+    passed = {"warranty": "This software is provided as-is, without any express or implied warranty"}
+    docs = spark.createDataFrame([(1, "x y z " + passed["warranty"] + " x y z"), (2, "nothing of it")], "doc_id long, text string")
+    assert [(r.doc_id, r.template, r.containment) for r in license_scan.scan(docs, passed).collect()] == [(1, "warranty", 1.0)]
+    m, mpl = license_scan.Matcher(license_scan.TEMPLATES), license_scan.TEMPLATES["MPL-2.0 notice"]
+    for cut, share in ((mpl.replace("License", "Licence"), 13 / 15), (mpl.replace(" License, v. 2.0.", ""), 12 / 15)):
+        assert [(f[0], f[3]) for f in m.find("alpha beta " * 9 + cut + " gamma delta" * 9)] == [("MPL-2.0 notice", share)]
+
+
+def test_no_window_that_holds_enough_lacks_the_gate():
+    for text in license_scan.TEMPLATES.values():
+        own = set(license_scan.shingles(license_scan.WORDS.findall(text.lower())))
+        rest = own - set(license_scan.gate(own))
+        assert len(rest) / len(own) < license_scan.CONTAINED
