@@ -6,10 +6,15 @@ blocks and bare base64 or hex must hold DER whose nested lengths fill their
 parents exactly or an OpenSSH key record, and a signed token must have a header
 that decodes to JSON with an algorithm. Whole texts are scanned.
 
+Every candidate is decoded, whatever its length. Bare base64 may use either alphabet, padded or
+not, on one line or wrapped over several: from the start of each line the length that
+the first bytes give says where the key ends, there the line has to end too, and what
+lies between is parsed. A PEM block may have header lines and escaped line ends; the content of
+an encrypted one cannot be parsed, so its header and whole base64 confirm it.
+
 Edge cases: a null or empty text has no spans (empty strings, zero counts, the
 digest of the empty string); repeated rows are scanned each for itself; offsets
-are code points, the end exclusive; a candidate longer than ``DECODE_MOST``
-characters is longer than any key encoding and is not decoded.
+are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -34,17 +39,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{56,}={0,2}")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+[^\n]*\n)*)*)((?:[A-Za-z0-9+/=\s]|\\[nr])+?)-----END \1-----")
+SEALED = re.compile(r"^(?:Proc-Type:\s*4\s*,\s*ENCRYPTED|DEK-Info:)", re.M)
+#: Base64 of both alphabets: a run, and the lines that follow it with nothing but a word on them.
+RUNS = [(url, re.compile(rf"(?<!{a}){a}{{{32}}}{a}*(?:\r?\n[ \t]*{a}+)*"), re.compile(f"{a}+")) for url, a in ((False, "[A-Za-z0-9+/]"), (True, "[A-Za-z0-9_-]"))]
+LEAST_BASE64 = 56
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){40,}(?![0-9A-Fa-f])")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "signed", "pem", "base64", "hexkey")
-DECODE_MOST = 65_536
 OPENSSH = b"openssh-key-v1\0"
 NAMED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: True for the bytes that no encoded run can hold.
 BREAKS = np.ones(256, bool)
-BREAKS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")] = False
+BREAKS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = False
 
 
 def has_long_run(text: str, least: int = 32) -> bool:
@@ -73,6 +80,24 @@ def der_children(raw: bytes) -> list[tuple[int, bytes]] | None:
     return found
 
 
+def key_length(raw: bytes) -> int | None:
+    """How many bytes the key that ``raw`` begins with has, as its lengths say; None if it is none or they are not there."""
+    if raw.startswith(OPENSSH):
+        at = len(OPENSSH)
+        for _ in range(3):  # cipher, key derivation, its options
+            at += 4 + int.from_bytes(raw[at : at + 4], "big")
+        left, at = int.from_bytes(raw[at : at + 4], "big") + 1, at + 4
+        while left and at + 4 <= len(raw):  # the public keys and the private part
+            at, left = at + 4 + int.from_bytes(raw[at : at + 4], "big"), left - 1
+        return None if left or at > len(raw) else at
+    if len(raw) < 2 or raw[0] != 0x30:
+        return None
+    if raw[1] < 0x80:
+        return 2 + raw[1]
+    k = raw[1] & 0x7F
+    return 2 + k + int.from_bytes(raw[2 : 2 + k], "big") if 1 <= k <= 4 and len(raw) >= 2 + k else None
+
+
 def is_key(raw: bytes) -> bool:
     """A DER key (a sequence of a small integer version or an algorithm, then key material) or an OpenSSH record."""
     if raw.startswith(OPENSSH):
@@ -102,7 +127,7 @@ def is_key(raw: bytes) -> bool:
 
 def from_base64(text: str, url: bool = False) -> bytes | None:
     text = re.sub(r"\s+", "", text).rstrip("=")
-    if len(text) > DECODE_MOST or len(text) % 4 == 1:
+    if len(text) % 4 == 1:
         return None
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), b"-_" if url else None, validate=not url)
@@ -124,20 +149,66 @@ def confirmed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in SIGNED.finditer(text):
             if is_signed_header(m[1]):
                 yield "signed", m.start(), m.end()
+    blocks = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            if (raw := from_base64(m[2])) and is_key(raw):
+            raw = from_base64(re.sub(r"\\[nr]", "", m[3]))
+            if raw and (is_key(raw) or SEALED.search(m[2])):
+                blocks.append((m.start(), m.end()))
                 yield "pem", m.start(), m.end()
     if not has_long_run(text):
         return
-    for m in BASE64.finditer(text):  # M: a sequence of any length
-        if m[0].startswith(("M", "b3BlbnNzaC1rZXk")) and (raw := from_base64(m[0])) and is_key(raw):
-            yield "base64", m.start(), m.end()
+    found = {s for url, run, line in RUNS for s in wrapped_keys(text, url, run, line)}
+    for start, end in sorted(found):
+        if not any(a <= start < b for a, b in blocks):
+            yield "base64", start, end
     for m in HEXKEY.finditer(text):
-        if len(m[0]) <= DECODE_MOST and m[0][:2] in ("30", "6f", "6F") and is_key(bytes.fromhex(m[0])):
+        if m[0][:2] in ("30", "6f", "6F") and is_key(bytes.fromhex(m[0])):
             yield "hexkey", m.start(), m.end()
 
 
+def wrapped_keys(text: str, url: bool, run: re.Pattern, line: re.Pattern) -> Iterator[tuple[int, int]]:
+    """(start, end) of keys in base64 that begin with a line of a run and end with one."""
+    for m in run.finditer(text):
+        if len(m[0]) < LEAST_BASE64 or url and not ("-" in m[0] or "_" in m[0]):
+            continue
+        lines, i = [x.span() for x in line.finditer(text, *m.span())], 0
+        while i < len(lines):
+            if end := key_end(text, lines, i, url):
+                yield lines[i][0], end
+                while i < len(lines) and lines[i][0] < end:
+                    i += 1
+            else:
+                i += 1
+
+
+def key_end(text: str, lines: list[tuple[int, int]], i: int, url: bool) -> int | None:
+    """Where the key that begins with line ``i`` ends, None if none does."""
+    start, stop = lines[i]
+    if text.startswith("b3BlbnNzaC1rZXk", start):
+        whole = "".join(text[a:b] for a, b in lines[i:])
+        size = key_length(from_base64(whole[: len(whole) // 4 * 4], url) or b"") or len(whole) * 3 // 4
+    elif text[start] == "M":  # the first six bits of a sequence
+        size = key_length(from_base64(text[start : start + 8], url) or b"")
+    else:
+        return None
+    if not size or (need := (size * 4 + 2) // 3) < LEAST_BASE64:
+        return None
+    parts = []
+    for a, b in lines[i:]:
+        parts.append(text[a:b])
+        need -= b - a
+        if need <= 0:
+            break
+    else:
+        return None
+    if need < 0 or not (raw := from_base64("".join(parts), url)) or not is_key(raw):
+        return None
+    for _ in range(-size % 3):
+        b += text.startswith("=", b)
+    return b
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     found, low = [], text.lower()
     if any(name in low for name in NAMED):

@@ -109,3 +109,17 @@ def test_joined_without_a_broadcast(spark, monkeypatch):
     one = {tuple(r) for r in quality.judged(docs, ["doc_id", "lang"]).collect()}
     monkeypatch.setattr(quality, "LANGUAGES", 0)
     assert {tuple(r) for r in quality.judged(docs, ["doc_id", "lang"]).collect()} == one
+
+
+def test_base_columns_are_sql(spark):
+    import duckdb
+
+    from lodestone.llm import sql
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    cur = con.execute(sql.QUALITY_BASE)
+    names = [c[0] for c in cur.description]
+    want = {r[0]: r for r in cur.fetchall()}
+    got = {r.doc_id: r for r in quality.op4_quality_rules(spark, "/root/testdata/sf0.001").collect()}
+    assert {i: tuple(r[n] for n in names) for i, r in got.items()} == want
