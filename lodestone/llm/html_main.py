@@ -14,8 +14,9 @@ and the menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments around and inside of them, each block with its label.
 
 Edge cases: null or empty html has the empty text; broken markup is read as far as
-it can be (an open comment or script reaches to the end, ends without a begin are
-skipped); text outside of any element is a block; a page without main text has the
+it can be (an open comment, script, style, title or textarea reaches to the end; anything else without its end
+hides nothing, an element that closes itself neither; ends without a begin are
+skipped; the head ends where the first element begins that cannot be in it); text outside of any element is a block; a page without main text has the
 empty text; repeated pages are extracted each for itself.
 """
 
@@ -32,9 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import annotate, table
 
-UNSEEN = "script|style|noscript|template|textarea|select|svg|iframe|object|canvas|title"
+#: What these hold is text to the parser, up to their end or that of the page.
+RAW = "script|style|title|textarea"
+#: What these hold is markup that no reader sees.
+HIDDEN = frozenset("noscript template select svg iframe object canvas".split())
+IN_HEAD = frozenset("head title meta link script style base noscript template".split())
+ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW})(?=[\s/>])(?:{ATTRIBUTES}|[^>]*+)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -50,6 +56,35 @@ ENDS_P = BLOCKS - {"button", "label", "body", "html", "head", "td", "th", "tr",
 P_BORDER = frozenset({"button", "td", "th", "caption", "table", "body", "html"})
 
 
+def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it ends an element, attributes) of each piece of markup; name is empty for what is no tag.
+
+    An element of ``HIDDEN`` that has an end of its own is one piece, with all that it holds.
+    """
+    tags = [(m.start(), m.end(), (m[3] or m[6] or "").lower(), bool(m[2] or m[5]), m[4] or m[7] or "") for m in TOKEN.finditer(page)]
+    if not any(t[2] in HIDDEN for t in tags):
+        return tags
+    opened: dict[str, list[int]] = {}
+    last: dict[int, int] = {}
+    for i, (_, _, name, ends, attributes) in enumerate(tags):
+        if name in HIDDEN:
+            if not ends and not attributes.rstrip().endswith("/"):
+                opened.setdefault(name, []).append(i)
+            elif ends and opened.get(name):
+                last[opened[name].pop()] = i
+    out, i = [], 0
+    while i < len(tags):
+        if i in last:
+            out.append((tags[i][0], tags[last[i]][1], "", False, ""))
+            i = last[i]
+        elif tags[i][2] not in HIDDEN:
+            out.append(tags[i])
+        else:
+            out.append((*tags[i][:2], "", False, ""))
+        i += 1
+    return out
+
+
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(ancestors, text, characters in links) of each leaf block; an ancestor is its tag and class words."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -62,7 +97,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                if not any(t == "head" for t, _ in stack):
+                if not any(t == "head" for t, _ in stack[:3]):
                     out.append((tuple(f"{t} {w}" if w else t for t, w in stack if t in BLOCKS or w), text, linked))
             parts.clear()
         linked = 0
@@ -79,14 +114,18 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if links:
             linked += len(text.strip())
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        tag = m[3] or m[6]
+    for start, end, tag, ends, attrs in tags_of(page):
+        if start > at:
+            take(page[at:start])
+        at = end
         if not tag:
             continue
-        tag, ends, attrs = tag.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
+        if tag not in IN_HEAD and not ends:
+            for i, (t, _) in enumerate(stack[:3]):
+                if t == "head":
+                    flush()
+                    pop_to(i)
+                    break
         block = tag in BLOCKS
         if block:
             flush()

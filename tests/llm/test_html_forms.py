@@ -1,0 +1,143 @@
+"""Markup that hides text or must not, and extraction against a plain version."""
+
+import random
+import re
+from html.parser import HTMLParser
+
+import numpy as np
+import pytest
+
+from lodestone.llm import html_main
+
+ONE, TWO = "The first paragraph of the article, long enough.", "The second one of it, of some words too."
+
+
+def page(between, head=""):
+    return f"<html><head><title>t</title>{head}</head><body><nav><a href=/>Home</a></nav><article><h1>A title</h1><p>{ONE}</p>{between}<p>{TWO}</p></article><footer>&copy; x</footer></body></html>"
+
+
+@pytest.fixture(scope="module")
+def field():
+    return html_main.trained()
+
+
+HIDES_NOTHING = [
+    "<svg/>",
+    '<svg class="icon" />',
+    '<iframe src="x" />',
+    "<title-bar></title-bar>",
+    "<object-view></object-view>",
+    "<style-guide></style-guide>",
+    "<select-box></select-box>",
+    "<title-bar>",
+    "<script-box/>",
+    "<svg>",
+    "<iframe src=x>",
+    "<canvas>",
+    "<noscript>",
+    "<template>",
+    "<select><svg></svg>",
+    "<!-->",
+    "<!--->",
+    "<!-- x --!>",
+    "</svg></select></title>",
+]
+
+
+@pytest.mark.parametrize("markup", HIDES_NOTHING)
+def test_markup_without_an_end_hides_nothing(field, markup):
+    assert html_main.main_text(page(markup), field) == f"A title\n\n{ONE}\n\n{TWO}"
+
+
+HIDDEN = [
+    "<svg><text>no</text></svg>",
+    "<svg><svg><text>no</text></svg> no</svg>",
+    "<noscript><p>no</p></noscript>",
+    "<select><option>no<option>no</select>",
+    "<style>p{no}</style >",
+    "<script>if (a < b) { '<p>no</p>' }</script\n>",
+    '<iframe srcdoc="<p>no</p>"><p>no</p></iframe>',
+    '<object data="a>b"><p>no</p></object>',
+    "<textarea><p>no</p></textarea>",
+    "<template><template><p>no</p></template><p>no</p></template>",
+]
+
+
+@pytest.mark.parametrize("markup", HIDDEN)
+def test_hidden_text(field, markup):
+    assert html_main.main_text(page(markup), field) == f"A title\n\n{ONE}\n\n{TWO}"
+
+
+def test_a_head_without_its_end(field):
+    whole = page("")
+    assert html_main.main_text(whole.replace("</head>", ""), field) == f"A title\n\n{ONE}\n\n{TWO}"
+    assert html_main.main_text(whole.replace("</head><body>", ""), field) == f"A title\n\n{ONE}\n\n{TWO}"
+
+
+class Plain(HTMLParser):
+    """Leaf blocks as the library's parser sees a well-formed page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts, self.hidden = [], [], 0
+
+    def cut(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.out.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("title", "style", "script")
+        if tag in html_main.BLOCKS:
+            self.cut()
+        if tag == "br":
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("title", "style", "script")
+        if tag in html_main.BLOCKS:
+            self.cut()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_extraction_is_brute_force(spark, field):
+    """Blocks by another parser, labels by trying all of them, joined: the same text."""
+    pages = [p for p, _ in html_main.labelled_pages(200, 77)]
+    rows = [(i, f"u{i}", p) for i, p in enumerate(pages)] + [(1000, None, None), (1001, "e", "")]
+    got = {r.page_id: r.main_text for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id", "url"]).collect()}
+    assert got[1000] == got[1001] == ""
+    tried = 0
+    for i, p in enumerate(pages):
+        plain = Plain()
+        plain.feed(p)
+        plain.close()
+        plain.cut()
+        blocks = html_main.blocks_of(p)
+        assert [b[1] for b in blocks] == plain.out
+        n = len(blocks)
+        if not 0 < n <= 16:
+            continue
+        tried += 1
+        u = np.array([np.sum([field.table.get(f, (0, 0)) for f in html_main.features(*b)], 0) for b in blocks])
+        y = (np.arange(1 << n)[:, None] >> np.arange(n)) & 1  # all labellings
+        value = u[np.arange(n), y].sum(1) + field.step[y[:, :-1], y[:, 1:]].sum(1)
+        best = y[value.argmax()]
+        assert got[i] == "\n\n".join(t for t, y in zip(plain.out, best) if y)
+    assert tried > 10
+
+
+def test_broken_and_long_pages(spark, field):
+    rng = random.Random(4)
+    pieces = ["<p>", "</p>", "<svg", "<svg>", "</svg>", "<!--", "-->", "<a href='", '"', ">", "<", "word ", "&amp", "&#x41;", "<select>", "<li>", "</div>", "<div class=ad>", "<title>", "</title>", "<br/>", "\x00"]
+    for _ in range(300):
+        html_main.main_text("".join(rng.choices(pieces, k=rng.randint(0, 60))), field)
+    long = f"<article>{'<p>' + 'some words of it ' * 40 + '.</p>'}" * 1 + "<svg>" * 20_000 + f"<p>{'some more words ' * 200_000}</p></article>"
+    text = html_main.main_text(long, field)
+    assert len(re.findall("some more words", text)) == 200_000
+    schema = "page_id long, url string, html string, text string, main_text int"
+    assert html_main.extract(spark.createDataFrame([], schema), ["page_id"]).count() == 0
+    (row,) = html_main.extract(spark.createDataFrame([(None, None, page(""), "x", 1)], schema), ["page_id", "main_text"]).collect()
+    assert row.page_id is None and row.main_text.startswith("A title")
