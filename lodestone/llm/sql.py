@@ -34,3 +34,52 @@ made AS (SELECT doc_id, coalesce(sums.n, 0) AS n_words, coalesce(chars, 0) AS wo
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM texts LEFT JOIN sums USING (row) LEFT JOIN dup USING (row) LEFT JOIN covered USING (row))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM made
 """
+
+#: The whole result of op2_substring_dedup.
+SUBSTRING_DEDUP = r"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT row, doc_id, ws, unnest(range(1, len(ws) - 48)) AS k FROM texts),
+windows AS (SELECT row, doc_id, k, md5(array_to_string(ws[k:k + 49], ' ')) AS w FROM starts),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+again AS (SELECT DISTINCT row, k FROM windows JOIN firsts USING (w) WHERE doc_id > first),
+words AS (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM texts),
+marked AS (SELECT row, k, word, coalesce(max(again.k) OVER (PARTITION BY row ORDER BY k) > k - 50, FALSE) AS gone FROM words LEFT JOIN again USING (row, k)),
+sums AS (SELECT row, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY k) FILTER (NOT gone) AS kept FROM marked GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN sums USING (row)
+"""
+
+#: The three discounts from a table of counts of counts, for a group of which the CTE {0} has the counts in c.
+_DISCOUNTS = r"""
+(SELECT [least(greatest(1 - 2 * y * r1, 0.1), 0.9), least(greatest(2 - 3 * y * r2, 0.1), 1.9), least(greatest(3 - 4 * y * r3, 0.1), 2.9)] AS d FROM (
+  SELECT CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5::DOUBLE END AS y, CASE WHEN n1 > 0 AND n2 > 0 THEN n2 / n1 ELSE 0.5::DOUBLE END AS r1,
+    CASE WHEN n2 > 0 AND n3 > 0 THEN n3 / n2 ELSE 0.5::DOUBLE END AS r2, CASE WHEN n3 > 0 AND n4 > 0 THEN n4 / n3 ELSE 0.5::DOUBLE END AS r3
+  FROM (SELECT (count(*) FILTER (c = 1))::DOUBLE AS n1, (count(*) FILTER (c = 2))::DOUBLE AS n2, (count(*) FILTER (c = 3))::DOUBLE AS n3, (count(*) FILTER (c = 4))::DOUBLE AS n4 FROM {0})))
+"""
+
+#: The whole result of op6_language_model.
+LANGUAGE_MODEL = (
+    r"""
+WITH crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS steps FROM range(256) AS r(i)),
+texts AS (SELECT row_number() OVER () AS row, doc_id,
+  coalesce(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 5 = 1, FALSE) AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS ts FROM documents, crc),
+tokens AS (SELECT row, held_out, unnest(ts) AS b, unnest(list_prepend(chr(10), ts[:-2])) AS a FROM texts),
+one AS (SELECT b, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY b),
+size AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM one),
+two AS (SELECT a, b, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY a, b),
+places AS (SELECT b, count(*) AS c FROM two GROUP BY b),
+cut AS """
+    + _DISCOUNTS.format("two")
+    + r""", low_cut AS """
+    + _DISCOUNTS.format("places")
+    + r""",
+low AS (SELECT sum(low_cut.d[least(c, 3)]) / sum(c) AS rest, sum(c) AS total FROM places, low_cut),
+after AS (SELECT a, sum(c) AS total, sum(cut.d[least(c, 3)]) AS taken FROM two, cut GROUP BY a),
+each AS (SELECT row, coalesce(one.c, 0) AS c, after.total AS total, after.taken AS taken, coalesce(two.c - cut.d[least(two.c, 3)], 0) AS pair,
+  coalesce((places.c - low_cut.d[least(places.c, 3)]) / low.total, 0) + coalesce(low.rest, 1) / (size.v + 1) AS under
+  FROM tokens t CROSS JOIN size CROSS JOIN cut CROSS JOIN low_cut CROSS JOIN low LEFT JOIN one ON one.b = t.b LEFT JOIN places ON places.b = t.b LEFT JOIN after ON after.a = t.a LEFT JOIN two ON two.a = t.a AND two.b = t.b),
+sums AS (SELECT row, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, sum(log10((c + 0.5) / (size.n + 0.5 * (size.v + 1)))) AS base_score,
+  sum(log10(CASE WHEN total IS NULL THEN under ELSE pair / total + taken / total * under END)) AS score FROM each, size GROUP BY row)
+SELECT doc_id, held_out, n_tokens, n_known, size.n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM texts JOIN sums USING (row), size
+"""
+)
