@@ -108,7 +108,8 @@ def test_decontamination(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, item), (0, item)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(docs, bench).collect()}
-    assert got == {(0, 1): False, (1, 1): True, (6, 1): False}
+    # mixed has 14 words after its slots that are word for word the item's: two windows that count whatever was changed before them
+    assert got == {(0, 1): False, (1, 1): True, (2, 1): False, (6, 1): False}
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
