@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -64,12 +65,51 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: With this Spark removes what a query shuffled as soon as that query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Queries that end inside leave no shuffle files behind: their results are written, nobody reads those files again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
+
+
+def removed(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables of the shared folder that are needed only until what is made from them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str) -> str:
+        self.paths.append(fresh_path(self.spark, name))
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        with cleaned(self.spark):
+            df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+        self.paths = []
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -126,6 +166,20 @@ def put_bytes(uri: str, content: bytes) -> None:
         f.write(content)
 
 
+def get_bytes(uri: str) -> bytes | None:
+    """The content of a file of the shared folder, None if there is none."""
+    if path := local_path(uri):
+        if not os.path.exists(path):
+            return None
+        with open(path, "rb") as f:
+            return f.read()
+    fs, path = pafs.FileSystem.from_uri(uri)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
 def mapped(uri: str, dtype) -> np.ndarray | None:
     """A memory-mapped array of the shared folder (copied to this machine first if it is in another store), None if there is none."""
     path = local_path(uri)

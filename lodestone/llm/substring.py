@@ -4,7 +4,10 @@ Documents come in batches of ascending doc_id. The index holds what earlier
 batches had as sorted immutable runs of window hashes: tables in the shared
 folder, bucketed and sorted by hash, so that a new batch is merge-joined with a run
 without the run being shuffled or sorted again. When ``FAN_IN`` runs of one level have
-gathered, they are compacted into one run of the next.
+gathered, they are compacted into one run of the next and deleted. The texts of a batch are kept as
+a table bucketed by doc_id. A manifest names the tables that count; it is replaced last,
+so a batch that breaks off leaves the index as it was. ``FingerprintIndex(spark, path)`` opens
+the index at ``path`` again, in this session or a later one, and ``add`` brings the next batch.
 
 Not every window goes into a run. Of each window of ``SIZE`` words the smallest hash
 among its parts of ``PART`` words is its anchor, so equal windows have equal
@@ -12,19 +15,20 @@ anchors, and neighbouring windows mostly share one. A run holds the distinct
 (anchor, doc_id) of documents, some twentieth of the windows. Windows under
 an anchor that two documents share are candidates. Those of the batch and of the
 historical documents that the merge-join names are then verified: they are cut from
-the texts again and told apart by 128 bits over all their words; the smallest
-doc_id of each decides. What the candidates hold is summed up to one row a window
-before it is joined, and documents with equal word sequences (exact copies) are first
+the texts again and compared by a cryptographic digest (BLAKE2b, 128 bits) of their words as they are written; the smallest
+doc_id of each decides. Documents with equal word sequences (exact copies) are first
 collapsed to the one with the smallest doc_id, so a group of copies costs one.
 
 Edge cases: a null text has no words; a document shorter than a window keeps all
 its words; rows with a null doc_id have no order: they keep their words and nobody
-is compared with them; rows that repeat a doc_id do not remove each other's words.
+is compared with them; rows that repeat a doc_id do not remove each other's words, and each is judged by its own text;
+a batch whose doc_ids do not all follow those in the index is refused; an empty batch changes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -34,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, ship, table, texts, written
+from .common import Scratch, annotate, cleaned, fresh_path, get_bytes, put_bytes, removed, ship, table, texts, written
 from .decontaminate import window_hashes
 from .kneser_ney import mixed
 
 SIZE, PART = 50, 10
-BATCHES = 3
-FAN_IN = 4
+BATCHES = 4
+FAN_IN = 2
 CACHE_MOST = 500_000
 
 
@@ -66,11 +70,6 @@ def anchors(tokens: np.ndarray) -> np.ndarray:
     return np.minimum(low[: len(low) - (span - length)], low[span - length :])
 
 
-def windows128(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    other = mixed(tokens ^ np.uint64(0x5851F42D4C957F2D))
-    return window_hashes(tokens, SIZE), window_hashes(other, SIZE)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
@@ -94,95 +93,176 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, at) of the windows of (doc_id, text, wanted) whose anchor is in the array ``wanted``."""
+    """(h1, h2, doc_id, t, at) of the windows of (doc_id, digest, text, wanted) whose anchor is in the array ``wanted``.
+
+    h1 and h2 are the digest of the window's words, t is the text's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                out: list[list] = [[], [], [], []]
-                for i, (doc_id, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                    tokens = hashed(text.encode(errors="replace").split(), known)
-                    wanted = part.column(2)[i].values.to_numpy().view(np.uint64)
-                    at = np.flatnonzero(np.isin(anchors(tokens), wanted))
-                    h1, h2 = windows128(tokens)
-                    for col, x in zip(out, (h1[at], h2[at], np.full(len(at), doc_id), at)):
-                        col.append(x)
-                h1, h2, d, at = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([_signed(h1), _signed(h2), pa.array(d, pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc_id", "at"])
-
-    return docs.select("doc_id", "text", "wanted").mapInArrow(run, "h1 long, h2 long, doc_id long, at int")
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                digests, ids, keys, places = [], [], [], []
+                for i, (doc_id, digest, text) in enumerate(zip(*(part.column(k).to_pylist() for k in range(3)))):
+                    words = text.encode(errors="replace").split()
+                    if len(words) < SIZE:
+                        continue
+                    wanted = part.column(3)[i].values.to_numpy().view(np.uint64)
+                    at = np.flatnonzero(np.isin(anchors(hashed(words, known)), wanted))
+                    joined = b" ".join(words)
+                    ends = np.cumsum([len(w) + 1 for w in words])
+                    starts, stops = np.r_[0, ends[:-1]][at].tolist(), (ends[at + SIZE - 1] - 1).tolist()
+                    digests += [hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(starts, stops)]
+                    ids.append(np.full(len(at), doc_id))
+                    keys.append(np.full(len(at), text_number(digest)))
+                    places.append(at)
+                if digests:
+                    h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    cols = [h[:, 0], h[:, 1], *map(np.concatenate, (ids, keys, places))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), k) for x, k in zip(cols, [pa.int64()] * 4 + [pa.int32()])], ["h1", "h2", "doc_id", "t", "at"])
 
+    return docs.select("doc_id", "digest", "text", "wanted").mapInArrow(run, "h1 long, h2 long, doc_id long, t long, at int")
 
-class FingerprintIndex:
-    """Sorted immutable runs of anchors, by level; a run is a table bucketed and sorted by anchor."""
 
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets, self.name = spark, buckets, f"substring_{uuid.uuid4().hex[:10]}"
-        self.levels: list[list[str]] = [[]]
-        self.made = 0
+def text_number(digest: bytes) -> int:
+    """The first eight bytes of a text's digest, as ``text_column`` has them."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+def text_column():
+    return F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(t) for level in self.levels for t in level]
 
-    def _write(self, rows: DataFrame) -> str:
-        self.made += 1
-        name = f"{self.name}_{self.made}"
-        rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor", "doc_id").format("parquet").saveAsTable(name)
+TEXTS = "doc_id bigint, n_words bigint, digest binary, text string"
+ANCHORS = "anchor bigint, doc_id bigint"
+
+
+class FingerprintIndex:
+    """Sorted immutable runs of anchors, by level, and the texts of each batch, below ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fan_in: int = FAN_IN):
+        self.spark, self.fan_in = spark, fan_in
+        self.path = (path or fresh_path(spark, "substring-index")).rstrip("/")
+        found = get_bytes(f"{self.path}/manifest.json")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.state = json.loads(found) if found else {"buckets": n, "levels": [[]], "texts": [], "last": None}
+        ship(spark)
+
+    def _write(self, rows: DataFrame, kind: str, key: str, *order: str) -> str:
+        name, n = f"substring_{kind}_{uuid.uuid4().hex[:12]}", self.state["buckets"]
+        with cleaned(self.spark):
+            rows.repartition(n, key).write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(n, key).sortBy(key, *order).saveAsTable(name)
         return name
 
-    def append(self, rows: DataFrame) -> None:
-        self.levels[0].append(self._write(rows))
-        for k in range(len(self.levels)):
-            if len(self.levels[k]) >= FAN_IN:
-                full, self.levels[k] = self.levels[k], []
-                merged = self.spark.table(full[0])
-                for t in full[1:]:
-                    merged = merged.unionByName(self.spark.table(t))
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(self._write(merged))
-                for t in full:
-                    self.spark.sql(f"drop table {t}")
-
-    def shared(self, rows: DataFrame) -> DataFrame:
+    def _table(self, name: str, columns: str, key: str, *order: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):
+            place = f"{self.path}/{name}".replace("'", "\\'")
+            self.spark.sql(f"create table {name} ({columns}) using parquet clustered by ({key}) sorted by ({', '.join((key, *order))}) into {self.state['buckets']} buckets location '{place}'")
+        return self.spark.table(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        removed(self.spark, f"{self.path}/{name}")
+
+    def runs(self) -> list[DataFrame]:
+        return [self._table(name, ANCHORS, "anchor", "doc_id") for level in self.state["levels"] for name in level]
+
+    def texts(self) -> list[tuple[int, int, DataFrame]]:
+        """(least doc_id, largest, texts) of each batch."""
+        return [(t["lo"], t["hi"], self._table(t["name"], TEXTS, "doc_id")) for t in self.state["texts"]]
+
+    def _keep(self, anchors: DataFrame, batch: dict) -> None:
+        """A further run, compaction where a level is full, then the new manifest; old runs go last."""
+        levels = [list(x) for x in self.state["levels"]]
+        levels[0].append(self._write(anchors, "run", "anchor", "doc_id"))
+        old = []
+        for k in range(len(levels)):
+            if len(levels[k]) >= self.fan_in:
+                full, levels[k] = levels[k], []
+                runs = [self._table(name, ANCHORS, "anchor", "doc_id") for name in full]
+                merged = runs[0]
+                for r in runs[1:]:
+                    merged = merged.unionByName(r)
+                if k + 1 == len(levels):
+                    levels.append([])
+                levels[k + 1].append(self._write(merged, "run", "anchor", "doc_id"))
+                old += full
+        self.state = self.state | {"levels": levels, "texts": [*self.state["texts"], batch], "last": batch["hi"]}
+        put_bytes(f"{self.path}/manifest.json", json.dumps(self.state).encode())
+        for name in old:
+            self._drop(name)
+
+    def drop_runs(self) -> None:
+        for level in self.state["levels"]:
+            for name in level:
+                self._drop(name)
+        self.state["levels"] = [[]]
+
+    def _shared(self, rows: DataFrame, scratch: Scratch) -> DataFrame:
         """(anchor, doc_id) of the batch ``rows`` and of the runs for each anchor that two documents have."""
         in_batch = rows.groupBy("anchor").agg((F.min("doc_id") != F.max("doc_id")).alias("twice"))
         hits = [run.join(in_batch, "anchor", "left_semi") for run in self.runs()]
         old = hits[0] if hits else rows.limit(0)
         for h in hits[1:]:
             old = old.unionByName(h)
-        old = written(old, "old-anchors")
+        old = scratch.written(old, "old-anchors")
         both = in_batch.join(old.select("anchor").distinct().withColumn("before", F.lit(True)), "anchor", "left")
-        wanted = written(both.where("twice or before").select("anchor"), "shared-anchors")
+        wanted = scratch.written(both.where("twice or before").select("anchor"), "shared-anchors")
         return rows.join(wanted, "anchor", "left_semi").unionByName(old)
 
-
-def duplicate_windows(docs: DataFrame, unique: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, at): windows of the ``unique`` (doc_id) of ``docs`` (doc_id, text) whose words also start in one with a smaller doc_id."""
-    spark = docs.sparkSession
-    ends = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    if not ends.n:
-        return spark.createDataFrame([], "doc_id long, at int")
-    index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [ends.lo + (ends.hi + 1 - ends.lo) * k // batches for k in range(batches + 1)]
-    found = None
-    for lo, hi in zip(cuts, cuts[1:]):
-        batch = docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi))
-        rows = written(anchor_rows(batch).join(unique, "doc_id", "left_semi").distinct(), "anchors")
-        by_doc = written(index.shared(rows).groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")), "wanted")
-        seen = docs.where(F.col("doc_id") < hi).join(by_doc, "doc_id")
-        windows = written(candidate_windows(seen), "windows")
+    def add(self, docs: DataFrame, store: bool = True) -> DataFrame:
+        """(doc_id, n_words, n_removed, kept_sha256) of the rows of a batch; ``store``: later batches will be compared with it."""
+        source = texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        loose = with_digests(source.where("doc_id is null")).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("digest")).alias("kept_sha256"))
+        name = self._write(with_digests(source.where("doc_id is not null")).select("doc_id", "n_words", "digest", "text"), "texts", "doc_id")
+        own = self._table(name, TEXTS, "doc_id")
+        ends = own.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+        if ends.lo is None:
+            self._drop(name)
+            return loose
+        if self.state["last"] is not None and ends.lo <= self.state["last"]:
+            self._drop(name)
+            raise ValueError(f"doc_ids of a batch follow those before it: {ends.lo} is not above {self.state['last']}")
+        batch, scratch = {"name": name, "lo": ends.lo, "hi": ends.hi}, Scratch(self.spark)
+        each = self._with_firsts(own, scratch)
+        unique = scratch.written(each.where(~F.col("whole") & (F.col("n_words") >= SIZE)).select("doc_id", F.col("digest").alias("d")).distinct(), "unique")
+        rows = scratch.written(anchor_rows(own.join(unique, "doc_id").where("digest = d")).distinct(), "anchors")
+        starts = self._starts(own, ends.lo, rows, scratch)
+        found = written(each.join(starts, (each["doc_id"] == F.col("__id")) & (text_column() == F.col("t")), "left").drop("__id", "t"), "removals")
+        if store:
+            self._keep(rows, batch)
+        scratch.drop()
+        return loose.unionByName(kept_rows(found, own))
+
+    def _with_firsts(self, own: DataFrame, scratch: Scratch) -> DataFrame:
+        """(doc_id, n_words, digest, whole) of the batch; whole: an exact copy with a smaller doc_id exists."""
+        sums = own.select("doc_id", "n_words", "digest")
+        long = sums.where(F.col("n_words") >= SIZE).groupBy("digest").agg(F.min("doc_id").alias("first"))
+        old = [t.select("digest", "doc_id").join(long.select("digest"), "digest", "left_semi") for _, _, t in self.texts()]
+        for t in old:
+            long = long.unionByName(t.groupBy("digest").agg(F.min("doc_id").alias("first")))
+        firsts = scratch.written(long.groupBy("digest").agg(F.min("first").alias("first")), "firsts")
+        whole = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+        return scratch.written(sums.join(firsts, "digest", "left").select("doc_id", "n_words", "digest", whole.alias("whole")), "each")
+
+    def _starts(self, own: DataFrame, lo: int, rows: DataFrame, scratch: Scratch) -> DataFrame:
+        """(__id, t, starts): where in a text of the batch windows start whose words also start in a document with a smaller doc_id."""
+        by_doc = scratch.written(self._shared(rows, scratch).groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted")), "wanted")
+        old = self.texts()
+        named = by_doc.select([F.count(F.when(F.col("doc_id").between(a, b), 1)).alias(f"n{k}") for k, (a, b, _) in enumerate(old)]).first() if old else ()
+        seen = candidate_windows(own.join(by_doc, "doc_id"))
+        for n, (_, _, t) in zip(named, old):
+            if n:
+                seen = seen.unionByName(candidate_windows(t.join(by_doc, "doc_id")))
+        windows = scratch.written(seen, "windows")
         first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-        later = windows.where(F.col("doc_id") >= lo).join(written(first, "first"), ["h1", "h2"]).where("doc_id > first").select("doc_id", "at")
-        found = later if found is None else found.unionByName(later)
-        index.append(rows)
-    return found
+        later = windows.where(F.col("doc_id") >= lo).join(scratch.written(first, "first"), ["h1", "h2"]).where("doc_id > first")
+        return later.groupBy(F.col("doc_id").alias("__id"), "t").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
 
-def sequence_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, digest): the SHA-256 of each text's words joined by a space."""
+def with_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n_words, digest: the SHA-256 of each text's words joined by a space."""
 
     def make():
         def of(ts: list[str]):
@@ -191,30 +271,18 @@ def sequence_digests(docs: DataFrame) -> DataFrame:
 
         return of
 
-    return annotate(docs, ["doc_id"], [("n_words", "long"), ("digest", "binary")], make)
+    return annotate(docs, ["doc_id", "text"], [("n_words", "long"), ("digest", "binary")], make)
 
 
-def removals(docs: DataFrame, stored: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_words, digest, whole, starts) of each row; ``stored`` are the texts by ``stored_by_id``.
-
-    whole: an exact copy with a smaller doc_id exists; starts: of the duplicate windows otherwise.
-    """
-    sums = written(sequence_digests(docs), "digests")
-    firsts = written(sums.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
-    each = sums.join(firsts, "digest", "left").withColumn("whole", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
-    each = written(each.drop("first"), "each")
-    unique = each.where(~F.col("whole") & F.col("doc_id").isNotNull() & (F.col("n_words") >= SIZE)).select("doc_id").distinct()
-    starts = duplicate_windows(stored, written(unique, "unique"), batches)
-    gathered = starts.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("starts"))
-    return each.join(gathered, "doc_id", "left")
-
-
-def stored_by_id(docs: DataFrame) -> DataFrame:
-    """The texts of rows with a doc_id as a table bucketed by it: what is joined to them later moves, they do not."""
-    spark = docs.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"substring_texts_{uuid.uuid4().hex[:10]}"
-    texts(docs).where("doc_id is not null").repartition(n, "doc_id").write.bucketBy(n, "doc_id").sortBy("doc_id").format("parquet").saveAsTable(name)
-    return spark.table(name)
+def kept_rows(found: DataFrame, own: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row; ``sequence_rows`` has the text of those that lose a part."""
+    partly = F.col("starts").isNotNull() & ~F.col("whole")
+    some = found.where(partly).select("doc_id", F.col("digest").alias("d"), "starts").dropDuplicates(["doc_id", "d"])
+    gone = F.col("whole") & (F.col("n_words") >= SIZE)
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    plain = found.where(~partly).select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, empty).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"))
+    changed = sequence_rows(own.join(some, "doc_id").where("digest = d"))
+    return plain.unionByName(changed.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
 
 
 def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
@@ -226,38 +294,46 @@ def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(keep)]
 
 
-def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of every row; ``sequence_rows`` has the text of those that lose a part."""
-    ship(docs.sparkSession)
-    stored = stored_by_id(docs)
-    found = written(removals(docs, stored, batches), "removals")
-    some = found.where(F.col("starts").isNotNull() & ~F.col("whole")).select("doc_id", "digest", "starts").dropDuplicates(["doc_id", "digest"])
-    source = sequence_rows(stored, some)
-    plain = found.where(F.col("starts").isNull() | F.col("whole"))
-    gone = F.col("whole") & (F.col("n_words") >= SIZE)
-    plain = plain.select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"))
-    return plain.unionByName(source.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
-
-
-def sequence_rows(docs: DataFrame, some: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of the rows that lose a part."""
+def sequence_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of rows (doc_id, text, starts) that lose a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            ids = []
-            for i, (doc_id, text, digest) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 words = text.encode(errors="replace").split()
-                if hashlib.sha256(b" ".join(words)).digest() != digest:
-                    continue
-                left = kept_words(words, batch.column(3)[i].values.to_numpy())
-                ids.append(doc_id)
+                left = kept_words(words, batch.column(2)[i].values.to_numpy())
                 n.append(len(words))
                 gone.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return docs.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
-    return docs.join(some, "doc_id").select("doc_id", "text", "digest", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+def deduplicated(docs: DataFrame, batches: int = BATCHES, path: str | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row, added to an index in batches of about equal size.
+
+    path: of an index that stays, with what is in it already; otherwise the runs go when the last batch is through.
+    """
+    index = FingerprintIndex(docs.sparkSession, path)
+    at = [k / batches for k in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), at, 10_000).alias("x")).first().x if at else []
+    cuts = sorted(set(cuts or []))
+    made = index.add(docs.where(F.col("doc_id").isNull())) if not cuts else None
+    for k in range(len(cuts) + 1):
+        part = docs
+        if k:
+            part = part.where(F.col("doc_id") > cuts[k - 1])
+        if k < len(cuts):
+            part = part.where((F.col("doc_id") <= cuts[k]) | (F.col("doc_id").isNull() if k == 0 else F.lit(False)))
+        elif not k:
+            part = part.where("doc_id is not null")
+        rows = index.add(part, store=path is not None or k < len(cuts))
+        made = rows if made is None else made.unionByName(rows)
+    if path is None:
+        index.drop_runs()
+    return made
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
