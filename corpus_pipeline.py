@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again by the next.
 
-Rows keep all their columns through every stage but the last. Rows without a doc_id
-cannot be told apart from each other: the second and third stage keep them as they are.
+Rows keep all their columns through every stage but the last. Rows without a doc_id are judged by
+their texts like any other; of a group of near copies they go if one of it has a doc_id.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, quality, secret_scan, simhash
-from lodestone.llm.common import annotate, fresh_path, table, written
+from lodestone.llm.common import annotate, cleaned, fresh_path, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id, once."""
+    """Of each group of near copies the document with the smallest doc_id, once; if none has a doc_id, one of the smallest text_key."""
     groups = simhash.near_groups(docs)
-    stay = written(groups.where("doc_id = first").select("doc_id").distinct(), "near-stay")
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    stay = written(groups.where("doc_id = first").groupBy("doc_id").agg(F.count("*").alias("__rows")), "near-stay")
+    named = docs.join(stay, "doc_id")
+    once = named.where("__rows = 1").select(*docs.columns)
+    more = named.where("__rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    nameless = groups.where("first is null").groupBy("group").agg(F.min("text_key").alias("text_key")).select("text_key")
+    if not nameless.limit(1).count():
+        return once.unionByName(more)
+    rows = docs.where("doc_id is null").select(F.struct("*").alias("row"), "doc_id", "text")
+    rows = simhash.near_keys(rows, ["row"]).join(nameless, "text_key", "left_semi").dropDuplicates(["text_key"])
+    return once.unionByName(more).unionByName(rows.select("row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with cleaned(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -13,7 +13,8 @@ within bands: of ``BLOCKS`` blocks of bits at most ``MOST_BITS`` hold a
 difference, hence two linked fingerprints agree on all bits of some choice of
 ``BLOCKS - MOST_BITS`` blocks. One band exists for each choice; none is left out.
 
-A band is dealt into chunks of at most ``CHUNK`` fingerprints and a task sees
+A band of more than ``CHUNK`` fingerprints is cut in the same way by the bits that it does not compare
+(``INNER_BLOCKS`` blocks of those); what is still larger is dealt into chunks, and a task sees
 two chunks at a time. It reports a spanning forest of the links that it finds and
 not all of them, which leaves the components as they are.
 
@@ -32,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, mapped, put_bytes, ship, table, texts, written
+from .common import Scratch, annotate, mapped, put_bytes, ship, table, texts, written
 from .components import components
 
 SHINGLE = 4
@@ -45,6 +46,9 @@ MOST_BITS = 4
 BLOCKS = 7
 PIVOTS = 16
 CHUNK = 512
+INNER_BLOCKS = 6
+#: Keys of crowded bands that are broadcast, eight bytes each.
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -61,6 +65,10 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
         stops = (ends[size - 1 :] - 1).tolist()
     xx = xxhash.xxh64_intdigest
     hashes = np.array([xx(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
     n = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -98,6 +106,14 @@ def bands(blocks: int = BLOCKS, most_bits: int = MOST_BITS) -> list[int]:
     return [signed(sum(c)) for c in itertools.combinations(block, blocks - most_bits)]
 
 
+def inner_bands(mask: int, most_bits: int = MOST_BITS, blocks: int = INNER_BLOCKS) -> list[int]:
+    """The same over the bits that ``mask`` leaves out: of ``blocks`` blocks all but ``most_bits`` agree too."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    edges = [round(len(rest) * i / blocks) for i in range(blocks + 1)]
+    block = [sum(1 << b for b in rest[lo:hi]) for lo, hi in itertools.pairwise(edges)]
+    return [signed(sum(c)) for c in itertools.combinations(block, blocks - most_bits)]
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     """Which of the links (a[i], b[i]) of n nodes make a spanning forest."""
     up = list(range(n))
@@ -125,47 +141,43 @@ def _survivors(fp: np.ndarray, coords: np.ndarray, i: np.ndarray, j: np.ndarray,
     return i[near], j[near]
 
 
-def links(rows: DataFrame, masks: list[int], most_bits: int, sketches: DataFrame | None = None, least_similarity: float = 0.0) -> DataFrame:
+def links(rows: DataFrame, masks: list[int], most_bits: int) -> DataFrame:
     """(a, b): ids of ``rows`` (id, fp) that make the same components as all links do.
 
-    A link is a pair that agrees on a mask, differs in at most ``most_bits`` bits, and, with
-    ``sketches`` (id, sketch), has an estimated similarity of ``least_similarity``. Sketches join
-    only what shares a band with another.
+    A link is a pair that differs in at most ``most_bits`` bits; such a pair agrees on one of the masks.
     """
+    scratch = Scratch(rows.sparkSession)
     keyed = rows.select("id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "part"))
     keyed = keyed.withColumn("key", F.xxhash64("band", "part"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    shared = keyed.join(sizes, "key")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
-    met = shared.select("key", "id", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    met = met.withColumn("task", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("task", "id", "fp")
-    met = met.withColumn("sketch", F.lit(b"")) if sketches is None else met.join(sketches, "id")
+    sizes = scratch.written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
+    met = keyed.join(sizes.where(F.col("n") <= CHUNK).select("key"), "key").select(F.col("key").alias("task"), "id", "fp")
+    if hot := sizes.where(F.col("n") > CHUNK).count():
+        inner = F.array(*[F.array(*map(F.lit, inner_bands(m, most_bits))) for m in masks])
+        crowded = keyed.join(F.broadcast(sizes.where(F.col("n") > CHUNK).select("key")) if hot <= BROADCAST_KEYS else sizes.where(F.col("n") > CHUNK).select("key"), "key")
+        crowded = crowded.select("id", "fp", "key", F.explode(inner[F.col("band")]).alias("mask"))
+        crowded = crowded.select("id", "fp", F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+        chunks = crowded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        shared = crowded.join(chunks, "key")
+        own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
+        dealt = shared.select("key", "id", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        met = met.unionByName(dealt.withColumn("task", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).select("task", "id", "fp"))
     coords = F.transform(F.array(*map(F.lit, pivots())), lambda p: F.bit_count(F.col("fp").bitwiseXOR(p)).cast("short"))
-    met = met.repartition("task").sortWithinPartitions("task").select("task", "id", "fp", "sketch", coords.alias("coords"))
+    met = met.repartition("task").sortWithinPartitions("task").select("task", "id", "fp", coords.alias("coords"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def near(i, j, fp, sketch, coords):
-            i, j = _survivors(fp, coords, i, j, most_bits)
-            if sketch.shape[1] and len(i):  # two bits of different minima are the same by chance a quarter of the time
-                x = sketch[i] ^ sketch[j]
-                differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1, dtype=np.int64)
-                good = 1 - differ / (32 * sketch.shape[1]) / 0.75 >= least_similarity
-                i, j = i[good], j[good]
-            return i, j
-
-        def found(task, ids, fp, sketch, coords):
+        def found(task, ids, fp, coords):
             """Links of whole tasks, which follow each other in these arrays."""
             starts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
             n = np.diff(np.r_[starts, len(task)])
-            i, j = near(starts[n == 2], starts[n == 2] + 1, fp, sketch, coords)
+            i, j = _survivors(fp, coords, starts[n == 2], starts[n == 2] + 1, most_bits)
             out_a, out_b = [ids[i]], [ids[j]]
             for at, k in zip(starts[n > 2].tolist(), n[n > 2].tolist()):
                 for lo in range(0, k, 256):
                     i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, min(lo + 256, k)), np.arange(lo + 1, k), indexing="ij"))
                     ahead = j > i
-                    i, j = near(i[ahead] + at, j[ahead] + at, fp, sketch, coords)
+                    i, j = _survivors(fp, coords, i[ahead] + at, j[ahead] + at, most_bits)
                     keep = _forest(i - at, j - at, k)
                     out_a.append(ids[i[keep]])
                     out_b.append(ids[j[keep]])
@@ -174,8 +186,7 @@ def links(rows: DataFrame, masks: list[int], most_bits: int, sketches: DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sketch, batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)]
+            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)]
             if rest is not None:
                 part = [np.concatenate(x) for x in zip(rest, part)]
             cut = np.searchsorted(part[0], part[0][-1])
@@ -185,7 +196,9 @@ def links(rows: DataFrame, masks: list[int], most_bits: int, sketches: DataFrame
         if rest is not None:
             yield found(*rest)
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    made = written(met.mapInArrow(run, "a long, b long").distinct(), "links")
+    scratch.drop()
+    return made
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, most_bits: int = MOST_BITS) -> DataFrame:
@@ -212,6 +225,10 @@ def few(batch: pa.RecordBatch) -> Iterator[str]:
         yield from batch.column(1).slice(at, 200).to_pylist()
 
 
+def near_key(text: str) -> bytes:
+    return xxhash.xxh128_digest(b" ".join(text.encode(errors="replace").lower().split()))
+
+
 def near_set(text: str) -> tuple[bytes, np.ndarray]:
     """The hash of the words of ``text``, and its distinct shingles of ``NEAR_SHINGLE`` words as sorted hashes."""
     words = text.encode(errors="replace").lower().split()
@@ -258,8 +275,9 @@ def _common_shingles(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], (len(top) - order).astype(np.int32)
 
 
-def _near_sets(docs: DataFrame, folder: str) -> DataFrame:
-    """(t, file, at, n): where in ``folder`` the set of each text is."""
+def _near_sets(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(t, file, at, n): where in the shared folder the set of each text is."""
+    folder = scratch.path("near-set-files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, rows, size = [], [], 0
@@ -283,17 +301,22 @@ def _near_sets(docs: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield flushed()
 
-    made = written(docs.mapInArrow(run, "text_key binary, file string, at int, n int"), "near-sets")
+    made = scratch.written(docs.mapInArrow(run, "text_key binary, file string, at int, n int"), "near-sets")
     places = made.groupBy("text_key").agg(F.min(F.struct("file", "at", "n")).alias("x"))
     return places.select(F.xxhash64("text_key").alias("t"), "x.*")
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, source: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, source: DataFrame, keep: Scratch) -> DataFrame:
     """Those of the pairs (a, b) of ``distinct`` texts whose sets reach the similarity, counted on the sets of all texts in a pair."""
-    pairs = written(pairs.distinct(), "near-pairs")
+    scratch = Scratch(source.sparkSession)
+    pairs = scratch.written(pairs.distinct(), "near-pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    ids = written(distinct.join(members, "t", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "near-ids")
-    sets = _near_sets(source.join(ids, "doc_id", "left_semi"), fresh_path(source.sparkSession, "near-set-files"))
+    rows = distinct.join(members, "t", "left_semi").select("id", "text_key")
+    ids = scratch.written(rows.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct(), "near-ids")
+    texts_of = source.join(ids, "doc_id", "left_semi")
+    if rows.where("id is null").limit(1).count():
+        texts_of = texts_of.unionByName(source.where("doc_id is null"))
+    sets = _near_sets(texts_of, scratch)
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("file", "at", "n")]), side)
     pairs = pairs.select("a", "b", "a_file", "a_at", "a_n", "b_file", "b_at", "b_n")
@@ -316,74 +339,108 @@ def _verified(pairs: DataFrame, distinct: DataFrame, source: DataFrame) -> DataF
                 good.append(bool(_enough(overlap, n, m)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return written(pairs.mapInArrow(run, "a long, b long"), "near-links")
+    found = keep.written(pairs.mapInArrow(run, "a long, b long"), "near-links")
+    scratch.drop()
+    return found
+
+
+def near_keys(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` and text_key, the hash of the words in lower case, of every row."""
+    return annotate(docs, keep, [("text_key", "binary")], lambda: lambda ts: [[near_key(t) for t in ts]])
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, first: the smallest doc_id of each row's group of near copies (null without a doc_id).
+    """doc_id, text_key, first, group of every row: first is the smallest doc_id of its group of near copies (null if none has one).
 
     Near copies share ``NEAR_SIMILARITY`` of their distinct shingles of ``NEAR_SHINGLE`` words.
     Texts of the same words in the same order are collapsed first; text_key is the hash of those.
-    Candidates share a shingle of their prefixes (``near_prefix``), which every such pair does, have
-    sizes and places of that shingle that allow the similarity, and are verified on their whole sets.
 
-    A first round links texts under one shingle to one or the other of them; a second compares all pairs
-    that are still in different groups. Pairs left out are in one group already, so groups are
-    those of all near copies. Texts of one doc_id are in one group.
+    Candidates come in two rounds and are verified on their whole sets. The first round takes texts whose
+    SimHash fingerprints over those shingles link (pivot distances, as ``groups`` does), and
+    pairs each text under a shingle of its prefix (``near_prefix``) with one that is there too. The second makes the groups those of all near copies: two near
+    copies always share a shingle of their prefixes, so all texts under one that are still in
+    different groups are compared, if their sizes and places of that shingle allow the similarity. Texts of one doc_id are in one group.
     """
     spark = docs.sparkSession
     ship(spark)
+    scratch = Scratch(spark)
     source = texts(docs)
     order = spark.sparkContext.broadcast(_common_shingles(source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = order.value
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, fps, sizes, prefixes = [], [], [], []
             for t in few(batch):
                 key, own = near_set(t)
                 keys.append(key)
+                fps.append(signed(majority(own)))
                 sizes.append(len(own))
                 prefixes.append(near_prefix(own, common, rank).view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), prefix], ["doc_id", "text_key", "n", "prefix"])
-
-    schema = T.StructType([source.schema["doc_id"], *T._parse_datatype_string("text_key binary, n int, prefix array<long>")])
-    made = written(source.mapInArrow(run, schema), "near-rows")
-    distinct = made.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    distinct = written(distinct.select("text_key", F.xxhash64("text_key").alias("t"), "id", "n", "prefix"), "near-distinct")
-
-    held = distinct.select("t", "n", F.posexplode("prefix").alias("at", "key"))
-    under = Window.partitionBy("key")
-    center = F.min(F.struct(F.xxhash64("t", F.pmod("key", F.lit(NEAR_CENTERS))).alias("h"), "t", "n", "at")).over(under)
-    shared = held.select("*", F.count("*").over(under).alias("others"), center.alias("c")).where("others > 1")
-    p, q = NEAR_SIMILARITY
-
-    def possible(n, at, m, other):
-        """By the sizes, and by what is left from the place of this shingle on."""
-        return (q * F.least(n, m) >= p * F.greatest(n, m)) & _enough(F.least(n - at, m - other), n, m)
-
-    met = (F.col("t") != F.col("c.t")) & possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"))
-    shared = written(shared.select("key", "t", "n", "at", F.when(met, F.col("c.t")).alias("center")), "near-shared")
-    first_links = _verified(shared.where("center is not null").select(F.col("t").alias("a"), F.col("center").alias("b")), distinct, source)
-    same_id = distinct.groupBy("id").agg(F.min("t").alias("b"), F.max("t").alias("m")).where("b <> m").drop("m")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), prefix], ["doc_id", "text_key", "fp", "n", "prefix"])
+
+    schema = T.StructType([source.schema["doc_id"], *T._parse_datatype_string("text_key binary, fp long, n int, prefix array<long>")])
+    rows = Scratch(spark)
+    every = rows.written(source.mapInArrow(run, schema), "near-rows")
+    made = written(every.select("doc_id", "text_key"), "near-keys")
+    distinct = every.groupBy("text_key").agg(F.min("doc_id").alias("id"), *[F.any_value(c).alias(c) for c in ("fp", "n", "prefix")])
+    distinct = scratch.written(distinct.select("text_key", F.xxhash64("text_key").alias("t"), "id", "fp", "n", "prefix"), "near-distinct")
+    rows.drop()
+
+    shared = scratch.written(_under_one_shingle(distinct, scratch), "near-shared")
+    alike = _alike(distinct, scratch)
+    met = alike.unionByName(shared.where("center is not null").select(F.col("t").alias("a"), F.col("center").alias("b")))
+    first_links = _verified(met, distinct, source, scratch)
+    same_id = distinct.groupBy("id").agg(F.min("t").alias("b"), F.max("t").alias("m")).where("id is not null and b <> m").drop("m")
     same_id = distinct.join(same_id, "id").select(F.col("t").alias("a"), "b")
-    grouped = written(components(first_links.unionByName(same_id)), "near-grouped")
+    grouped = scratch.written(components(first_links.unionByName(same_id)), "near-grouped")
 
     named = shared.drop("center").join(grouped.withColumnRenamed("node", "t"), "t", "left").withColumn("group", F.coalesce("component", "t")).drop("component")
     mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-    one = written(named.join(mixed, "key", "left_semi"), "near-mixed")
+    one = scratch.written(named.join(mixed, "key", "left_semi"), "near-mixed")
     x, y = one.alias("x"), one.alias("y")
     together = (F.col("x.key") == F.col("y.key")) & (F.col("x.t") < F.col("y.t")) & (F.col("x.group") != F.col("y.group"))
-    met = x.join(y, together & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    second_links = _verified(met.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")), distinct, source)
+    met = x.join(y, together & _possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    second_links = _verified(met.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")), distinct, source, scratch)
     nodes = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second_links))
 
-    classes = distinct.select("text_key", "t", "id").join(nodes, F.col("t") == F.col("node"), "left").select("text_key", "id", F.coalesce("component", "t").alias("class"))
-    classes = written(classes, "near-classes")
-    firsts = classes.join(classes.groupBy("class").agg(F.min("id").alias("first")), "class").select("text_key", "first")
-    return made.select("doc_id", "text_key").join(written(firsts, "near-firsts"), "text_key", "left")
+    classes = distinct.select("text_key", "t", "id").join(nodes, F.col("t") == F.col("node"), "left").select("text_key", "id", F.coalesce("component", "t").alias("group"))
+    classes = scratch.written(classes, "near-classes")
+    firsts = written(classes.join(classes.groupBy("group").agg(F.min("id").alias("first")), "group").select("text_key", "first", "group"), "near-firsts")
+    scratch.drop()
+    return made.join(firsts, "text_key", "left")
+
+
+def _possible(n, at, m, other):
+    """Whether sets of n and m members that share the one at the place ``at`` and ``other`` can reach the similarity: by their sizes, and by what is left from there on."""
+    p, q = NEAR_SIMILARITY
+    return (q * F.least(n, m) >= p * F.greatest(n, m)) & _enough(F.least(n - at, m - other), n, m)
+
+
+def _under_one_shingle(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, t, n, at, center) of the texts that share a shingle of their prefixes with another; center: one of those, if it can be near this text.
+
+    The centers of a shingle are summed up before the shuffle and joined to its texts, so
+    that a shingle of very many texts is gathered nowhere.
+    """
+    held = distinct.select("t", "n", F.posexplode("prefix").alias("at", "key"))
+    center = F.min(F.struct(F.xxhash64("t", F.pmod("key", F.lit(NEAR_CENTERS))).alias("h"), "t", "n", "at"))
+    centers = held.groupBy("key").agg(F.count("*").alias("others"), center.alias("c")).where("others > 1").select("key", "c")
+    shared = held.join(scratch.written(centers, "near-centers"), "key")
+    met = (F.col("t") != F.col("c.t")) & _possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"))
+    return shared.select("key", "t", "n", "at", F.when(met, F.col("c.t")).alias("center"))
+
+
+def _alike(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): texts of one fingerprint, each with the first of them, and the first ones of fingerprints that link."""
+    firsts = scratch.written(distinct.groupBy("fp").agg(F.min("t").alias("f")), "near-fingerprints")
+    same = distinct.select("t", "fp").join(firsts, "fp").where("t <> f").select(F.col("t").alias("a"), F.col("f").alias("b"))
+    near = scratch.written(links(firsts.select(F.col("fp").alias("id"), "fp"), bands(), MOST_BITS), "near-fingerprint-links")
+    for side in ("a", "b"):
+        near = near.join(firsts.select(F.col("fp").alias(side), F.col("f").alias(f"{side}_t")), side)
+    return same.unionByName(near.select(F.col("a_t").alias("a"), F.col("b_t").alias("b")))
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
