@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +144,18 @@ def annotate(df: DataFrame, keep: list[str], fields: list[tuple[str, str]], make
     return source.mapInArrow(run, schema)
 
 
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(the code of each word of all texts in a row, the distinct words by code, how many words each text has); no text is null."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten().dictionary_encode()
+    codes, words, lengths = flat.indices.to_numpy(), flat.dictionary.to_pylist(), pc.list_value_length(lists).to_numpy()
+    if "" in words:  # before a text's first blank, and after its last
+        keep = codes != words.index("")
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[keep], minlength=len(lengths))
+        codes = codes[keep]
+    return codes, words, lengths
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or a plain path, None for other stores."""
     scheme, _, rest = uri.partition(":")

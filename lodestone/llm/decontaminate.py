@@ -35,6 +35,7 @@ filters such rows too, each by itself).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +45,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, table, written
+from .common import coded_words, ship, table, written
 
 WINDOW = 13
 BROADCAST_MOST, BROADCAST_BYTES = 2_000_000, 256 << 20
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 TYPED, FOLDED, VERBATIM = 0, 1, 2
-CACHE_MOST = 250_000
+CACHE_MOST, CHUNK = 500_000, 2_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 #: Units that are written alike in most languages.
@@ -92,6 +93,7 @@ WORDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 DIGITS = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?%?")
 DIGITS_UNIT = re.compile(r"[-+]?[$€£]?\d[\d.,]*([a-z]+)")
+NAME_HASH = xxhash.xxh64_intdigest(NAME)
 EDGES = ".,;:!?\"'()[]{}<>*_`~#&|…«»“”‘’-–—"
 
 
@@ -136,36 +138,51 @@ def all_lists(words: dict[str, Lists]) -> dict[str, Lists]:
 
 
 class Hashes(dict):
-    """The number of a word, by the word's bytes: where ``made`` has the hashes of its tokens, the verbatim one first, then two for each list."""
+    """The number of a word, by which ``plain`` has the hashes of its literal, typed and folded token.
+
+    Words whose tokens depend on the list have a row of ``listed`` instead: typed and folded for each list.
+    """
 
     def __init__(self, lists: dict[str, Lists]):
         super().__init__()
-        self.lists, self.column = list(lists.values()), {name: 1 + 2 * k for k, name in enumerate(lists)}
-        self.listed = {x for own in self.lists for x in (*own[0], *own[1])}
-        self.listed |= {x.casefold() for x in self.listed}
-        self.made = np.empty((1 << 12, 1 + 2 * len(self.lists)), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = len(self)
-        if n == len(self.made):
-            self.made = np.concatenate([self.made, np.empty_like(self.made)])
-        text = word.decode(errors="replace")
-        core = text.strip(EDGES) or text
-        lists = self.lists
-        if not (core.lower() in self.listed or core.casefold() in self.listed or DIGITS_UNIT.fullmatch(core.lower())):
-            lists = lists[:1]  # the token of all lists
-        tokens = [template_token(text, folded, own) for own in lists for folded in (False, True)]
-        hashes = [xxhash.xxh64_intdigest(t.encode()) for t in tokens] * (len(self.lists) // len(lists))
-        self.made[n] = [xxhash.xxh64_intdigest(literal_token(text).encode(), 1), *hashes]
-        self[word] = n
+        self.lists, self.column = list(lists.values()), {name: k for k, name in enumerate(lists)}
+        self.words = {x for own in self.lists for x in (*own[0], *own[1])}
+        self.words |= {x.casefold() for x in self.words}
+        self.plain, self.row, self.listed = (array("Q"), array("Q"), array("Q")), array("l"), []
+
+    def __missing__(self, word: str) -> int:
+        core = word.strip(EDGES) or word
+        low, literal = core.lower(), core.casefold()
+        of = xxhash.xxh64_intdigest(literal)
+        typed = folded = of
+        row = -1
+        if low in self.words or literal in self.words or not core.isalpha() and (DIGITS_UNIT.fullmatch(low) or DIGITS_UNIT.fullmatch(literal)):
+            row = len(self.listed)
+            self.listed.append([xxhash.xxh64_intdigest(template_token(word, f, own)) for own in self.lists for f in (False, True)])
+        elif not core.isalpha():
+            typed, folded = (xxhash.xxh64_intdigest(template_token(word, f, self.lists[0])) for f in (False, True))
+        elif len(core) > 1 and core[0].isupper() and core[1:].islower():
+            typed = NAME_HASH
+        elif low != literal:
+            typed = xxhash.xxh64_intdigest(low)
+        for held, value in zip(self.plain, (of, typed, folded)):
+            held.append(value)
+        self.row.append(row)
+        n = self[word] = len(self)
         return n
 
-    def of(self, words: list[bytes], name: str) -> list[np.ndarray]:
-        """The hashes of the words' tokens by way, with the list of that name."""
+    def of(self, codes: np.ndarray, words: list[str], names: np.ndarray) -> list[np.ndarray]:
+        """The hashes of words given as ``codes`` of ``words``, by way; ``names`` has the column of the list that each is read with."""
         if len(self) >= CACHE_MOST:
             self.clear()
-        at, k = np.fromiter(map(self.__getitem__, words), np.int64, len(words)), self.column.get(name, 1)
-        return [self.made[at, k], self.made[at, k + 1], self.made[at, 0]]
+            self.plain, self.row, self.listed = (array("Q"), array("Q"), array("Q")), array("l"), []
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        literal, typed, folded = (np.array(x, np.uint64)[at][codes] for x in self.plain)
+        row = np.array(self.row, np.int64)[at][codes]
+        if len(own := np.flatnonzero(row >= 0)):
+            rows = np.array(self.listed, np.uint64)
+            typed[own], folded[own] = rows[row[own], 2 * names[own]], rows[row[own], 2 * names[own] + 1]
+        return [typed, folded, literal]
 
 
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -218,31 +235,34 @@ def template_windows(source: DataFrame, sizes, words: dict[str, Lists], wanted=N
             first = np.zeros(1 << 20, bool)
             first[own >> np.uint64(44)] = True
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for key, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                raw = text.encode(errors="replace").split()
-                hashes = known.of(raw, lang)
-                same = np.array_equal(hashes[TYPED], hashes[FOLDED])
-                decoded = None
-                for size in sizes(len(raw)):
+            for lo in range(0, batch.num_rows, CHUNK):
+                keys, langs = (batch.column(k).slice(lo, CHUNK).to_pylist() for k in (0, 2))
+                codes, vocabulary, lengths = coded_words(batch.column(1).slice(lo, CHUNK))
+                starts = np.cumsum(lengths) - lengths
+                owner = np.repeat(np.arange(len(keys)), lengths)
+                hashes = known.of(codes, vocabulary, np.array([known.column.get(x, 0) for x in langs])[owner])
+                asked = [sizes(n) for n in lengths.tolist()]
+                cols: list[list] = [[], [], [], [], [], []]
+                for size in sorted(set().union(*asked)):
+                    takes = np.array([size in x for x in asked])
                     for way in (TYPED, FOLDED, VERBATIM):
-                        if way != FOLDED or not same:
-                            found = window_hashes(hashes[way], size)
-                            at = np.arange(len(found))
-                            if wanted is not None:
-                                at = np.flatnonzero(first[found >> np.uint64(44)])
-                                at = at[own[np.minimum(np.searchsorted(own, found[at]), len(own) - 1)] == found[at]]
-                        if len(at) and decoded is None:
-                            decoded = [w.decode(errors="replace") for w in raw]
+                        found = window_hashes(hashes[way], size)
+                        at = np.arange(len(found))
+                        if wanted is not None:
+                            at = np.flatnonzero(first[found >> np.uint64(44)])
+                            at = at[own[np.minimum(np.searchsorted(own, found[at]), len(own) - 1)] == found[at]]
+                        at = at[(owner[at] == owner[at + size - 1]) & takes[owner[at]]]
                         for i in at.tolist():
-                            if made := windows_of(decoded, i, size, way, lists.get(lang, lists[""])):
-                                for col, value in zip(cols, (key, way, int(found[i].view(np.int64)), i, *made)):
+                            k = owner[i]
+                            window = [vocabulary[c] for c in codes[i : i + size]]
+                            if made := windows_of(window, 0, size, way, lists.get(langs[k], lists[""])):
+                                for col, value in zip(cols, (keys[k], way, int(found[i].view(np.int64)), i - int(starts[k]), *made)):
                                     col.append(value)
                             if len(cols[0]) >= 50_000:
                                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *map(pa.array, cols[1:], ARROW)], schema.names)
                                 cols = [[], [], [], [], [], []]
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *map(pa.array, cols[1:], ARROW)], schema.names)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *map(pa.array, cols[1:], ARROW)], schema.names)
 
     return source.mapInArrow(run, schema)
 
