@@ -12,7 +12,7 @@ from . import models
 from .functions import tokens
 from .operators import evaluation, frequencies, matrices, relational, trees
 from .plans import flows
-from .session import create_session
+from .session import create_session, stored
 from .sources import files as sources
 from .sources import nodes as node_sources
 
@@ -88,9 +88,7 @@ def repos2coocc(spark, a):
 
 @command("repos2roleids", REPOS, OUT, [(("--split",), {"action": "store_true"})])
 def repos2roleids(spark, a):
-    pairs = trees.role_pairs(_nodes(spark, a)).where("roles is not null")
-    if a.split:
-        pairs = pairs.withColumn("token", F.explode(tokens.split_identifier(F.col("token"))))
+    pairs = trees.role_pairs(_nodes(spark, a), split=tokens.processed if a.split else None).where("roles is not null")
     sources.save_csv(pairs.select("token", "roles"), a.output)
 
 
@@ -108,7 +106,7 @@ def repos2idseq(spark, a):
 @command("id2vec-preproc", MODELS, OUT, [(("--docfreq",), {"required": True}), (("--shards",), {"type": int, "default": 1})])
 def id2vec_preproc(spark, a):
     words, _ = models.load(spark, a.docfreq, "docfreq")
-    cooc = matrices.merged_cooccurrences([models.load(spark, p, "cooccurrences")[0] for p in a.inputs])
+    cooc = stored(matrices.merged_cooccurrences([models.load(spark, p, "cooccurrences")[0] for p in a.inputs], words), "cooccurrences")
     numbered = matrices.shards(cooc, cooc.select(F.col("row").alias("token")).distinct(), a.shards)
     marks = numbered.select("token", "shard")
     cells = matrices.pmi_targets(cooc).join(marks.select(F.col("token").alias("row"), F.col("shard").alias("shard_row")), "row").join(marks.select(F.col("token").alias("col"), F.col("shard").alias("shard_col")), "col")

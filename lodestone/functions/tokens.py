@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,8 @@ def cut_words(token: Column, attach_upper: bool = True, most: int = MOST_LENGTH)
 def split_identifier(token: Column, attach_upper: bool = True, single_shot: bool = False, least: int = LEAST_SPLIT, most: int = MOST_LENGTH) -> Column:
     """Lower-cased words of an identifier.
 
-    A word shorter than ``least`` is not a word of its own: unless ``single_shot``, it is
-    joined to the long word before it, and to the one after it, each a further word.
+    A word shorter than ``least`` is joined to the long word before it and to the one after it,
+    each a further word; it is a word of its own only if there is no long one before it. ``single_shot`` drops it.
     """
     words = F.transform(cut_words(token, attach_upper, most), F.lower)
     if single_shot:
@@ -51,7 +51,7 @@ def split_identifier(token: Column, attach_upper: bool = True, single_shot: bool
             w.alias("last"),
             F.lit("").alias("short"),
         )
-        brief = F.struct(F.concat(acc["out"], F.when(acc["last"] != "", F.array(F.concat(acc["last"], w))).otherwise(none)).alias("out"), F.lit("").alias("last"), w.alias("short"))
+        brief = F.struct(F.concat(acc["out"], F.array(F.concat(acc["last"], w))).alias("out"), F.lit("").alias("last"), w.alias("short"))
         return F.when(F.length(w) >= least, long).otherwise(brief)
 
     return F.aggregate(words, start, step, lambda acc: acc["out"])
@@ -97,3 +97,17 @@ def stemmed(df: DataFrame, column: str, above: int = STEM_ABOVE) -> DataFrame:
     long = df.where(F.length(column) > above).select(F.col(column).alias("__word")).distinct().withColumn("__stem", _stems("__word"))
     joined = df.join(long, F.col(column) == F.col("__word"), "left")
     return joined.withColumn(column, F.coalesce("__stem", column)).drop("__word", "__stem")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stem_arrays(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for words, above in batches:
+        yield pd.Series([None if w is None else [stem(x) if len(x) > n else x for x in w] for w, n in zip(words, above)])
+
+
+def processed(token: Column, above: int = STEM_ABOVE, **split) -> Column:
+    """The words of an identifier as ``split_identifier`` gives them, those longer than ``above`` stemmed."""
+    if above < 1:
+        raise ValueError("the length above which words are stemmed is at least 1")
+    ship(SparkSession.active())
+    return _stem_arrays(split_identifier(token, **split), F.lit(above))

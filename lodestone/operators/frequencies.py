@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import log_tf_log_idf
+from ..session import stored
 
 
 def term_frequency(bags: DataFrame) -> DataFrame:
@@ -47,26 +48,25 @@ def greatest(df: DataFrame, n: int) -> DataFrame:
 def indexed(df: DataFrame, column: str = "token", name: str = "token_id") -> DataFrame:
     """Dense ids from 0 in the order of distinct values, without one task sorting all of them.
 
-    Values are range-partitioned; a partition's offset is the number of values before it, and
-    only those numbers meet in one place.
+    Values are range-partitioned once and stored with their place; a partition's offset is the number of
+    values before it, and only those numbers meet in one place.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     values = df.where(F.col(column).isNotNull()).select(column).distinct()
     ranged = values.repartitionByRange(n, column).sortWithinPartitions(column)
     # monotonically_increasing_id is partition * 2^33 + row, in order within a partition
-    placed = ranged.withColumn("__at", F.monotonically_increasing_id())
-    placed = placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND((1 << 33) - 1))
-    sizes = placed.groupBy("__part").agg(F.max(F.struct("__row", column)).alias("__last"), F.min(column).alias("__from"))
-    sizes = sizes.select("__from", F.col(f"__last.{column}").alias("__to"), (F.col("__last.__row") + 1).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = F.broadcast(before.select("__from", "__to", "__before"))  # a row for each partition
-    own = placed.select(column, "__row").join(starts, F.col(column).between(F.col("__from"), F.col("__to")))
-    return own.select(column, (F.col("__before") + F.col("__row")).alias(name))
+    placed = stored(ranged.withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    placed = placed.select(column, F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__row"))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # a row for each partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__before")))
+    return placed.join(starts, "__part").select(column, (F.col("__before") + F.col("__row")).alias(name))
 
 
 def ordered(df: DataFrame) -> DataFrame:
     """(token, freq, token_id): a vocabulary with ids in alphabetical order."""
+    df = stored(df, "vocabulary")
     return df.join(indexed(df), "token").select("token", "freq", "token_id")
 
 

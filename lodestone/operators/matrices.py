@@ -6,15 +6,11 @@ tables with different vocabularies cannot shift a column.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalars import namespace, vw_name
+from .frequencies import indexed
 from .trees import Split, has_roles
 
 MOST = 2**31 - 1
@@ -98,8 +94,9 @@ def shards(cooc: DataFrame, vocabulary: DataFrame, n_shards: int) -> DataFrame:
     """(token, sums, shard): the cells of each row, and its shard by falling number of cells (ties by token)."""
     sums = cooc.groupBy(F.col("row").alias("token")).agg(F.count("*").alias("sums"))
     all_ = vocabulary.select("token").join(sums, "token", "left").select("token", F.coalesce("sums", F.lit(0)).alias("sums"))
-    rank = F.row_number().over(Window.orderBy(F.desc("sums"), F.asc("token"))) - 1
-    return all_.select("token", "sums", F.pmod(rank, F.lit(n_shards)).cast("int").alias("shard"))
+    order = all_.select(F.struct((-F.col("sums")).alias("falling"), "token").alias("place")).where("place.token is not null")
+    ranked = indexed(order, "place", "rank")
+    return ranked.select("place.token", (-F.col("place.falling")).alias("sums"), F.pmod("rank", F.lit(n_shards)).cast("int").alias("shard"))
 
 
 def pmi_targets(cooc: DataFrame) -> DataFrame:
@@ -120,8 +117,6 @@ def factorized(targets: DataFrame, rank: int = 50, rounds: int = 10, seed: int =
     """(token, embedding): averaged row and column factors of the targets, by alternating least squares."""
     from pyspark.ml.recommendation import ALS
 
-    from .frequencies import indexed
-
     tokens = targets.select(F.col("row").alias("token")).union(targets.select("col")).distinct()
     ids = indexed(tokens).withColumn("token_id", F.col("token_id").cast("int"))
     r = ids.select(F.col("token").alias("row"), F.col("token_id").alias("user"))
@@ -179,9 +174,8 @@ def lda_topics(rows: DataFrame, size: int, topics: int = 10, rounds: int = 10, s
     from pyspark.ml.clustering import LDA
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-
     @F.udf(VectorUDT())
-    def vector(tokens, values):
+    def vector(tokens, values):  # sparse vectors have no builder among the functions
         return SparseVector(size, tokens, values)
 
     model = LDA(k=topics, maxIter=rounds, seed=seed, optimizer="online").fit(rows.select(vector("tokens", F.col("values").cast("array<double>")).alias("features")))
@@ -190,12 +184,7 @@ def lda_topics(rows: DataFrame, size: int, topics: int = 10, rounds: int = 10, s
 
 def swivel_loss(vectors: DataFrame, targets: DataFrame) -> DataFrame:
     """(loss): the weighted squared error over nonzero cells of vectors (token, embedding)."""
-
-    @F.pandas_udf(T.DoubleType())
-    def dot(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in pairs:
-            yield pd.Series([float(np.dot(x, y)) for x, y in zip(a, b)])
-
     r, c = vectors.select(F.col("token").alias("row"), F.col("embedding").alias("r")), vectors.select(F.col("token").alias("col"), F.col("embedding").alias("c"))
-    error = dot("r", "c") - F.col("target")
+    dot = F.aggregate(F.zip_with("r", "c", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda total, x: total + x)
+    error = dot - F.col("target")
     return targets.join(r, "row").join(c, "col").agg(F.avg(0.5 * F.col("confidence") * error * error).alias("loss"))

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,15 +95,16 @@ def children_bag(nodes: DataFrame, levels: DataFrame) -> DataFrame:
     return found.groupBy(F.concat_ws("_", "internal_type", level.cast("string")).alias("token"), "document").agg(F.count("*").alias("value"))
 
 
-#: Roles that do not tell what an identifier is for.
+#: Roles that do not tell what an identifier is for.
 PLAIN_ROLES = ("EXPRESSION", "IDENTIFIER", "LEFT", "QUALIFIED", "BINARY", "ASSIGNMENT")
 
 
-def role_pairs(nodes: DataFrame, order: list[str] | None = None) -> DataFrame:
+def role_pairs(nodes: DataFrame, order: list[str] | None = None, split: Split | None = None) -> DataFrame:
     """(document, token, roles) of identifiers with a token: their own roles or those of the nearest ancestor that says more.
 
     A node says more if it has a role besides ``PLAIN_ROLES`` and is no OPERATOR. An
     identifier without such an ancestor has null roles. ``order`` ranks role names (default: by name).
+    ``split``: a row for each word of the identifier in place of the identifier.
     """
     ids = nodes.where(has_roles("IDENTIFIER") & (F.coalesce("token", F.lit("")) != ""))
     chain = F.concat(F.array("node_id"), F.reverse("ancestors"))
@@ -115,7 +114,9 @@ def role_pairs(nodes: DataFrame, order: list[str] | None = None) -> DataFrame:
     nearest = steps.join(telling, ["document", "node_id"]).groupBy("document", "id_node").agg(F.min_by("roles", "distance").alias("roles"))
     rank = F.array(*map(F.lit, order)) if order else None
     by = F.array_sort("roles") if rank is None else F.filter(rank, lambda r: F.array_contains("roles", r))
-    return ids.select("document", F.col("node_id").alias("id_node"), "token").join(nearest, ["document", "id_node"], "left").select("document", "token", F.array_join(by, " | ").alias("roles"))
+    found = ids.select("document", F.col("node_id").alias("id_node"), "token").join(nearest, ["document", "id_node"], "left")
+    token = F.col("token") if split is None else F.explode(split(F.col("token")))
+    return found.select("document", token.alias("token"), F.array_join(by, " | ").alias("roles"))
 
 
 def points(nodes: DataFrame, split: Split) -> DataFrame:
@@ -134,14 +135,6 @@ def placed(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.drop("line", "col").join(nearest, ["document", "node_id"], "left").select("*", F.col("place.line").alias("line"), F.col("place.col").alias("col")).drop("place")
 
 
-def _pairs(p: DataFrame, near: Column | None, distance: Column, most: int) -> DataFrame:
-    a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.document") == F.col("b.document")) & (F.col("a.point") < F.col("b.point")) & (F.col("a.token") != F.col("b.token"))
-    joined = a.join(b, on if near is None else on & near)
-    made = joined.select(F.col("a.document").alias("document"), F.greatest("a.token", "b.token").alias("first"), F.least("a.token", "b.token").alias("second"), distance.alias("distance"))
-    return made.where(F.col("distance") < most)
-
-
 def line_distances(nodes: DataFrame, split: Split, most: int = 10) -> DataFrame:
     """Pairs of different words of a document less than ``most`` lines apart.
 
@@ -163,12 +156,23 @@ def tree_distances(nodes: DataFrame, split: Split, most: int = 10) -> DataFrame:
 
     The steps are the lengths of both ancestor paths less twice the last index at which the
     paths were compared: where one path begins the other that is its last index, not its length.
+
+    Points meet under the ancestors that are near enough to lie on so short a way: a pair has its
+    deepest common ancestor before that index, and is made under this one alone.
     """
-    n = F.least(F.size("a.ancestors"), F.size("b.ancestors"))
+    p = points(nodes, split).withColumn("depth", F.size("ancestors"))
+    own = F.sequence(F.greatest(F.col("depth") - most, F.lit(-1)), F.col("depth") - 1)  # -1: no common ancestor
+    met = p.withColumn("under", F.explode(F.when(F.col("depth") == 0, F.array(F.lit(-1))).otherwise(own)))
+    met = met.withColumn("ancestor", F.when(F.col("under") >= 0, F.get("ancestors", F.col("under"))))
+    a, b = met.alias("a"), met.alias("b")
+    on = (F.col("a.document") == F.col("b.document")) & (F.col("a.under") == F.col("b.under")) & F.col("a.ancestor").eqNullSafe(F.col("b.ancestor"))
+    steps = (F.col("a.depth") + F.col("b.depth") - 2 * (F.col("a.under") + 1)).cast("long")
+    joined = a.join(b, on & (F.col("a.point") < F.col("b.point")) & (F.col("a.token") != F.col("b.token")) & (steps < most))
+    n = F.least("a.depth", "b.depth")
     differs = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("a.ancestors", i) != F.get("b.ancestors", i))
-    i = F.when(n == 0, F.lit(0)).when(F.size(differs) > 0, F.get(differs, F.lit(0))).otherwise(n - 1)
-    steps = (F.size("a.ancestors") + F.size("b.ancestors") - 2 * i).cast("long")
-    return _pairs(points(nodes, split), None, steps, most)
+    compared = F.when(n == 0, F.lit(0)).when(F.size(differs) > 0, F.get(differs, F.lit(0))).otherwise(n - 1)
+    deepest = joined.where(compared == F.col("a.under") + 1)
+    return deepest.select(F.col("a.document").alias("document"), F.greatest("a.token", "b.token").alias("first"), F.least("a.token", "b.token").alias("second"), steps.alias("distance"))
 
 
 def identifier_sequence(nodes: DataFrame, split: Split) -> DataFrame:
@@ -206,37 +210,43 @@ def by_function(nodes: DataFrame) -> DataFrame:
 
 
 def random_walk_bag(nodes: DataFrame, lengths: tuple[int, ...] = (2, 3), p: float = 0.79, q: float = 0.82, n_walks: int = 2, n_steps: int = 10, seed: int = 42, stride: int = 1) -> DataFrame:
-    """N-grams of types over biased walks from every node of a document.
+    """N-grams of types over biased walks of ``n_steps`` nodes from every node of a document.
 
     A walk first goes to any neighbour; later it returns to the node before with weight 1/p against
-    1/q for each child, and else goes to any neighbour. A document is one group of one task.
+    1/q for each child, and else goes to any neighbour; a node without neighbours is stayed on. All walks of all documents take a step at a time, by a join with
+    the neighbours of the node where they are; what is drawn depends on the seed, the document, the walk and the step alone.
     """
-
-    def walks(group: pa.Table) -> pa.Table:
-        ids, parent, kind = (group.column(c).to_pylist() for c in ("node_id", "parent_id", "internal_type"))
-        document = group.column("document")[0].as_py()
-        rng = np.random.default_rng([seed, *document.encode()])
-        at = {n: i for i, n in enumerate(ids)}
-        children: list[list[int]] = [[] for _ in ids]
-        for i, x in enumerate(parent):
-            if x in at:
-                children[at[x]].append(i)
-        near = [c + ([at[x]] if x in at else []) for c, x in zip(children, parent)]
-        counts: dict[str, int] = {}
-        for first in sorted(range(len(ids)), key=lambda i: ids[i]):
-            for _ in range(n_walks):
-                walk = [first]
-                while len(walk) < n_steps and near[walk[-1]]:
-                    here = walk[-1]
-                    back = 1 / p / (1 / p + len(children[here]) / q)
-                    walk.append(walk[-2] if len(walk) > 1 and rng.random() < back else near[here][rng.integers(len(near[here]))])
-                for n in lengths:
-                    for i in range(0, len(walk) - n + 1, stride):
-                        key = SEPARATOR.join(kind[j] for j in walk[i : i + n])
-                        counts[key] = counts.get(key, 0) + 1
-        return pa.table({"token": list(counts), "document": [document] * len(counts), "value": pa.array(list(counts.values()), pa.int64())})
-
-    return nodes.select("document", "node_id", "parent_id", "internal_type").groupBy("document").applyInArrow(walks, "token string, document string, value long")
+    own = nodes.select("document", "node_id", "parent_id", "internal_type")
+    kinds = own.select("document", F.col("node_id").alias("parent_id"), F.col("internal_type").alias("parent_type"))
+    child = F.struct(F.col("node_id").alias("id"), F.col("internal_type").alias("kind"))
+    children = own.where("parent_id is not null").groupBy("document", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(child)).alias("children"))
+    known = own.join(kinds, ["document", "parent_id"], "left").join(children, ["document", "node_id"], "left")
+    parent = F.when(F.col("parent_type").isNotNull(), F.array(F.struct(F.col("parent_id").alias("id"), F.col("parent_type").alias("kind")))).otherwise(F.array().cast("array<struct<id:bigint,kind:string>>"))
+    below = F.coalesce("children", F.array().cast("array<struct<id:bigint,kind:string>>"))
+    near = known.select("document", F.col("node_id").alias("at"), F.concat(below, parent).alias("near"), F.size(below).alias("n_children"))
+    walks = own.select("document", F.col("node_id").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"), F.col("node_id").alias("at"), F.col("node_id").alias("before"), F.array("internal_type").alias("path"))
+
+    def drawn(step: int, what: str) -> Column:
+        """A number below 2^32."""
+        text = F.concat_ws("/", F.lit(seed), "document", "first", "walk", F.lit(step), F.lit(what))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+    for step in range(1, n_steps):
+        here = walks.join(near, ["document", "at"])
+        back = F.lit(1 / p) / (F.lit(1 / p) + F.col("n_children") / F.lit(q))
+        returns = (drawn(step, "back") / F.lit(4294967296.0) < back) if step > 1 else F.lit(False)
+        before = F.struct(F.col("before").alias("id"), F.get("path", F.lit(step - 2)).alias("kind")) if step > 1 else F.struct(F.col("at").alias("id"), F.get("path", F.lit(0)).alias("kind"))
+        stays = F.struct(F.col("at").alias("id"), F.get("path", F.lit(step - 1)).alias("kind"))
+        other = F.get("near", F.pmod(drawn(step, "next"), F.size("near")).cast("int"))
+        to = F.when(F.size("near") == 0, stays).when(returns, before).otherwise(other)
+        walks = here.select("document", "first", "walk", F.col("at").alias("before"), to.alias("to"), "path")
+        walks = walks.select("document", "first", "walk", F.col("to.id").alias("at"), "before", F.concat("path", F.array("to.kind")).alias("path"))
+
+    def grams_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(n_steps - n + 1), F.lit(stride)), lambda i: F.array_join(F.slice("path", i, n), SEPARATOR))
+
+    grams = [grams_of(n) for n in lengths if n <= n_steps]
+    return walks.select("document", F.explode(F.concat(*grams)).alias("token")).groupBy("token", "document").agg(F.count("*").alias("value"))
 
 
 def combined(*bags: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import tokens
 from ..functions.scalars import document_name
 from ..operators import frequencies, matrices, trees
 from ..operators.relational import non_empty
+from ..session import stored
 
 WORD = "[A-Za-z]+"
 #: Bag makers by name: (namespace, nodes to bag).
@@ -29,7 +30,7 @@ def register_extractor(name: str, namespace: str):
     return add
 
 
-register_extractor("id", "i.")(lambda nodes: trees.identifier_bag(nodes, tokens.split_identifier))
+register_extractor("id", "i.")(lambda nodes, **options: trees.identifier_bag(nodes, lambda t: tokens.processed(t, **options)))
 register_extractor("lit", "l.")(lambda nodes: trees.literal_bag(nodes, tokens.hashed_token))
 register_extractor("uast2seq", "s.")(trees.sequence_bag)
 register_extractor("node2vec", "r.")(trees.random_walk_bag)
@@ -72,7 +73,7 @@ def repos2bow(bags: DataFrame, least: int = 1, size: int | None = None, cache_ho
 
     ``cache_hook`` sees the term frequencies (and may persist them), ``save_hook`` the weighted bags.
     """
-    tf = frequencies.term_frequency(bags)
+    tf = stored(frequencies.term_frequency(bags), "tf")  # read three times, made once
     if cache_hook:
         cache_hook(tf)
     words = vocabulary(tf, least, size)
@@ -90,13 +91,13 @@ def _weighted(tf: DataFrame, words: DataFrame, n: DataFrame) -> DataFrame:
 
 def tf_idf_words(files: DataFrame) -> DataFrame:
     """(token, document, value): the first whole flow."""
-    tf = word_bags(files)
+    tf = stored(word_bags(files), "tf")  # read three times, made once
     return _weighted(tf, frequencies.document_frequency(tf), frequencies.n_documents(tf))
 
 
-def repos2coocc(nodes: DataFrame, least: int = 1, size: int | None = None) -> DataFrame:
-    bags = trees.identifier_bag(nodes, tokens.split_identifier)
-    return matrices.cooccurrence(matrices.tree_contexts(nodes, tokens.split_identifier), vocabulary(bags, least, size))
+def repos2coocc(nodes: DataFrame, least: int = 1, size: int | None = None, split: trees.Split = tokens.processed) -> DataFrame:
+    bags = trees.identifier_bag(nodes, split)
+    return matrices.cooccurrence(matrices.tree_contexts(nodes, split), vocabulary(bags, least, size))
 
 
 def repos2ids(files: DataFrame, with_frequencies: bool = True) -> DataFrame:

@@ -77,6 +77,25 @@ POINTS = (
 ).replace("{{", "{").replace("}}", "}").replace("{0}", SPLIT.replace("{0}", "i.token"))
 
 
+def _merged(words: str, least: int) -> str:
+    """SQL of the words with those shorter than ``least`` joined to their long neighbours."""
+    long = f"length(ws[i]) >= {least}"
+    before = "i > 1 AND length(ws[i - 1])"
+    joined = "[ws[i - 1] || ws[i]]"
+    each = f"CASE WHEN {long} THEN list_concat([ws[i]], CASE WHEN {before} < {least} THEN {joined} ELSE [] END) WHEN {before} >= {least} THEN {joined} ELSE [ws[i]] END"
+    return f"flatten(list_transform(range(1, len({words}) + 1), lambda i: {each.replace('ws', words)}))"
+
+
+#: Words of a token as the flows process them; of the words that occur one has a stem of its own.
+PROCESSED = "list_transform({0}, lambda x: replace(x, 'specified', 'specifi'))"
+GREEDY = """h AS (SELECT internal_type, n_children AS n, count(*) AS f FROM kids GROUP BY ALL),
+hist AS (SELECT *, row_number() OVER (PARTITION BY internal_type ORDER BY n) AS k, sum(f) OVER (PARTITION BY internal_type)::DOUBLE / {0} AS cap, max(n) OVER (PARTITION BY internal_type) AS last FROM h),
+cuts AS (SELECT internal_type, k, [n] AS made, f::BIGINT AS since FROM hist WHERE k = 1 UNION ALL SELECT c.internal_type, x.k, CASE WHEN since + f > cap AND len(made) < {0} + 1 THEN list_append(made, n) ELSE made END, CASE WHEN since + f > cap THEN f ELSE since + f END
+ FROM cuts c JOIN hist x ON x.internal_type = c.internal_type AND x.k = c.k + 1),
+quant AS (SELECT c.internal_type, CASE WHEN len(made) < {0} + 1 THEN list_concat(made, list_transform(range({0} + 1 - len(made)), lambda z: last)) ELSE list_append(made[:{0}], last) END AS levels
+ FROM cuts c JOIN hist x USING (internal_type, k) QUALIFY row_number() OVER (PARTITION BY c.internal_type ORDER BY k DESC) = 1)"""
+
+
 def _plain(token):
     return tokens.split_identifier(token, single_shot=True, least=1)
 
@@ -150,7 +169,7 @@ def token_split_single_shot(spark, d):
     return _names(spark, d).select("token", F.array_join(tokens.split_identifier(F.col("token"), single_shot=True, least=5), " ").alias("words"))
 
 
-@query()
+@query(f"WITH {NAMES}, s AS (SELECT token, {SPLIT.format('token')} AS ws FROM names) SELECT token, array_to_string({_merged('ws', 6)}, ' ') AS words FROM s")
 def token_merge_short(spark, d):
     return _names(spark, d).select("token", F.array_join(tokens.split_identifier(F.col("token"), least=6), " ").alias("words"))
 
@@ -276,12 +295,23 @@ def bag_children(spark, d):
     return trees.with_namespace(trees.children_bag(nodes, levels), "c.")
 
 
-@query()
+@query(f"WITH RECURSIVE {CHILDREN}, {GREEDY.format(4)} SELECT internal_type, array_to_string(levels, ',') AS levels FROM quant")
 def quant_levels(spark, d):
     return trees.quantization_levels(_histogram(spark, d), 4).select("internal_type", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"))
 
 
-@query()
+WALKS = f"""WITH RECURSIVE {NODES}, c AS (SELECT document, parent_id AS node_id, list({{'id': node_id, 'kind': internal_type}} ORDER BY node_id) AS kids FROM nodes WHERE parent_id IS NOT NULL GROUP BY ALL),
+near AS (SELECT n.document, n.node_id AS spot, list_concat(coalesce(kids, []), CASE WHEN p.node_id IS NULL THEN [] ELSE [{{'id': p.node_id, 'kind': p.internal_type}}] END) AS near, coalesce(len(kids), 0) AS k
+ FROM nodes n LEFT JOIN c USING (document, node_id) LEFT JOIN nodes p ON p.document = n.document AND p.node_id = n.parent_id),
+walks AS (SELECT document, node_id AS first, walk, node_id AS spot, node_id AS before, [internal_type] AS path, 1 AS step FROM nodes, range(2) AS r(walk)
+ UNION ALL SELECT document, first, walk, go.id, spot, list_append(path, go.kind), step + 1 FROM (SELECT w.*, CASE WHEN len(near) = 0 THEN {{'id': w.spot, 'kind': path[step]}}
+  WHEN step > 1 AND ('0x' || substr(md5(concat_ws('/', 42, w.document, first, walk, step, 'back')), 1, 8))::BIGINT / 4294967296::DOUBLE < (1 / 0.79::DOUBLE) / ((1 / 0.79::DOUBLE) + k / 0.82::DOUBLE) THEN {{'id': before, 'kind': path[step - 1]}}
+  ELSE near[('0x' || substr(md5(concat_ws('/', 42, w.document, first, walk, step, 'next')), 1, 8))::BIGINT % len(near) + 1] END AS go FROM walks w JOIN near n ON n.document = w.document AND n.spot = w.spot WHERE step < 10)),
+grams AS (SELECT document, unnest(list_concat(list_transform(range(1, 10), lambda i: array_to_string(path[i:i + 1], '>')), list_transform(range(1, 9), lambda i: array_to_string(path[i:i + 2], '>')))) AS token FROM walks WHERE step = 10)
+SELECT 'r.' || token AS token, document, count(*)::DOUBLE AS value FROM grams GROUP BY ALL"""
+
+
+@query(WALKS)
 def random_walk_bag(spark, d):
     return trees.with_namespace(trees.random_walk_bag(_nodes(spark, d)), "r.")
 
@@ -463,13 +493,25 @@ def role_eval_ml(spark, d):
 # flows and streams
 
 
-@query()
+IDS = f"{NODES}, s AS (SELECT document, node_id, ancestors, {SPLIT.format('token')} AS ws FROM nodes WHERE list_contains(roles, 'IDENTIFIER')), ids AS (SELECT document, node_id, ancestors, {PROCESSED.format(_merged('ws', 3))} AS words FROM s)"
+
+
+@query(f"""WITH RECURSIVE {IDS}, {CHILDREN[len(NODES) + 2:]}, {GREEDY.format(20)}, graph AS (SELECT document, parent_id AS node_id, string_agg(internal_type, '_' ORDER BY internal_type) AS below FROM nodes WHERE parent_id IS NOT NULL GROUP BY ALL),
+parts AS (SELECT 'i.' || word AS token, document FROM (SELECT unnest(words) AS word, document FROM ids)
+ UNION ALL SELECT 'g.' || concat_ws('_', coalesce(p.internal_type, 'None'), n.internal_type, below), n.document FROM nodes n LEFT JOIN nodes p ON p.document = n.document AND p.node_id = n.parent_id LEFT JOIN graph ON graph.document = n.document AND graph.node_id = n.node_id
+ UNION ALL SELECT 'c.' || internal_type || '_' || (len(list_filter(levels, lambda x: x <= n_children)) - 1), document FROM kids JOIN quant USING (internal_type)),
+tf AS (SELECT token, document, count(*) AS value FROM parts GROUP BY ALL), df AS (SELECT token, count(*) AS freq FROM tf GROUP BY token HAVING count(*) >= 2)
+SELECT document, CAST(count(*) AS INTEGER) AS n, round(sum(ln(1 + value) * ln((SELECT count(DISTINCT document) FROM tf)::DOUBLE / freq)), 4) AS total FROM tf JOIN df USING (token) GROUP BY document""")
 def repos2bow(spark, d):
     made = flows.repos2bow(flows.bags_of(_nodes(spark, d), ["id", "graphlet", "children"]), least=2)
     return made.select("document", F.size("tokens").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query()
+@query(f"""WITH {IDS}, up AS (SELECT document, node_id, unnest(ancestors) AS up, generate_subscripts(ancestors, 1) AS d FROM ids), near AS (SELECT up.document, up.node_id, max_by(up.up, up.d) AS near FROM up JOIN ids i ON i.document = up.document AND i.node_id = up.up GROUP BY ALL),
+ctx AS (SELECT document, node_id AS spot, words FROM ids UNION ALL SELECT i.document, coalesce(n.near, i.ancestors[1]), words FROM ids i LEFT JOIN near n ON n.document = i.document AND n.node_id = i.node_id WHERE coalesce(n.near, i.ancestors[1]) IS NOT NULL),
+vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT token FROM (SELECT DISTINCT document, unnest(words) AS token FROM ids) GROUP BY token HAVING count(*) >= 2)),
+n AS (SELECT document, spot, id, count(*) AS n FROM (SELECT document, spot, unnest(words) AS token FROM ctx) JOIN vocab USING (token) GROUP BY ALL)
+SELECT a.id AS "row", b.id AS col, CAST(sum(a.n * (b.n - CASE WHEN a.id = b.id THEN 1 ELSE 0 END)) AS BIGINT) AS weight FROM n a JOIN n b USING (document, spot) GROUP BY ALL HAVING weight > 0""")
 def repos2coocc(spark, d):
     return flows.repos2coocc(_nodes(spark, d), least=2)
 

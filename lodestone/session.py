@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -50,3 +51,21 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(root, Path(own, "tree", root.name), ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(own, f"{root.name}_pkg"), "zip", Path(own, "tree")))
     _shipped.add(app)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, computed once: written to the folder that executors share (``spark.checkpoint.dir``) and read back.
+
+    Where that setting is unset (tests, local sessions) a temporary folder of this machine becomes the checkpoint folder.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        now = sc._jsc.sc().getCheckpointDir()
+        at = now.get() if now.isDefined() else "file:" + tempfile.mkdtemp(prefix="spark-")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(at)
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

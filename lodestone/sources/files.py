@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..columns import FILES
+from ..session import ship
 
 
 def load_parquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -68,6 +69,7 @@ class _RepositoryReader(DataSourceReader):
 
 
 def read_repositories(spark: SparkSession, root: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(RepositoryFiles)
     return spark.read.format("repository_files").load(root)
 

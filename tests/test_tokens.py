@@ -20,7 +20,7 @@ def test_loose_upper(spark):
 
 
 def test_short_words_join_their_neighbours(spark):
-    assert split(spark, ["set_for", "isFoo", "fooIs", "a_b"]) == [["set", "for"], ["foo", "isfoo"], ["foo", "foois"], []]
+    assert split(spark, ["set_for", "isFoo", "fooIs", "a_b"]) == [["set", "for"], ["is", "foo", "isfoo"], ["foo", "foois"], ["a", "b"]]
 
 
 def test_long_token_is_cut(spark):
@@ -36,3 +36,30 @@ def test_reconstruct(spark):
 @pytest.mark.parametrize("word, want", [("caresses", "caress"), ("ponies", "poni"), ("running", "run"), ("hoping", "hope"), ("generously", "generous"), ("national", "nation"), ("relational", "relat"), ("happily", "happili"), ("sky", "sky"), ("by", "by")])
 def test_stem(word, want):
     assert stem(word) == want
+
+
+# Words that other implementations give for these identifiers.
+PROCESSED = {
+    "ONLYCAPS": ["onlycap"],
+    "FRAPScase": ["frap", "case"],
+    "_something_SILLY_": ["someth", "silli"],
+    "wdSize": ["wd", "size", "wdsize"],
+    "SmallIdFooo": ["small", "smallid", "fooo", "idfooo"],
+    "never_use_Such__varsableNames": ["never", "use", "such", "varsabl", "name"],
+}
+
+
+def test_split_then_stem(spark):
+    df = spark.createDataFrame([(w,) for w in [*PROCESSED, None, ""]], "t string")
+    rows = df.select("t", tokens.processed(F.col("t"), above=4, attach_upper=False, most=100).alias("words")).collect()
+    assert {r.t: r.words for r in rows} == PROCESSED | {None: None, "": []}
+    with pytest.raises(ValueError):
+        tokens.processed(F.col("t"), above=0)
+
+
+def test_bags_hold_stems(spark):
+    from lodestone.plans import flows
+
+    schema = "document string, node_id long, parent_id long, internal_type string, token string, roles array<string>"
+    nodes = spark.createDataFrame([("d", 1, None, "T", "runningTests", ["IDENTIFIER"])], schema)
+    assert {r.token for r in flows.bags_of(nodes, ["id"]).collect()} == {"i.run", "i.tests"}
