@@ -14,8 +14,9 @@ which gives a similarity of over 0.5 even if a word of it was changed. Each temp
 passed, has a gate: so many of its own shingles that whatever holds ``CONTAINED`` of them holds one
 of the gate. Only windows with a shingle of a gate are hashed; the others cannot reach the containment.
 
-The templates are the short notices and grants below, and any others that are passed.
-They are a parameter of bounded size and are sent to the tasks as such.
+The templates are the whole license texts of ``license_texts`` and the short notices and grants below, or any others that are passed.
+They are a parameter of bounded size and are sent to the tasks as such. Of matches that overlap the one with the most
+shingles stays, so a whole text goes before the grant that it holds.
 
 Edge cases: a null or empty text has no matches; templates of fewer words than a shingle
 are compared as one shingle; repeated rows are scanned each for itself.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship, table, texts
+from .license_texts import WHOLE
 
 BANDS, ROWS = 64, 3
 SHINGLE = 2
@@ -111,39 +113,47 @@ class Matcher:
             return []
         spans = [m.span() for m in WORDS.finditer(low)]
         found = []
-        for size, bands in self.by_size.items():
-            step, starts = max(1, size // 4), set()
-            for at in near.get(size, ()):  # every window that holds this shingle
-                lo = max(0, at - size) // step * step
-                starts.update(range(lo, min(at, len(words) - 1) + 1, step))
-                starts.add(max(0, min(at, len(words) - size)))
-            hits: dict[str, list] = {}
-            for i in sorted(starts):
-                own = set(shingles(words[i : i + size + step]))
-                names = set().union(*(bands.get(b, ()) for b in self.bands(own)))
-                for name in names:
-                    share = len(self.sets[name] & own) / len(self.sets[name])
-                    if share >= CONTAINED:
-                        hits.setdefault(name, []).append((i, min(i + size + step, len(words)), share))
-            for name, windows in hits.items():
-                best = None
-                for i, j, share in [*windows, (1 << 60, 0, 0.0)]:
-                    if best and i >= best[1]:
-                        lo, hi = best[0], best[1] - 1
-                        while lo < hi and words[lo] not in self.words[name]:
-                            lo += 1
-                        while hi > lo and words[hi] not in self.words[name]:
-                            hi -= 1
-                        found.append((name, spans[lo][0], spans[hi][1], best[2]))
-                        best = None
-                    if best is None or share > best[2]:
-                        best = (i, j, share)
+        for name, windows in self.hits(words, near).items():
+            best = None
+            for i, j, share in [*windows, (1 << 60, 0, 0.0)]:
+                if best and i >= best[1]:
+                    lo, hi = best[0], best[1] - 1
+                    while lo < hi and words[lo] not in self.words[name]:
+                        lo += 1
+                    while hi > lo and words[hi] not in self.words[name]:
+                        hi -= 1
+                    found.append((name, spans[lo][0], spans[hi][1], best[2]))
+                    best = None
+                if best is None or share > best[2]:
+                    best = (i, j, share)
         out: list[tuple[str, int, int, float]] = []
-        for f in sorted(found, key=lambda f: (-f[3], -len(self.sets[f[0]]), f[1], f[0])):  # of overlapping ones the fullest
+        for f in sorted(found, key=lambda f: (-round(f[3] * len(self.sets[f[0]])), -f[3], f[1], f[0])):  # of overlapping ones the fullest
             if all(f[2] <= g[1] or f[1] >= g[2] for g in out):
                 out.append(f)
         return sorted(out, key=lambda f: (f[1], f[0]))
 
+    def starts(self, n: int, size: int, near: list[int]) -> list[int]:
+        """Where windows of a size begin that hold the shingle at one of the places ``near``, in a text of n words."""
+        step, starts = max(1, size // 4), set()
+        for at in near:
+            lo = max(0, at - size) // step * step
+            starts.update(range(lo, min(at, n - 1) + 1, step))
+            starts.add(max(0, min(at, n - size)))
+        return sorted(starts)
+
+    def hits(self, words: list[str], near: dict[int, list[int]]) -> dict[str, list[tuple[int, int, float]]]:
+        """(start, end, containment) of the windows in which a template is contained, by its name."""
+        hits: dict[str, list] = {}
+        for size, bands in self.by_size.items():
+            width = size + max(1, size // 4)
+            for i in self.starts(len(words), size, near.get(size, [])):
+                own = set(shingles(words[i : i + width]))
+                for name in set().union(*(bands.get(b, ()) for b in self.bands(own))):
+                    share = len(self.sets[name] & own) / len(self.sets[name])
+                    if share >= CONTAINED:
+                        hits.setdefault(name, []).append((i, min(i + width, len(words)), share))
+        return hits
+
 
 FIELDS = "template string, start int, end int, containment double"
 
@@ -151,7 +161,7 @@ FIELDS = "template string, start int, end int, containment double"
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, template, start, end, containment): a row for each match."""
     ship(docs.sparkSession)
-    own = TEMPLATES if templates is None else templates
+    own = WHOLE | TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(own)
