@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import models
-from .functions import tokens
+from .functions import lexers, tokens
 from .operators import evaluation, frequencies, matrices, relational, trees
 from .plans import flows
 from .session import create_session, stored
@@ -21,8 +21,11 @@ COMMANDS: dict[str, tuple[Callable, list[tuple]]] = {}
 REPOS = [(("--input",), {"required": True, "help": "a folder of repositories, or Parquet files with --parquet"}), (("--parquet",), {"action": "store_true"}), (("--languages",), {"nargs": "*"}), (("--blacklist",), {"action": "store_true"})]
 MODE = [(("--mode",), {"choices": ["file", "func", "repo"], "default": "file"})]
 DF = [(("--min-docfreq",), {"type": int, "default": 1}), (("--vocabulary-size",), {"type": int, "default": 10_000_000})]
+SAVED = [(("--docfreq-in",), {"help": "a saved vocabulary"}), (("--quant",), {"help": "saved quantization levels, made there if there are none"})]
 OUT = [(("--output",), {"required": True})]
 FEATURES = [(("--features",), {"nargs": "+", "choices": sorted(flows.EXTRACTORS), "required": True})]
+FEATURES += [((f"--{e}-weight",), {"type": float, "default": 1.0}) for e in sorted(flows.EXTRACTORS)]
+FEATURES += [((f"--{e}-{n.replace('_', '-')}",), {"type": type(v), "default": v}) for e in sorted(flows.EXTRACTORS) for n, v in flows.options_of(e).items()]
 MODELS = [(("--inputs",), {"nargs": "+", "required": True})]
 
 
@@ -35,7 +38,10 @@ def command(name: str, *options):
 
 
 def _files(spark: SparkSession, a) -> DataFrame:
-    files = sources.load_parquet(spark, a.input) if a.parquet else sources.read_repositories(spark, a.input)
+    if a.parquet:
+        files = sources.load_parquet(spark, a.input)
+    else:
+        files = relational.with_language(sources.read_repositories(spark, a.input), lexers.extension_table(spark))
     return relational.languages(a.languages, a.blacklist)(files)
 
 
@@ -51,34 +57,43 @@ def _nodes(spark: SparkSession, a) -> DataFrame:
     return trees.by_function(table) if mode == "func" else table
 
 
+def _bags(spark: SparkSession, a) -> DataFrame:
+    """Bags of the features asked for, with the options and weights given for them."""
+    nodes = _nodes(spark, a)
+    given = {e: {n: getattr(a, f"{e}_{n}") for n in flows.options_of(e)} for e in a.features}
+    if "children" in given and getattr(a, "quant", None):
+        given["children"]["levels"] = flows.saved_levels(spark, a.quant, nodes, given["children"]["partitions"])
+    return flows.bags_of(nodes, a.features, {e: getattr(a, f"{e}_weight") for e in a.features}, given)
+
+
 @command("preprocrepos", REPOS, OUT)
 def preprocess(spark, a):
     sources.save_parquet(_files(spark, a), a.output)
 
 
-@command("repos2df", REPOS, MODE, FEATURES, DF, OUT)
+@command("repos2df", REPOS, MODE, FEATURES, DF, SAVED[1:], OUT)
 def repos2df(spark, a):
-    bags = flows.bags_of(_nodes(spark, a), a.features)
+    bags = _bags(spark, a)
     models.save(flows.vocabulary(bags, a.min_docfreq, a.vocabulary_size), a.output, "docfreq", docs=frequencies.n_documents(bags).first()[0])
 
 
-@command("repos2bow_index", REPOS, MODE, FEATURES, DF, OUT)
+@command("repos2bow_index", REPOS, MODE, FEATURES, DF, SAVED[1:], OUT)
 def repos2bow_index(spark, a):
-    bags = flows.bags_of(_nodes(spark, a), a.features)
+    bags = _bags(spark, a)
     models.save(frequencies.indexed(bags, "document", "doc_id"), f"{a.output}/documents", "index")
     models.save(flows.vocabulary(bags, a.min_docfreq, a.vocabulary_size), f"{a.output}/docfreq", "docfreq", docs=frequencies.n_documents(bags).first()[0])
 
 
-@command("repos2bow", REPOS, MODE, FEATURES, DF, OUT)
+@command("repos2bow", REPOS, MODE, FEATURES, DF, SAVED, OUT)
 def repos2bow(spark, a):
-    bags = flows.bags_of(_nodes(spark, a), a.features)
-    own = models.save(flows.vocabulary(bags, a.min_docfreq, a.vocabulary_size), f"{a.output}/docfreq", "docfreq")
-    models.save(flows.repos2bow(bags, a.min_docfreq, a.vocabulary_size), f"{a.output}/bow", "bow", [own])
+    bags = _bags(spark, a)
+    words, facts = flows.saved_vocabulary(spark, a.docfreq_in, bags, f"{a.output}/docfreq", a.min_docfreq, a.vocabulary_size)
+    models.save(flows.repos2bow(bags, words=words), f"{a.output}/bow", "bow", [facts["uuid"]])
 
 
-@command("repos2ids", REPOS, OUT, [(("--idfreq",), {"action": "store_true"})])
+@command("repos2ids", REPOS, OUT, [(("--idfreq",), {"action": "store_true"}), (("--split",), {"action": "store_true"})])
 def repos2ids(spark, a):
-    sources.save_csv(flows.repos2ids(_files(spark, a), a.idfreq), a.output)
+    sources.save_csv(flows.repos2ids(_files(spark, a), a.idfreq, a.split), a.output)
 
 
 @command("repos2coocc", REPOS, DF, OUT)

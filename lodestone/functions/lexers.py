@@ -1,0 +1,54 @@
+"""Names in source code by language, as column expressions.
+
+What is no code (strings, comments) is cut out by one pattern of the language, the rest is searched for
+words, and its keywords are left out. Languages that are not listed have no names.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUOTED = r'"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'"
+SLASHES = rf"{QUOTED}|//[^\n]*|/\*[\s\S]*?\*/"
+HASH = rf'"""[\s\S]*?"""|' + rf"'''[\s\S]*?'''|{QUOTED}|#[^\n]*"
+BACKTICKS = rf"`[^`]*`|{SLASHES}"
+C_WORDS = "break case char const continue default do double else enum extern float for goto if inline int long register return short signed sizeof static struct switch typedef union unsigned void volatile while"
+#: (what is no code, keywords) by language.
+LANGUAGES: dict[str, tuple[str, frozenset[str]]] = {
+    name: (pattern, frozenset(words.split()))
+    for name, pattern, words in (
+        ("Python", HASH, "False None True and as assert async await break class continue def del elif else except exec finally for from global if import in is lambda nonlocal not or pass print raise return try while with yield"),
+        ("Ruby", HASH, "BEGIN END alias and begin break case class def defined do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield"),
+        ("Shell", HASH, "case do done elif else esac fi for function if in select then until while"),
+        ("C", SLASHES, C_WORDS),
+        ("C++", SLASHES, f"{C_WORDS} alignas alignof asm auto bool catch class constexpr decltype delete dynamic_cast explicit export false friend mutable namespace new noexcept nullptr operator private protected public static_assert static_cast template this throw true try typeid typename using virtual"),
+        ("Java", SLASHES, "abstract assert boolean break byte case catch char class const continue default do double else enum extends false final finally float for goto if implements import instanceof int interface long native new null package private protected public return short static strictfp super switch synchronized this throw throws transient true try void volatile while"),
+        ("Scala", SLASHES, "abstract case catch class def do else extends false final finally for forSome if implicit import lazy match new null object override package private protected return sealed super this throw trait try true type val var while with yield"),
+        ("Go", BACKTICKS, "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var true false nil"),
+        ("JavaScript", BACKTICKS, "async await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof let new null of return static super switch this throw true try typeof undefined var void while with yield"),
+        ("Rust", SLASHES, "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while"),
+    )
+}
+EXTENSIONS = {"py": "Python", "rb": "Ruby", "sh": "Shell", "bash": "Shell", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "java": "Java", "scala": "Scala", "go": "Go", "js": "JavaScript", "mjs": "JavaScript", "rs": "Rust", "md": "Markdown"}
+WORD = r"\d[\w.]*|[A-Za-z_$][\w$]*"
+
+
+def names_in(content: Column, lang: Column) -> Column:
+    """array<string>: the names of a file as they follow each other, null for a language that is not listed."""
+    out = F.lit(None).cast("array<string>")
+    for name, (pattern, keywords) in LANGUAGES.items():
+        code = F.regexp_replace(content, F.lit(pattern), F.lit(" "))
+        words = F.regexp_extract_all(code, F.lit(WORD), F.lit(0))
+        known = F.array(*map(F.lit, sorted(keywords)))
+        out = F.when(lang == name, _names(words, known)).otherwise(out)
+    return out
+
+
+def _names(words: Column, keywords: Column) -> Column:
+    return F.filter(words, lambda w: ~w.rlike("^[0-9]") & ~F.array_contains(keywords, w))
+
+
+def extension_table(spark: SparkSession) -> DataFrame:
+    """(extension, lang)"""
+    return spark.createDataFrame(list(EXTENSIONS.items()), "extension string, lang string")

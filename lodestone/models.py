@@ -26,6 +26,11 @@ def load(spark: SparkSession, path: str, name: str | None = None) -> tuple[DataF
     return spark.read.parquet(f"{path}/table"), meta
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    meta = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    return meta.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta)
+
+
 def check_depends(meta: dict, on: dict) -> None:
     if on["uuid"] not in meta["dependencies"]:
         raise ValueError(f"{meta['name']} {meta['uuid']} was not made with {on['name']} {on['uuid']}")

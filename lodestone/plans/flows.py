@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import tokens
+from .. import models
+from ..functions import lexers, tokens
 from ..functions.scalars import document_name
 from ..operators import frequencies, matrices, trees
 from ..operators.relational import non_empty
@@ -30,7 +32,11 @@ def register_extractor(name: str, namespace: str):
     return add
 
 
-register_extractor("id", "i.")(lambda nodes, **options: trees.identifier_bag(nodes, lambda t: tokens.processed(t, **options)))
+@register_extractor("id", "i.")
+def _identifiers(nodes: DataFrame, stem_above: int = tokens.STEM_ABOVE, least_length: int = tokens.LEAST_SPLIT, most_length: int = tokens.MOST_LENGTH) -> DataFrame:
+    return trees.identifier_bag(nodes, lambda t: tokens.processed(t, stem_above, least=least_length, most=most_length))
+
+
 register_extractor("lit", "l.")(lambda nodes: trees.literal_bag(nodes, tokens.hashed_token))
 register_extractor("uast2seq", "s.")(trees.sequence_bag)
 register_extractor("node2vec", "r.")(trees.random_walk_bag)
@@ -38,16 +44,54 @@ register_extractor("graphlet", "g.")(trees.graphlet_bag)
 
 
 @register_extractor("children", "c.")
-def _children(nodes: DataFrame, partitions: int = 20) -> DataFrame:
+def _children(nodes: DataFrame, partitions: int = 20, levels: DataFrame | None = None) -> DataFrame:
+    return trees.children_bag(nodes, levels_of(nodes, partitions) if levels is None else levels)
+
+
+def levels_of(nodes: DataFrame, partitions: int = 20) -> DataFrame:
+    """(internal_type, levels): how many children a node has, cut into levels of like frequency."""
     histogram = trees.child_counts(nodes).groupBy("internal_type", "n_children").agg(F.count("*").alias("freq"))
-    return trees.children_bag(nodes, trees.quantization_levels(histogram, partitions))
+    return trees.quantization_levels(histogram, partitions)
+
 
+def options_of(extractor: str) -> dict[str, int | float | str]:
+    """The options of an extractor that a command line can give, with their defaults."""
+    own = inspect.signature(EXTRACTORS[extractor][1]).parameters
+    return {n: p.default for n, p in own.items() if type(p.default) in (int, float, str)}
 
-def bags_of(nodes: DataFrame, extractors: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+
+def bags_of(nodes: DataFrame, extractors: list[str], weights: dict[str, float] | None = None, options: dict[str, dict] | None = None, least: int = 1) -> DataFrame:
+    """Bags of several extractors, each with its weight and options, of tokens that ``least`` documents have."""
     unknown = set(extractors) - set(EXTRACTORS)
     if unknown:
         raise ValueError(f"no such extractors: {sorted(unknown)}")
-    return trees.combined(*[trees.with_namespace(EXTRACTORS[e][1](nodes), EXTRACTORS[e][0], (weights or {}).get(e, 1.0)) for e in extractors])
+    if least < 1:
+        raise ValueError("a document frequency is at least 1")
+    made = {e: EXTRACTORS[e][1](nodes, **(options or {}).get(e, {})) for e in extractors}
+    bags = trees.combined(*[trees.with_namespace(bag, EXTRACTORS[e][0], (weights or {}).get(e, 1.0)) for e, bag in made.items()])
+    if least == 1:
+        return bags
+    bags = stored(bags, "bags")
+    return bags.join(frequencies.pruned(frequencies.document_frequency(bags), least).select("token"), "token", "left_semi").select(*bags.columns)
+
+
+def saved_vocabulary(spark: SparkSession, path: str | None, bags: DataFrame | None = None, save_to: str | None = None, least: int = 1, size: int | None = None) -> tuple[DataFrame, dict]:
+    """The vocabulary (token, freq, token_id) at ``path``, or that of ``bags``, which is saved; and its facts."""
+    if path:
+        return models.load(spark, path, "docfreq")
+    if bags is None or not save_to:
+        raise ValueError("without a saved vocabulary, bags and a place to save theirs are needed")
+    models.save(vocabulary(bags, least, size), save_to, "docfreq", docs=frequencies.n_documents(bags).first()[0])
+    return models.load(spark, save_to, "docfreq")
+
+
+def saved_levels(spark: SparkSession, path: str, nodes: DataFrame | None = None, partitions: int = 20) -> DataFrame:
+    """The quantization levels at ``path``; if there are none, those of ``nodes``, which are saved there."""
+    if not models.exists(spark, path):
+        if nodes is None:
+            raise ValueError(f"no levels at {path}, and no trees to make them from")
+        models.save(levels_of(nodes, partitions), path, "quant")
+    return models.load(spark, path, "quant")[0]
 
 
 def word_identifiers(files: DataFrame) -> DataFrame:
@@ -56,6 +100,13 @@ def word_identifiers(files: DataFrame) -> DataFrame:
     return non_empty(files).select(F.explode(F.regexp_extract_all("content", F.lit(WORD), F.lit(0))).alias("token"), "repository_id", path.alias("path"))
 
 
+def source_identifiers(files: DataFrame, split: bool = False) -> DataFrame:
+    """(token, repository_id, path) of every name in the files' code; ``split``: only names of several words."""
+    path = F.concat_ws("/", "repository_id", "path")
+    names = non_empty(files).select(F.explode(lexers.names_in(F.col("content"), F.col("lang"))).alias("token"), "repository_id", path.alias("path"))
+    return names.where(F.size(tokens.split_identifier(F.col("token"), least=1)) > 1) if split else names
+
+
 def word_bags(files: DataFrame) -> DataFrame:
     """(token, document, value) of the words of each file, one row a word and file."""
     document = document_name(F.col("repository_id"), F.col("path"), F.lit(""))
@@ -68,15 +119,15 @@ def vocabulary(bags: DataFrame, least: int = 1, size: int | None = None) -> Data
     return frequencies.ordered(df if size is None else frequencies.greatest(df, size))
 
 
-def repos2bow(bags: DataFrame, least: int = 1, size: int | None = None, cache_hook=None, save_hook=None) -> DataFrame:
-    """TF-IDF rows (document, tokens, values) of bags, in one plan.
+def repos2bow(bags: DataFrame, least: int = 1, size: int | None = None, cache_hook=None, save_hook=None, words: DataFrame | None = None) -> DataFrame:
+    """TF-IDF rows (document, tokens, values) of bags, over their own vocabulary or a saved one (``words``).
 
     ``cache_hook`` sees the term frequencies (and may persist them), ``save_hook`` the weighted bags.
     """
     tf = stored(frequencies.term_frequency(bags), "tf")  # read three times, made once
     if cache_hook:
         cache_hook(tf)
-    words = vocabulary(tf, least, size)
+    words = vocabulary(tf, least, size) if words is None else words
     n = frequencies.n_documents(tf)
     weighted = _weighted(tf, words, n)
     if save_hook:
@@ -100,7 +151,7 @@ def repos2coocc(nodes: DataFrame, least: int = 1, size: int | None = None, split
     return matrices.cooccurrence(matrices.tree_contexts(nodes, split), vocabulary(bags, least, size))
 
 
-def repos2ids(files: DataFrame, with_frequencies: bool = True) -> DataFrame:
-    ids = word_identifiers(files)
+def repos2ids(files: DataFrame, with_frequencies: bool = True, split: bool = True) -> DataFrame:
+    """Names in source code with their words; ``split``: only names of several words."""
     make = frequencies.identifier_frequencies if with_frequencies else frequencies.distinct_identifiers
-    return make(ids, tokens.split_identifier(F.col("token")))
+    return make(source_identifiers(files, split), tokens.split_identifier(F.col("token"), least=1))

@@ -151,6 +151,25 @@ def ids_distinct(spark, d):
     return frequencies.distinct_identifiers(flows.word_identifiers(_files(spark, d)), _plain(F.col("token")))
 
 
+def _code(spark, d):
+    """Python and Java files with names, strings, comments, keywords and numbers."""
+    p = _table(spark, d, "part")
+    name, words = F.concat(F.lit("find"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("_by"), F.initcap("p_type")), F.col("p_name")
+    python = F.concat(F.lit("def "), name, F.lit("(size):  # "), words, F.lit("\n    return size + 0x1F if None else '"), words, F.lit("'\n"))
+    java = F.concat(F.lit("/* "), words, F.lit(" */ public int "), name, F.lit('(int size) { return size + 12e3; } // "'), words, F.lit("\n"))
+    lang = F.when(F.col("p_partkey") % 3 == 0, "Python").when(F.col("p_partkey") % 3 == 1, "Java").otherwise("Markdown")
+    return p.select(F.col("p_brand").alias("repository_id"), F.col("p_partkey").cast("string").alias("path"), lang.alias("lang"), F.when(lang == "Java", java).otherwise(python).alias("content"))
+
+
+CODE = "code AS (SELECT 'find' || replace(p_brand, '#', '') || '_by' || array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS phrase, p_brand AS repository_id, p_brand || '/' || p_partkey AS path FROM part WHERE p_partkey % 3 <> 2)"
+
+
+@query(f"""WITH {CODE}, n AS (SELECT string_split(phrase, ' ')[1] AS token, repository_id, path FROM code UNION ALL SELECT unnest(string_split(phrase, ' ')[2:]), repository_id, path FROM code UNION ALL SELECT unnest(['size', 'size']), repository_id, path FROM code)
+SELECT token, count(DISTINCT path) AS num_files, count(*) AS num_occ, count(DISTINCT repository_id) AS num_repos FROM n GROUP BY token""")
+def source_names(spark, d):
+    return flows.repos2ids(_code(spark, d), split=False).select("token", "num_files", "num_occ", "num_repos")
+
+
 # tokens
 
 
