@@ -45,10 +45,11 @@ def common_roles(df: DataFrame, identifier: str, role: str, least: int = 10) ->
     return n.withColumn("__place", best).where("__place = 1").select(identifier, role)
 
 
-def role_quality(df: DataFrame, vector: str, role: str, folds: int = 3, seed: int = 42) -> DataFrame:
+def role_quality(df: DataFrame, vector: str, role: str, folds: int = 5, seed: int = 42, strengths: tuple[float, ...] = tuple(10.0**k for k in range(-7, -1))) -> DataFrame:
     """(accuracy, f1, reg_param) of a logistic regression, its penalty chosen by cross-validation, on a third that is held out.
 
-    Rows are weighted so that each role counts the same.
+    Rows are weighted so that each role counts the same. A strength is the inverse of a penalty on the summed loss; Spark
+    takes the mean, so the penalty is one by the strength and the number of training rows.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -61,9 +62,10 @@ def role_quality(df: DataFrame, vector: str, role: str, folds: int = 3, seed: in
     part = F.pmod(F.xxhash64(vector), F.lit(3))
     data = df.join(n, role).select(part.alias("part"), F.col(role).cast("string").alias("role"), array_to_vector(vector).alias("features"), (1 / F.col("__n")).alias("weight"))
     regression = LogisticRegression(weightCol="weight", labelCol="label", maxIter=30)
-    grid = ParamGridBuilder().addGrid(regression.regParam, [1e-4, 1e-2, 1.0]).build()
+    rows = max(data.where("part <> 0").count(), 1)
+    grid = ParamGridBuilder().addGrid(regression.regParam, [1 / (c * rows) for c in strengths]).build()
     measure = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    search = CrossValidator(estimator=regression, estimatorParamMaps=grid, evaluator=measure, numFolds=folds, seed=seed)
+    search = CrossValidator(estimator=regression, estimatorParamMaps=grid, evaluator=measure, numFolds=folds, seed=seed, parallelism=4)
     indexed = Pipeline(stages=[StringIndexer(inputCol="role", outputCol="label")]).fit(data).transform(data)
     model = search.fit(indexed.where("part <> 0"))
     found = model.transform(indexed.where("part = 0"))

@@ -55,12 +55,13 @@ class Node:
         return head
 
     def explode(self, head: DataFrame) -> dict[str, DataFrame]:
-        """The result of every node from here on, by name; shared steps are planned once."""
-        out = {}
+        """The result of every node from here on, by name (further ones of a name with their number); shared steps are planned once."""
+        out, seen = {}, {}
 
         def visit(node: Node, df: DataFrame) -> None:
             df = node.step(df) if node.step else df
-            out[node.name] = df
+            seen[node.name] = seen.get(node.name, 0) + 1
+            out[node.name if seen[node.name] == 1 else f"{node.name} {seen[node.name]}"] = df
             for c in node.children:
                 visit(c, df)
 

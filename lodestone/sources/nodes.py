@@ -136,6 +136,13 @@ def parsed(files: DataFrame, document: str, content: str, parser) -> DataFrame:
     return files.select(F.col(document).cast("string"), content).mapInArrow(run, NODES)
 
 
+def unparsed(files: DataFrame, document: str, content: str, nodes: DataFrame) -> DataFrame:
+    """(document): those with content of which ``nodes`` has none, since it does not parse."""
+    there = nodes.select("document").distinct()
+    full = files.where(F.length(content) > 0).select(F.col(document).cast("string").alias("document")).where("document is not null")
+    return full.join(there, "document", "left_anti")
+
+
 def order_nodes(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """A tree for each order: the order, its groups of lines by return flag, and the lines.
 

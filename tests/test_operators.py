@@ -82,6 +82,7 @@ def test_python_trees(spark):
     files = spark.createDataFrame([("d", source), ("bad", "def ("), (None, "x = 1"), ("empty", "")], "document string, content string")
     nodes = node_sources.parsed(files, "document", "content", node_sources.python_tree).cache()
     assert {r.document for r in nodes.select("document").distinct().collect()} == {"d"}
+    assert [r.document for r in node_sources.unparsed(files, "document", "content", nodes).collect()] == ["bad"]
     rows = sorted(nodes.collect(), key=lambda r: r.pre)
     assert sorted(r.post for r in rows) == list(range(len(rows)))
     assert trees.outermost_functions(nodes).select("name").collect()[0].name == "outer+inner"
@@ -115,6 +116,8 @@ def test_pipeline(spark):
     assert count.run(df).first().n == 3 and [n.name for n in count.path()] == ["read", "keep", "count"]
     assert set(root.explode(df)) == {"read", "keep", "drop", "count"}
     assert '"keep 1" -> "count 1"' in root.graph()
+    drop.link(("count", lambda df: df.agg(F.count("*").alias("n"))))
+    assert {k: v.first().n for k, v in root.explode(df).items() if k.startswith("count")} == {"count": 3, "count 2": 7}
     root.unlink(drop)
     assert drop.parent is None and root.children == [keep]
 
