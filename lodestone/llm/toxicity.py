@@ -2,8 +2,8 @@
 
 A Zstandard dictionary of toxic text and a separate one of ordinary text are made from
 labelled rows; a text is cut into windows of ``WINDOW`` words, each window is
-compressed with either and with none, and what each dictionary saves is compared. The savings of a text's
-windows go into a logistic calibration, fitted on folds whose dictionaries
+compressed with either, and the lengths are compared. What the toxic one saves in a text's
+windows goes into a logistic calibration, fitted on folds whose dictionaries
 have not seen them.
 
 A window is spelt with every byte ``SPELL`` times. A match costs some bytes however long it
@@ -103,37 +103,31 @@ def dictionary_content(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
 
 
 class Distances:
-    """Compressors with either dictionary and with none, made in each task, and what they saved lately."""
+    """Compressors with either dictionary, made in each task, and what the toxic one saved lately."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.compressors = [self._compressor(x) for x in (toxic, ordinary, None)]
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.toxic, self.ordinary = self._compressor(toxic), self._compressor(ordinary)
+        self.known: dict[bytes, int] = {}
 
     @staticmethod
-    def _compressor(content: bytes | None):
-        options = {"level": LEVEL, "write_content_size": False, "write_dict_id": False, "write_checksum": False}
-        if content is not None:
-            d = zstandard.ZstdCompressionDict(spelt(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            options["dict_data"] = d
-        return zstandard.ZstdCompressor(**options).compress
-
-    def saved(self, window: bytes) -> tuple[int, int]:
-        """Bytes that the toxic and the ordinary dictionary save."""
+    def _compressor(content: bytes):
+        d = zstandard.ZstdCompressionDict(spelt(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False).compress
+
+    def saved(self, window: bytes) -> int:
+        """By how many bytes the window is shorter with the toxic dictionary than with the ordinary one."""
         if (found := self.known.get(window)) is None:
             if len(self.known) >= CACHE_MOST:
                 self.known.clear()
             raw = spelt(window)
-            toxic, ordinary, none = (len(c(raw)) for c in self.compressors)
-            self.known[window] = found = none - toxic, none - ordinary
+            self.known[window] = found = len(self.ordinary(raw)) - len(self.toxic(raw))
         return found
 
     def features(self, text: str) -> list[float]:
-        both = np.array(list(map(self.saved, windows(text))), np.float64)
-        saved = np.sort(both[:, 0])
+        saved = np.sort(np.array(list(map(self.saved, windows(text))), np.float64))
         over = (saved[:, None] >= STEPS).sum(0)
-        beyond = (both[:, 0] - both[:, 1]).max()
-        return [min(saved[-1], 30) / 4, min(saved[-3:].sum(), 60) / 10, *np.log1p(over), *np.log1p(30 * over / len(saved)), np.log1p(len(saved)), *np.median(both, 0), min(beyond, 30)]
+        return [min(saved[-1], 30) / 4, min(saved[-3:].sum(), 60) / 10, *np.log1p(over), *np.log1p(30 * over / len(saved)), np.log1p(len(saved)), saved.mean(), saved[0]]
 
 
 class Model:
