@@ -13,25 +13,34 @@ from lodestone.llm import bpe, decontaminate, quality, secret_scan, simhash
 from lodestone.llm.common import annotate, cleaned, fresh_path, table, written
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """The text, the language and, in ``row``, all columns but the text: so no name clashes and no text travels twice."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "lang", "text")
+
+
+def whole(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows (row, text)."""
+    return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    rows = docs.select(F.struct("*").alias("row"), "lang", "text")
-    return quality.judged(rows, ["row", "lang"]).where("kept").select("row.*")
+    return whole(quality.judged(apart(docs), ["row", "lang", "text"]).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id, once; if none has a doc_id, one of the smallest text_key."""
     groups = simhash.near_groups(docs)
     stay = written(groups.where("doc_id = first").groupBy("doc_id").agg(F.count("*").alias("__rows")), "near-stay")
-    named = docs.join(stay, "doc_id")
-    once = named.where("__rows = 1").select(*docs.columns)
-    more = named.where("__rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    rows = docs.join(stay.where("__rows = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if stay.where("__rows > 1").limit(1).count():
+        more = docs.join(stay.where("__rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+        rows = rows.unionByName(more.dropDuplicates(["doc_id", "text"]))
     nameless = groups.where("first is null").groupBy("group").agg(F.min("text_key").alias("text_key")).select("text_key")
-    if not nameless.limit(1).count():
-        return once.unionByName(more)
-    rows = docs.where("doc_id is null").select(F.struct("*").alias("row"), "doc_id", "text")
-    rows = simhash.near_keys(rows, ["row"]).join(nameless, "text_key", "left_semi").dropDuplicates(["text_key"])
-    return once.unionByName(more).unionByName(rows.select("row.*"))
+    if nameless.limit(1).count():
+        others = simhash.near_keys(docs.where("doc_id is null").select(F.struct("*").alias("row"), "text"), ["row"])
+        rows = rows.unionByName(others.join(nameless, "text_key", "left_semi").dropDuplicates(["text_key"]).select("row.*"))
+    return rows
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +51,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret replaced by its kind; n_chars follows the text."""
     make = lambda: lambda ts: [[secret_scan.redact(t, found) if (found := secret_scan.spans_of(t)) else t for t in ts]]
-    rows = annotate(docs.select(F.struct("*").alias("row"), "text"), ["row"], [("redacted", "string")], make)
-    changed = {"text": F.when(F.col("row.text").isNotNull(), F.col("redacted"))}
+    rows = annotate(apart(docs), ["row", "text"], [("redacted", "string")], make)
+    changed = F.col("redacted") != F.coalesce("text", F.lit(""))
+    row = F.col("row")
     if "n_chars" in docs.columns:
-        same = F.col("redacted") == F.coalesce("row.text", F.lit(""))
-        changed["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length("redacted")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col("row")[c].alias(c) for c in docs.columns])
+        row = row.withField("n_chars", F.when(changed, F.length("redacted")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType))
+    return whole(rows.select(row.alias("row"), F.when(F.col("text").isNotNull(), F.col("redacted")).alias("text")), docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

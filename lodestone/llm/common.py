@@ -118,28 +118,30 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def annotate(df: DataFrame, keep: list[str], fields: list[tuple[str, str]], make, text: str = "text", rows: int = 1000) -> DataFrame:
+def annotate(df: DataFrame, keep: list[str], fields: list[tuple[str, str]], make, text: str = "text", rows: int = 1000, also: tuple[str, ...] = ()) -> DataFrame:
     """Columns ``keep`` of every row, and ``fields`` (name, type) made from its whole text.
 
     ``make()`` is called once a task and gives a function from a list of texts
-    (null: empty) to one list or Arrow array for each field. A kept column whose
-    name is that of a new field gives way to it.
+    (null: empty) to one list or Arrow array for each field; it also gets a list for each of the kept columns ``also``. A kept column whose
+    name is that of a new field gives way to it. A text that is kept travels once.
     """
     ship(df.sparkSession)
     names = [n for n, _ in fields]
     keep = [c for c in keep if c not in names]
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = df.select(*keep) if text in keep else df.select(*keep, F.col(text).alias("__text"))
+    at, others = source.columns.index(text if text in keep else "__text"), [keep.index(c) for c in also]
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                made = of(part.column(len(keep)).to_pylist())
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                made = of(part.column(at).fill_null("").to_pylist(), *(part.column(k).to_pylist() for k in others))
                 made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, arrow.field(n).type) for n, x in zip(names, made)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=keep + names)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return source.mapInArrow(run, schema)
 
@@ -194,15 +196,20 @@ def get_bytes(uri: str) -> bytes | None:
 
 
 def mapped(uri: str, dtype) -> np.ndarray | None:
-    """A memory-mapped array of the shared folder (copied to this machine first if it is in another store), None if there is none."""
+    """A memory-mapped array of the shared folder, None if there is none.
+
+    From a store that is no file system it is copied first, to a file without a name, which goes with the process.
+    """
     path = local_path(uri)
     if path is None:
         fs, source = pafs.FileSystem.from_uri(uri)
         if fs.get_file_info(source).type == pafs.FileType.NotFound:
             return None
-        path = os.path.join(tempfile.mkdtemp(prefix="mapped-"), os.path.basename(source))
-        with fs.open_input_stream(source) as f, open(path, "wb") as out:
+        out = tempfile.TemporaryFile()
+        with fs.open_input_stream(source) as f:
             shutil.copyfileobj(f, out)
+        out.flush()
+        return np.memmap(out, dtype, mode="r") if out.tell() else np.empty(0, dtype)
     if not os.path.exists(path):
         return None
     return np.memmap(path, dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)

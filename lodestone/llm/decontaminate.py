@@ -323,6 +323,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, words: dict[str, Lists]
     clean = named.join(found, "doc_id", "left_anti").select(*docs.columns)
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     rest = docs.where("doc_id is null")
+    if not rest.limit(1).count():
+        return clean
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts_of = rest.select(key.alias("doc_id"), "text", lang.alias("lang")).where("text is not null")
     leaks = written(contaminated(texts_of, benchmark, words).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")

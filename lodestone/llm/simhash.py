@@ -319,14 +319,14 @@ def _verified(pairs: DataFrame, distinct: DataFrame, source: DataFrame, keep: Sc
     sets = _near_sets(texts_of, scratch)
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("t").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("file", "at", "n")]), side)
-    pairs = pairs.select("a", "b", "a_file", "a_at", "a_n", "b_file", "b_at", "b_n")
+    pairs = pairs.select("a", "b", "a_file", "a_at", "a_n", "b_file", "b_at", "b_n").sortWithinPartitions("a_file", "b_file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, np.ndarray] = {}
 
         def own(file, at, n):
             if file not in opened:
-                if len(opened) >= 64:
+                if len(opened) >= 16:
                     opened.clear()
                 opened[file] = mapped(file, np.uint64)
             return opened[file][at : at + n]
