@@ -51,7 +51,7 @@ WINDOW = 13
 BROADCAST_MOST, BROADCAST_BYTES = 2_000_000, 256 << 20
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 TYPED, FOLDED, VERBATIM = 0, 1, 2
-CACHE_MOST, CHUNK = 500_000, 2_000
+CACHE_MOST, CHUNK = 250_000, 1_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 #: Units that are written alike in most languages.
