@@ -83,3 +83,23 @@ sums AS (SELECT row, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, s
 SELECT doc_id, held_out, n_tokens, n_known, size.n AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM texts JOIN sums USING (row), size
 """
 )
+
+#: The whole result of op13_phrase_collocations.
+PHRASE_COLLOCATIONS = r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+places AS (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM lists, range(1, 5) AS sizes(size)),
+f AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS a FROM places GROUP BY ALL),
+words AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+scores AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sizes_within AS (SELECT lang, a, ws, size, unnest(range(2, size)) AS part FROM candidates),
+inner_places AS (SELECT lang, a, ws, part, unnest(range(1, size - part + 2)) AS i FROM sizes_within),
+holders AS (SELECT lang, array_to_string(ws[i:i + part - 1], ' ') AS phrase, max(a) AS longest FROM inner_places GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN holders USING (lang, phrase) WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
+"""
