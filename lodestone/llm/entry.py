@@ -14,6 +14,7 @@ from .secret_scan import op10_secret_scan
 from .simhash import op5_simhash_groups
 from .substring import op2_substring_dedup
 from .toxicity import op3_toxicity
+from .vector_codes import op11_vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -28,9 +29,10 @@ QUERIES = {
         op8_html_main_text,
         op9_license_scan,
         op10_secret_scan,
+        op11_vector_codes,
         op13_phrase_collocations,
     )
 }
 
 #: The models, fingerprints and parsers of the others SQL cannot express: tests/llm holds them against brute force.
-ORACLE_SQL = {"op2_substring_dedup": sql.SUBSTRING_DEDUP, "op6_language_model": sql.LANGUAGE_MODEL, "op13_phrase_collocations": sql.PHRASE_COLLOCATIONS}
+ORACLE_SQL = {"op2_substring_dedup": sql.SUBSTRING_DEDUP, "op6_language_model": sql.LANGUAGE_MODEL, "op11_vector_codes": sql.VECTOR_CODES, "op13_phrase_collocations": sql.PHRASE_COLLOCATIONS}

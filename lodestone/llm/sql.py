@@ -103,3 +103,25 @@ holders AS (SELECT lang, array_to_string(ws[i:i + part - 1], ' ') AS phrase, max
 kept AS (SELECT best.* FROM best LEFT JOIN holders USING (lang, phrase) WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
 """
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    assign = """a{k} AS MATERIALIZED (SELECT row, p, min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS found FROM parts JOIN b{k} USING (p) GROUP BY ALL)"""
+    move = """s{k} AS (SELECT p, found % 256 AS e, i, floor(sum(v) / count(*)) AS v FROM (SELECT row, p, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM parts) JOIN a{k} USING (row, p) GROUP BY ALL),
+b{n} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b{k}.c) AS c FROM b{k} LEFT JOIN (SELECT p, e, list(v ORDER BY i) AS c FROM s{k} GROUP BY ALL) m USING (p, e))"""
+    steps = ",\n".join(f"{assign.format(k=k)},\n{move.format(k=k, n=k + 1)}" for k in range(rounds))
+    return f"""
+WITH whole AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS row, * FROM whole),
+parts AS MATERIALIZED (SELECT row, p, v[p * len(v) // 4 + 1:(p + 1) * len(v) // 4] AS x FROM kept, range(4) AS r(p)),
+b0 AS (SELECT p, row - 1 AS e, x AS c FROM parts WHERE row <= 256),
+{steps},
+{assign.format(k=rounds)},
+coded AS (SELECT row, string_agg(printf('%02x', found % 256), '' ORDER BY p) AS code, CAST(sum(found // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), books
+"""
+
+
+#: The whole result of op11_vector_codes; of equal distances the least of distance and index together is the lower index.
+VECTOR_CODES = _vector_codes()

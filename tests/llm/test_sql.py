@@ -22,7 +22,8 @@ def test_same_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = cells(con.execute(entry.ORACLE_SQL[name]).df())
     assert len(want) > 1 and cells(entry.QUERIES[name](spark, SF).toPandas()) == want
 
