@@ -8,6 +8,7 @@ from .decontaminate import op1_decontamination
 from .html_main import op8_html_main_text
 from .language_model import op6_language_model
 from .license_scan import op9_license_scan
+from .merge_replay import op12_merge_replay
 from .phrases import op13_phrase_collocations
 from .quality import op4_quality_rules
 from .secret_scan import op10_secret_scan
@@ -30,6 +31,7 @@ QUERIES = {
         op9_license_scan,
         op10_secret_scan,
         op11_vector_codes,
+        op12_merge_replay,
         op13_phrase_collocations,
     )
 }

@@ -1,0 +1,65 @@
+"""Merge replay against the library of the rank files."""
+
+import base64
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from lodestone.llm import merge_replay as M
+
+VOCABULARY = M.vocabulary_file()
+
+
+def library(source):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, source.splitlines())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+TEXTS = [
+    None, "", " ", "\n\n \t x", "Hello world, it's 1234 o'clock!", "naïve café — 城市 🙂🙂 ​ end", "aaaaaaaaaaaaaaaaaaaa", "a" * 5000, "abab" * 700 + "!",
+    "<|endoftext|> is text here", "\x00\x01�", "tabs\t\tand   spaces   ", "Straße ſ ǅ ʰ Ω ١٢٣", "é" * 50, "x" * 3 + " " * 900 + "y", "==" * 400,
+]
+
+
+def test_same_as_the_library(spark):
+    rng = np.random.default_rng(2)
+    letters = list("etaoin shrdlu,.ETAéü'城\n012")
+    many = TEXTS + ["".join(rng.choice(letters, n)) for n in rng.integers(0, 400, 120)]
+    docs = spark.createDataFrame([(i if i % 7 else None, t, "w", 1) for i, t in enumerate(many)], "doc_id long, text string, word string, portion int").repartition(3)
+    got = M.encode(docs, VOCABULARY).collect()
+    enc = library(VOCABULARY)
+    want = sorted((repr(i if i % 7 else None), enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(many))
+    assert sorted((repr(r.doc_id), r.input_ids, bytes(r.decoded)) for r in got) == want
+
+
+def test_a_text_of_megabytes(spark):
+    text = "long words " * 200_000 + "q" * 300_000
+    (row,) = M.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), VOCABULARY).collect()
+    assert row.input_ids == library(VOCABULARY).encode_ordinary(text) and bytes(row.decoded) == text.encode()
+
+
+def test_no_rows(spark):
+    assert M.encode(spark.createDataFrame([], "doc_id long, text string"), VOCABULARY).count() == 0
+
+
+def small(tokens):
+    """A rank file of all bytes and then these tokens."""
+    spelt = [bytes([b]) for b in range(256)] + tokens
+    return b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(spelt))
+
+
+@pytest.mark.parametrize("tokens", [[b"ab", b"abc", b"bcd", b"cd", b"xbcd", b"xb"], [b"bcx", b"abc", b"bc", b"xbc", b"cb", b"bcb"], [b"aa", b"aaa", b"aaaa", b"ba", b"baa"]])
+def test_lower_ranks_that_a_merge_makes(tokens):
+    """Ranks that no training would give: a merge makes pairs that go before it."""
+    source = small(tokens)
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdx"), n)).encode() for n in rng.integers(1, 30, 400)]
+    enc = library(source)
+    assert M.Merges(source).replayed(words) == [enc.encode_ordinary(w.decode()) for w in words]
+
+
+def test_a_vocabulary_needs_all_bytes():
+    with pytest.raises(ValueError, match="bytes without a token"):
+        M.Merges(base64.b64encode(b"a") + b" 0")
