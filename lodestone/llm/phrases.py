@@ -36,7 +36,7 @@ LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 DEPTH = 2
 CHARS_A_SLOT = 16
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: The rows of the sketch multiply by these odd numbers.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: 1 for the blanks between words, 2 for what ends a piece.
