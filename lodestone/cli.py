@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import models
 from .functions import lexers, tokens
-from .operators import evaluation, frequencies, matrices, relational, trees
+from .operators import evaluation, frequencies, matrices, relational, swivel, trees
 from .plans import flows
 from .session import create_session, stored
 from .sources import files as sources
@@ -118,20 +118,27 @@ def repos2idseq(spark, a):
     sources.save_csv(trees.identifier_sequence(_nodes(spark, a), tokens.split_identifier), a.output)
 
 
-@command("id2vec-preproc", MODELS, OUT, [(("--docfreq",), {"required": True}), (("--shards",), {"type": int, "default": 1})])
+@command("id2vec-preproc", MODELS, OUT, [(("--docfreq",), {"required": True}), (("--vocabulary-size",), {"type": int, "default": 1 << 17}), (("--shard-size",), {"type": int, "default": 4096})])
 def id2vec_preproc(spark, a):
-    words, _ = models.load(spark, a.docfreq, "docfreq")
-    cooc = stored(matrices.merged_cooccurrences([models.load(spark, p, "cooccurrences")[0] for p in a.inputs], words), "cooccurrences")
-    numbered = matrices.shards(cooc, cooc.select(F.col("row").alias("token")).distinct(), a.shards)
-    marks = numbered.select("token", "shard")
-    cells = matrices.pmi_targets(cooc).join(marks.select(F.col("token").alias("row"), F.col("shard").alias("shard_row")), "row").join(marks.select(F.col("token").alias("col"), F.col("shard").alias("shard_col")), "col")
-    cells.write.partitionBy("shard_row", "shard_col").parquet(f"{a.output}/cells")
-    words.write.parquet(f"{a.output}/vocabulary")
-
-
-@command("id2vec-train", OUT, [(("--input",), {"required": True}), (("--rank",), {"type": int, "default": 300}), (("--rounds",), {"type": int, "default": 40})])
+    """Cells of the most frequent words, in whole shards; a matrix of another vocabulary or with negative cells is refused."""
+    words, own = models.load(spark, a.docfreq, "docfreq")
+    parts = [models.load(spark, p, "cooccurrences") for p in a.inputs]
+    for _, meta in parts:
+        if meta["dependencies"]:
+            models.check_depends(meta, own)
+    tables = [swivel.checked(t) for t, _ in parts]
+    cells, vocabulary, n = swivel.prepared(matrices.merged_cooccurrences(tables) if len(tables) > 1 else tables[0], words, a.vocabulary_size, a.shard_size)
+    models.save(cells, f"{a.output}/cells", "cells", [own["uuid"]], shards=n)
+    vocabulary.write.parquet(f"{a.output}/vocabulary")
+
+
+@command("id2vec-train", OUT, [(("--input",), {"required": True}), (("--dim",), {"type": int, "default": 300}), (("--epochs",), {"type": int, "default": 40}), (("--rate",), {"type": float, "default": 1.0})])
 def id2vec_train(spark, a):
-    matrices.factorized(spark.read.parquet(f"{a.input}/cells"), a.rank, a.rounds).write.parquet(a.output)
+    """Row and column vectors of what id2vec-preproc wrote."""
+    cells, meta = models.load(spark, f"{a.input}/cells", "cells")
+    rows, cols, _ = swivel.trained(cells, spark.read.parquet(f"{a.input}/vocabulary"), meta["shards"], a.dim, a.epochs, options=swivel.Options(rate=a.rate))
+    rows.write.parquet(f"{a.output}/rows")
+    cols.write.parquet(f"{a.output}/cols")
 
 
 @command("id2vec-postproc", OUT, [(("--rows",), {"required": True}), (("--cols",), {"required": True})])

@@ -90,13 +90,19 @@ def write_bows(rows: DataFrame, path: str, per_file: int = 1_000_000) -> None:
     rows.write.option("maxRecordsPerFile", per_file).parquet(path)
 
 
-def shards(cooc: DataFrame, vocabulary: DataFrame, n_shards: int) -> DataFrame:
-    """(token, sums, shard): the cells of each row, and its shard by falling number of cells (ties by token)."""
+def shard_places(cooc: DataFrame, vocabulary: DataFrame, n_shards: int) -> DataFrame:
+    """(token, sums, shard, place): the cells of each row, its shard by falling number of cells (ties by token), its place in it."""
     sums = cooc.groupBy(F.col("row").alias("token")).agg(F.count("*").alias("sums"))
     all_ = vocabulary.select("token").join(sums, "token", "left").select("token", F.coalesce("sums", F.lit(0)).alias("sums"))
     order = all_.select(F.struct((-F.col("sums")).alias("falling"), "token").alias("place")).where("place.token is not null")
     ranked = indexed(order, "place", "rank")
-    return ranked.select("place.token", (-F.col("place.falling")).alias("sums"), F.pmod("rank", F.lit(n_shards)).cast("int").alias("shard"))
+    shard = F.pmod("rank", F.lit(n_shards)).cast("int").alias("shard")
+    return ranked.select("place.token", (-F.col("place.falling")).alias("sums"), shard, F.expr(f"rank div {n_shards}").alias("place"))
+
+
+def shards(cooc: DataFrame, vocabulary: DataFrame, n_shards: int) -> DataFrame:
+    """(token, sums, shard) of ``shard_places``."""
+    return shard_places(cooc, vocabulary, n_shards).select("token", "sums", "shard")
 
 
 def pmi_targets(cooc: DataFrame) -> DataFrame:

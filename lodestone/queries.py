@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars, tokens
-from .operators import evaluation, frequencies, matrices, relational, trees
+from .operators import evaluation, frequencies, matrices, relational, swivel, trees
 from .plans import flows
+from .session import stored
 from .sources import files as sources
 from .sources import nodes as trees_of
 
@@ -436,6 +437,53 @@ def pmi_target(spark, d):
     return matrices.pmi_targets(_cooc(spark, d)).select("row", "col", F.round("target", 6).alias("target"), F.round("confidence", 6).alias("confidence"))
 
 
+#: Kinds of parts (brand and size) that are ordered together, most pairs of which never are; vectors that follow from the names;
+#: shards by falling number of cells; every pair of names with its cell and error.
+SWIVEL = """n AS (SELECT l_orderkey AS context, replace(p_brand, '#', '') || '-' || p_size AS token, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+cooc AS (SELECT a.token AS "row", b.token AS col, sum(a.n * (b.n - CASE WHEN a.token = b.token THEN 1 ELSE 0 END))::DOUBLE AS weight FROM n a JOIN n b USING (context) GROUP BY ALL HAVING weight > 0),
+sums AS (SELECT "row" AS token, count(*) AS n FROM cooc GROUP BY ALL),
+v AS (SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) - 1) % 3 AS shard, [length(token) / 10::DOUBLE, ascii(token[6]) / 100::DOUBLE - 1, 0.25] AS r,
+ [0.5, length(token) / 20::DOUBLE, ascii(token[7]) / 50::DOUBLE - 2] AS c FROM sums),
+pairs AS (SELECT a.token AS x, b.token AS y, a.shard AS i, b.shard AS j, a.r, b.c, w.weight,
+ list_inner_product(a.r, b.c) + ln(1 + a.n) + ln(1 + b.n) - ln(1 + (SELECT sum(n) FROM sums)::DOUBLE) - CASE WHEN w.weight IS NULL THEN 0 ELSE ln(w.weight) END AS err
+ FROM v a CROSS JOIN v b LEFT JOIN cooc w ON w."row" = a.token AND w.col = b.token)"""
+SWIVEL_LOSS = f"""WITH {SWIVEL} SELECT CAST(i AS INTEGER) AS row_shard, CAST(j AS INTEGER) AS col_shard,
+ round(sum(CASE WHEN weight IS NULL THEN 0 ELSE 0.5 * (0.1 + 0.25 * sqrt(weight)) * err * err END) / 4096, 6) AS l2,
+ round(sum(CASE WHEN weight IS NULL THEN ln(1 + exp(err)) ELSE 0 END) / 4096, 6) AS zeros FROM pairs GROUP BY ALL"""
+SWIVEL_STEP = f"""WITH {SWIVEL},
+slopes AS (SELECT *, CASE WHEN weight IS NULL THEN 1 / (1 + exp(-err)) ELSE (0.1 + 0.25 * sqrt(weight)) * err END / 4096::DOUBLE AS g FROM pairs WHERE i = j),
+sides AS (SELECT 'row' AS side, x AS token, k, any_value(r[k]) AS was, sum(g * c[k]) AS g FROM slopes, range(1, 4) AS ks(k) GROUP BY ALL
+ UNION ALL SELECT 'col', y, k, any_value(c[k]), sum(g * r[k]) FROM slopes, range(1, 4) AS ks(k) GROUP BY ALL)
+SELECT side, token, string_agg(printf('%.5f', was - g / sqrt(0.1 + g * g)), ' ' ORDER BY k) AS vector FROM sides GROUP BY ALL"""
+
+
+def _swivel(spark, d):
+    """(vectors from the names in 3 shards, cells by row) of kinds of parts in orders."""
+    li, part = _table(spark, d, "lineitem"), _table(spark, d, "part")
+    kind = F.concat_ws("-", F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_size").cast("string"))
+    words = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("context"), kind.alias("token"))
+    cooc = stored(matrices.cooccurrence(words), "cooc")
+    places = stored(swivel.placed(cooc, cooc.select(F.col("row").alias("token")).distinct(), 3), "sides")
+    length, code = F.length("token").cast("double"), lambda i: F.ascii(F.substring("token", i, 1)).cast("double")
+    vector = F.when(F.col("side") == "row", F.array(length / 10, code(6) / 100 - 1, F.lit(0.25))).otherwise(F.array(F.lit(0.5), length / 20, code(7) / 50 - 2))
+    return places.withColumn("vector", vector).withColumn("squares", F.array_repeat(F.lit(0.1), 3)), swivel.cells_by_row(cooc, places)
+
+
+@query(SWIVEL_LOSS)
+def swivel_loss(spark, d):
+    """The losses of each block of three shards, with those of the zero cells."""
+    made = swivel.block_losses(*_swivel(spark, d), 3)
+    return made.select("row_shard", "col_shard", F.round("l2", 6).alias("l2"), F.round("zeros", 6).alias("zeros"))
+
+
+@query(SWIVEL_STEP)
+def swivel_step(spark, d):
+    """One step of training: the blocks (i, i) of three shards."""
+    vectors, cells = _swivel(spark, d)
+    made = swivel.step(vectors, cells, 3, 0, swivel.log_of_all(vectors)).where("side in ('row', 'col')")
+    return made.select("side", "token", F.array_join(F.transform("vector", lambda x: F.format_string("%.5f", x)), " ").alias("vector"))
+
+
 @query(f"WITH {COOC}, s AS (SELECT \"row\" AS token, count(*) AS sums FROM cooc GROUP BY ALL) SELECT token, sums, CAST((row_number() OVER (ORDER BY sums DESC, token) - 1) % 4 AS INTEGER) AS shard FROM s")
 def shard_assign(spark, d):
     c = _cooc(spark, d)

@@ -69,3 +69,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the folders of a table that ``stored`` wrote; nothing that reads it may follow."""
+    spark = df.sparkSession
+    for uri in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
