@@ -1,52 +1,163 @@
-"""Names in source code by language, as column expressions.
+"""Tokens and names in source code, by a state machine for each language.
 
-What is no code (strings, comments) is cut out by one pattern of the language, the rest is searched for
-words, and its keywords are left out. Languages that are not listed have no names.
+The machine reads code until something opens: a comment, which may hold others, a quotation, whose text may hold code again
+(templates, interpolated strings), a here-document, which begins on the next line, or a pattern, which a slash
+opens only where no value stands before it. What is open lies on a stack. ``syntax.LANGUAGES`` has what the
+machine needs to know of a language; languages that are not there have no tokens.
+
+The function runs on Arrow batches in Python workers: states of this kind are beyond what regular expressions of the JVM can say.
+What stays open is closed by the end of the text (or of the line, where a quotation may not pass it); texts
+that are null give null, empty ones no tokens.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-QUOTED = r'"(?:\\.|[^"\\\n])*"|' + r"'(?:\\.|[^'\\\n])*'"
-SLASHES = rf"{QUOTED}|//[^\n]*|/\*[\s\S]*?\*/"
-HASH = rf'"""[\s\S]*?"""|' + rf"'''[\s\S]*?'''|{QUOTED}|#[^\n]*"
-BACKTICKS = rf"`[^`]*`|{SLASHES}"
-C_WORDS = "break case char const continue default do double else enum extern float for goto if inline int long register return short signed sizeof static struct switch typedef union unsigned void volatile while"
-#: (what is no code, keywords) by language.
-LANGUAGES: dict[str, tuple[str, frozenset[str]]] = {
-    name: (pattern, frozenset(words.split()))
-    for name, pattern, words in (
-        ("Python", HASH, "False None True and as assert async await break class continue def del elif else except exec finally for from global if import in is lambda nonlocal not or pass print raise return try while with yield"),
-        ("Ruby", HASH, "BEGIN END alias and begin break case class def defined do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield"),
-        ("Shell", HASH, "case do done elif else esac fi for function if in select then until while"),
-        ("C", SLASHES, C_WORDS),
-        ("C++", SLASHES, f"{C_WORDS} alignas alignof asm auto bool catch class constexpr decltype delete dynamic_cast explicit export false friend mutable namespace new noexcept nullptr operator private protected public static_assert static_cast template this throw true try typeid typename using virtual"),
-        ("Java", SLASHES, "abstract assert boolean break byte case catch char class const continue default do double else enum extends false final finally float for goto if implements import instanceof int interface long native new null package private protected public return short static strictfp super switch synchronized this throw throws transient true try void volatile while"),
-        ("Scala", SLASHES, "abstract case catch class def do else extends false final finally for forSome if implicit import lazy match new null object override package private protected return sealed super this throw trait try true type val var while with yield"),
-        ("Go", BACKTICKS, "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var true false nil"),
-        ("JavaScript", BACKTICKS, "async await break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof let new null of return static super switch this throw true try typeof undefined var void while with yield"),
-        ("Rust", SLASHES, "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while"),
-    )
-}
-EXTENSIONS = {"py": "Python", "rb": "Ruby", "sh": "Shell", "bash": "Shell", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "java": "Java", "scala": "Scala", "go": "Go", "js": "JavaScript", "mjs": "JavaScript", "rs": "Rust", "md": "Markdown"}
-WORD = r"\d[\w.]*|[A-Za-z_$][\w$]*"
+from ..session import ship
+from .syntax import BEFORE_PATTERN, LANGUAGES, Syntax
 
+EXTENSIONS = {
+    "py": "Python", "rb": "Ruby", "sh": "Shell", "bash": "Shell", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "m": "Objective-C", "java": "Java", "scala": "Scala", "go": "Go",
+    "js": "JavaScript", "mjs": "JavaScript", "ts": "TypeScript", "rs": "Rust", "cs": "C#", "kt": "Kotlin", "swift": "Swift", "php": "PHP", "lua": "Lua", "hs": "Haskell", "ml": "OCaml", "r": "R", "sql": "SQL", "md": "Markdown",
+}
+TOKEN = T.StructType().add("kind", "string").add("begin", "integer").add("end", "integer")
 
-def names_in(content: Column, lang: Column) -> Column:
-    """array<string>: the names of a file as they follow each other, null for a language that is not listed."""
-    out = F.lit(None).cast("array<string>")
-    for name, (pattern, keywords) in LANGUAGES.items():
-        code = F.regexp_replace(content, F.lit(pattern), F.lit(" "))
-        words = F.regexp_extract_all(code, F.lit(WORD), F.lit(0))
-        known = F.array(*map(F.lit, sorted(keywords)))
-        out = F.when(lang == name, _names(words, known)).otherwise(out)
-    return out
+
+def lexed(text: str, syntax: Syntax) -> Iterator[tuple[str, int, int]]:
+    """(kind, begin, end) of everything but blanks and marks, in order."""
+    at, stack, waiting, before = 0, [], [], ""  # stack: quotation, what ends it, where it began, open brackets
+    match, n = syntax.code.match, len(text)
+    while at < n:
+        m = match(text, at)
+        group, begin, at = m.lastgroup, at, m.end()
+        if group in ("hq", "h1", "h2"):
+            group = "heredoc"
+        if group == "blank":
+            continue
+        if group == "newline":
+            for mark in waiting:
+                end = re.compile(rf"^[^\S\n]*{re.escape(mark)}[^\S\n]*$", re.MULTILINE).search(text, at)
+                yield "string", at, (last := end.end() if end else n)
+                at = last
+            waiting.clear()
+        elif group == "word":
+            word = text[begin:at]
+            kind = "keyword" if (word.lower() if syntax.folded else word) in syntax.keywords else syntax.kind
+            yield kind, begin, at
+            before = "(" if kind == "keyword" else "word"
+        elif group == "mark":
+            before = text[begin]
+            if stack:
+                quote, _, start, depth = stack[-1]
+                if before in "([{":
+                    stack[-1][3] += 1
+                elif before in ")]}" and depth:
+                    stack[-1][3] -= 1
+                elif before == "}":
+                    at = yield from _quoted(text, at, at - 1, stack.pop(), stack)
+                    before = "word"
+                elif quote.spec and not depth and (before == ":" or before == "!" and text[at : at + 2] in ("r}", "s}", "a}", "r:", "s:", "a:")):
+                    at = end if (end := text.find("}", at)) >= 0 else n
+        elif group == "comment":
+            yield "comment", begin, at
+        elif group == "block":
+            at = _comment_end(text, at, syntax)
+            yield "comment", begin, at
+        elif group == "heredoc":
+            waiting.append(m["h1"] or m["h2"])
+            yield "string", begin, at
+        elif group == "number":
+            yield "number", begin, at
+            before = "word"
+        elif group == "pattern":
+            value = before and before not in BEFORE_PATTERN
+            # in a language with calls without brackets: a name, a blank and a slash without a blank
+            if value and not (before == "word" and syntax.heredocs and text[begin - 1] in " \t" and text[begin + 1] not in " ="):
+                at, before = begin + 1, "/"  # a division
+                continue
+            yield "regex", begin, at
+            before = "word"
+        elif group.startswith("quote"):
+            i = int(group[5:])
+            opened = syntax.openings[i].match(text, begin)
+            at = yield from _quoted(text, at, begin, [syntax.quotes[i], syntax.quotes[i].inner(opened), begin, 0], stack)
+            before = "word"
+        else:
+            kind = syntax.extra[int(group[5:])][0]
+            if kind != "mark":
+                yield kind, begin, at
+                before = "word" if kind != "comment" else before
+
+
+def _quoted(text: str, at: int, begin: int, opened: list, stack: list):
+    """The text of a quotation from ``at``; gives where the code goes on, with what was interrupted on the stack."""
+    _, inner, *_ = opened
+    depth = 0
+    while m := inner.search(text, at):
+        at, group = m.end(), m.lastgroup
+        if group == "more":
+            depth += 1
+        elif group == "end" and depth:
+            depth -= 1
+        elif group == "end":
+            yield "string", begin, at
+            return at
+        elif group == "line":
+            yield "string", begin, m.start()
+            return m.start()
+        elif group == "code":
+            yield "string", begin, at
+            opened[3] = 0
+            stack.append(opened)
+            return at
+        elif group == "names":
+            yield "string", begin, at
+            name = re.compile(r"\w+").match(text, at)
+            yield "name", at, name.end()
+            begin = at = name.end()
+    yield "string", begin, len(text)
+    return len(text)
+
+
+def _comment_end(text: str, at: int, syntax: Syntax) -> int:
+    opening, closing = syntax.block
+    depth = 1
+    for m in re.compile(f"(?P<more>{opening})|{closing}" if syntax.nested else closing).finditer(text, at):
+        depth += 1 if m.lastgroup else -1
+        if not depth:
+            return m.end()
+    return len(text)
 
 
-def _names(words: Column, keywords: Column) -> Column:
-    return F.filter(words, lambda w: ~w.rlike("^[0-9]") & ~F.array_contains(keywords, w))
+@F.pandas_udf(T.ArrayType(TOKEN))
+def _tokens(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, langs in batches:
+        yield pd.Series([None if t is None or lang not in LANGUAGES else [{"kind": k, "begin": a, "end": b} for k, a, b in lexed(t, LANGUAGES[lang])] for t, lang in zip(texts, langs)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _names(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, langs in batches:
+        yield pd.Series([None if t is None or lang not in LANGUAGES else [t[a:b] for k, a, b in lexed(t, LANGUAGES[lang]) if k == "name"] for t, lang in zip(texts, langs)], dtype=object)
+
+
+def tokens_in(content: Column, lang: Column) -> Column:
+    """array<struct<kind, begin, end>>: name, keyword, number, string, comment, regex, preprocessor, with offsets in code points."""
+    ship(SparkSession.active())
+    return _tokens(content, lang)
+
+
+def names_in(content: Column, lang: Column) -> Column:
+    """array<string>: the names of a file as they follow each other, null for a language that is not listed."""
+    ship(SparkSession.active())
+    return _names(content, lang)
 
 
 def extension_table(spark: SparkSession) -> DataFrame:
