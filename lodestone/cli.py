@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from . import models
 from .functions import lexers, tokens
-from .operators import evaluation, frequencies, matrices, relational, swivel, trees
+from .operators import evaluation, frequencies, languages, matrices, relational, swivel, trees
 from .plans import flows
 from .session import create_session, stored
 from .sources import files as sources
+from .sources import git
 from .sources import nodes as node_sources
 
 COMMANDS: dict[str, tuple[Callable, list[tuple]]] = {}
 
-REPOS = [(("--input",), {"required": True, "help": "a folder of repositories, or Parquet files with --parquet"}), (("--parquet",), {"action": "store_true"}), (("--languages",), {"nargs": "*"}), (("--blacklist",), {"action": "store_true"})]
+REPOS = [(("--input",), {"required": True, "help": "a folder of repositories, or Parquet files with --parquet"}), (("--parquet",), {"action": "store_true"}), (("--languages",), {"nargs": "*"}), (("--blacklist",), {"action": "store_true"}), (("--history",), {"type": int, "help": "read commits: 0 HEAD, n so many before it as well, -1 all; without it the folders' own files"})]
 MODE = [(("--mode",), {"choices": ["file", "func", "repo"], "default": "file"})]
 DF = [(("--min-docfreq",), {"type": int, "default": 1}), (("--vocabulary-size",), {"type": int, "default": 10_000_000})]
 SAVED = [(("--docfreq-in",), {"help": "a saved vocabulary"}), (("--quant",), {"help": "saved quantization levels, made there if there are none"})]
@@ -41,7 +42,8 @@ def _files(spark: SparkSession, a) -> DataFrame:
     if a.parquet:
         files = sources.load_parquet(spark, a.input)
     else:
-        files = relational.with_language(sources.read_repositories(spark, a.input), lexers.extension_table(spark))
+        read = sources.read_repositories(spark, a.input) if a.history is None else git.read_history(spark, a.input, a.history).drop("index")
+        files = languages.with_language(read, lexers.extension_table(spark))
     return relational.languages(a.languages, a.blacklist)(files)
 
 

@@ -23,9 +23,11 @@ from pyspark.sql import types as T
 from ..session import ship
 from .syntax import BEFORE_PATTERN, LANGUAGES, Syntax
 
+#: Languages by extension; of several the content decides.
 EXTENSIONS = {
-    "py": "Python", "rb": "Ruby", "sh": "Shell", "bash": "Shell", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "m": "Objective-C", "java": "Java", "scala": "Scala", "go": "Go",
-    "js": "JavaScript", "mjs": "JavaScript", "ts": "TypeScript", "rs": "Rust", "cs": "C#", "kt": "Kotlin", "swift": "Swift", "php": "PHP", "lua": "Lua", "hs": "Haskell", "ml": "OCaml", "r": "R", "sql": "SQL", "md": "Markdown",
+    "py": "Python", "rb": "Ruby", "sh": "Shell", "bash": "Shell", "c": "C", "h": "C, C++, Objective-C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "m": "Objective-C, MATLAB", "mm": "Objective-C",
+    "java": "Java", "scala": "Scala", "go": "Go", "js": "JavaScript", "mjs": "JavaScript", "ts": "TypeScript", "rs": "Rust", "cs": "C#", "kt": "Kotlin", "swift": "Swift", "php": "PHP", "lua": "Lua", "hs": "Haskell",
+    "ml": "OCaml", "r": "R", "sql": "SQL", "md": "Markdown",
 }
 TOKEN = T.StructType().add("kind", "string").add("begin", "integer").add("end", "integer")
 
@@ -161,5 +163,5 @@ def names_in(content: Column, lang: Column) -> Column:
 
 
 def extension_table(spark: SparkSession) -> DataFrame:
-    """(extension, lang)"""
-    return spark.createDataFrame(list(EXTENSIONS.items()), "extension string, lang string")
+    """(extension, lang), a row for each language that an extension may mean."""
+    return spark.createDataFrame([(e, lang) for e, langs in EXTENSIONS.items() for lang in langs.split(", ")], "extension string, lang string")

@@ -47,12 +47,6 @@ def distinct_blobs(df: DataFrame, key: str = "blob_id", order: str | None = None
     return least.select(*[F.col(key) if c == key else F.col("__row")[c].alias(c) for c in df.columns])
 
 
-def with_language(df: DataFrame, extensions: DataFrame) -> DataFrame:
-    """Languages of distinct text blobs by the extension of their path; ``extensions`` is (extension, lang)."""
-    text = distinct_blobs(df.where(~F.col("is_binary")).drop("lang"))
-    return text.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).join(extensions, "extension", "left").drop("extension")
-
-
 def non_empty(df: DataFrame, column: str = "content") -> DataFrame:
     return df.where(F.length(column) > 0)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars, tokens
-from .operators import evaluation, frequencies, matrices, relational, swivel, trees
+from .operators import evaluation, frequencies, languages, matrices, relational, swivel, trees
 from .plans import flows
 from .session import stored
 from .sources import files as sources
@@ -171,6 +171,22 @@ def source_names(spark, d):
     return flows.repos2ids(_code(spark, d), split=False).select("token", "num_files", "num_occ", "num_repos")
 
 
+@query("""WITH own AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z_]+|[^\\x20\\x09-\\x0DA-Za-z_0-9]')) AS token FROM documents) GROUP BY ALL),
+seen AS (SELECT lang, token, sum(n) AS n FROM own JOIN documents USING (doc_id) WHERE lang IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(n) AS total FROM seen GROUP BY lang), files AS (SELECT lang, count(*) AS files FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+langs AS (SELECT lang, ln(files / (SELECT sum(files) FROM files)::DOUBLE) AS prior, ln(0.5 / (total + 0.5 * ((SELECT count(DISTINCT token) FROM seen) + 1))) AS floor FROM files JOIN totals USING (lang)),
+sizes AS (SELECT doc_id, sum(n) AS tokens FROM own GROUP BY doc_id),
+gains AS (SELECT doc_id, lang, sum(own.n * ln((seen.n + 0.5) / 0.5)) AS gain FROM own JOIN seen USING (token) GROUP BY ALL),
+scored AS (SELECT d.doc_id, l.lang, prior + coalesce(tokens, 0) * floor + coalesce(gain, 0) AS score
+ FROM documents d CROSS JOIN langs l LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN gains g ON g.doc_id = d.doc_id AND g.lang = l.lang)
+SELECT doc_id, arg_max(lang, score) AS lang FROM scored GROUP BY doc_id""")
+def language_by_content(spark, d):
+    """The language that a model of all documents gives each by its words and marks."""
+    docs = _table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("content"))
+    model = languages.language_model(docs)
+    return languages.classified(docs.select("doc_id", "content", F.lit(None).cast("array<string>").alias("candidates")), model, "doc_id")
+
+
 # tokens
 
 
