@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars, tokens
 from .operators import evaluation, frequencies, languages, matrices, relational, swivel, trees
-from .plans import flows
+from .plans import flows, table_functions
 from .session import stored
 from .sources import files as sources
 from .sources import nodes as trees_of
@@ -312,6 +312,27 @@ def bag_graphlet(spark, d):
     return trees.with_namespace(trees.graphlet_bag(_nodes(spark, d)), "g.")
 
 
+def _sql_bag(spark, d, kind):
+    nodes = table_functions.with_words(_nodes(spark, d), _plain)
+    return table_functions.sql_bag(nodes, kind).where("error is null").select("token", "document", "value")
+
+
+@query(ORACLE_SQL["bag_id"])
+def sql_bag_id(spark, d):
+    """The bag of identifiers through the table function of SQL."""
+    return _sql_bag(spark, d, "id")
+
+
+@query(ORACLE_SQL["bag_seq"])
+def sql_bag_seq(spark, d):
+    return _sql_bag(spark, d, "uast2seq")
+
+
+@query(ORACLE_SQL["bag_graphlet"])
+def sql_bag_graphlet(spark, d):
+    return _sql_bag(spark, d, "graphlet")
+
+
 CHILDREN = f"{NODES}, c AS (SELECT document, parent_id AS node_id, count(*) AS n FROM nodes WHERE parent_id IS NOT NULL GROUP BY ALL), kids AS (SELECT n.document, internal_type, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN c USING (document, node_id))"
 
 

@@ -45,9 +45,14 @@ class Tree:
 def python_tree(document: str, source: str) -> list[list]:
     """Nodes of Python source; a syntax error gives none."""
     try:
-        root = ast.parse(source)
+        return python_nodes(document, source)
     except (SyntaxError, ValueError, RecursionError):
         return []
+
+
+def python_nodes(document: str, source: str) -> list[list]:
+    """Nodes of Python source; a syntax error fails, as does what is nested too deeply."""
+    root = ast.parse(source)
     tree = Tree(document)
 
     def name(token: str, node: ast.AST, *roles: str) -> None:
@@ -79,10 +84,7 @@ def python_tree(document: str, source: str) -> list[list]:
                 visit(child)
         tree.close()
 
-    try:
-        visit(root)
-    except RecursionError:
-        return []
+    visit(root)
     return tree.done()
 
 
