@@ -146,6 +146,16 @@ def annotate(df: DataFrame, keep: list[str], fields: list[tuple[str, str]], make
     return source.mapInArrow(run, schema)
 
 
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of texts that have ``most`` bytes together at most, or of one longer text; a null text has none."""
+    total = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def coded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(the code of each word of all texts in a row, the distinct words by code, how many words each text has); no text is null."""
     lists = pc.ascii_split_whitespace(texts)

@@ -29,14 +29,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, cleaned, mapped, put_bytes, removed, ship, table, written
+from .common import Scratch, cleaned, mapped, put_bytes, removed, ship, slices, table, written
 from .kneser_ney import mixed
 
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 DEPTH = 2
 CHARS_A_SLOT = 16
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: The rows of the sketch multiply by these odd numbers.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: 1 for the blanks between words, 2 for what ends a piece.
@@ -92,13 +92,8 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list
         texts = batch.column(0).fill_null("")
         coded = batch.column(1).fill_null("und").dictionary_encode()
         langs, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        lo = 0
-        while lo < len(texts):
-            before = total[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(total, before + AT_ONCE, "right")))
+        for lo, hi in slices(texts, AT_ONCE):
             yield texts.slice(lo, hi - lo), langs, lang[lo:hi]
-            lo = hi
 
 
 class Sketch:
@@ -133,7 +128,8 @@ class Sketch:
     def counted(self, h: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(block of all rows, packed counters) of hashes."""
         for row in range(DEPTH):
-            slots = np.sort(self.slots(h, row))
+            slots = self.slots(h, row)
+            slots.sort()
             at = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.empty(0, np.int64)
             counts = np.minimum(np.diff(np.append(at, len(slots))), self.least)
             slots = slots[at].astype(np.int64)
