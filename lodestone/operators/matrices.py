@@ -16,23 +16,37 @@ from .trees import Split, has_roles
 MOST = 2**31 - 1
 
 
-def cooccurrence(words: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+#: Distinct words of a context that meet in one place; of contexts with more, blocks of so many.
+WORDS_AT_ONCE = 1000
+
+
+def cooccurrence(words: DataFrame, vocabulary: DataFrame | None = None, block: int = WORDS_AT_ONCE) -> DataFrame:
     """(row, col, weight) from (context, token): ordered pairs of words of a context, summed over contexts.
 
     A word that a context has n times and another that it has m times make n m pairs, a word with
     itself n (n - 1): so contexts are joined by distinct word with counts, and no pair is
     made one by one. With a vocabulary (token, token_id) words outside of it are dropped before
-    the join, and rows and columns are ids.
+    the join, and rows and columns are ids. A context of more than ``block`` distinct words is dealt into blocks of words, of
+    which every two meet under a key of their own.
     """
     n = words.groupBy("context", "token").agg(F.count("*").alias("n"))
     if vocabulary is not None:
         n = n.join(vocabulary.select("token", "token_id"), "token").select("context", F.col("token_id").alias("token"), "n")
-    a, b = n.alias("a"), n.alias("b")
-    pairs = a.join(b, F.col("a.context") == F.col("b.context"))
+    a, b = (x.alias(name) for x, name in zip(dealt(n, block), "ab"))
+    pairs = a.join(b, ["context", "first", "second"])
     weight = F.col("a.n") * (F.col("b.n") - (F.col("a.token") == F.col("b.token")).cast("long"))
     return pairs.groupBy(F.col("a.token").alias("row"), F.col("b.token").alias("col")).agg(F.sum(weight).alias("weight")).where("weight > 0")
 
 
+def dealt(n: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (context, token, n) as the one and as the other side of pairs, for every two blocks (first, second) of a context."""
+    heavy = n.groupBy("context").agg(F.count("*").alias("words")).where(F.col("words") > block)
+    blocks = F.coalesce(F.ceil(F.col("words") / block), F.lit(1)).cast("int")
+    rows = n.join(heavy, "context", "left").select("context", "token", "n", F.pmod(F.xxhash64("token"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    left = rows.select("context", F.col("own").alias("first"), F.col("other").alias("second"), "token", "n")
+    return left, rows.select("context", F.col("other").alias("first"), F.col("own").alias("second"), "token", "n")
+
+
 def tree_contexts(nodes: DataFrame, split: Split) -> DataFrame:
     """(context, token): words of identifiers in their own context and in that of the nearest identifier above, else the root."""
     ids = nodes.where(has_roles("IDENTIFIER")).select("document", "node_id", "ancestors", split(F.coalesce("token", F.lit(""))).alias("words"))

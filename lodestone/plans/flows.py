@@ -34,7 +34,14 @@ def register_extractor(name: str, namespace: str):
 
 @register_extractor("id", "i.")
 def _identifiers(nodes: DataFrame, stem_above: int = tokens.STEM_ABOVE, least_length: int = tokens.LEAST_SPLIT, most_length: int = tokens.MOST_LENGTH) -> DataFrame:
-    return trees.identifier_bag(nodes, lambda t: tokens.processed(t, stem_above, least=least_length, most=most_length))
+    if stem_above < 1:
+        raise ValueError("the length above which words are stemmed is at least 1")
+    return stemmed_bag(trees.identifier_bag(nodes, lambda t: tokens.split_identifier(t, least=least_length, most=most_length)), stem_above)
+
+
+def stemmed_bag(bag: DataFrame, above: int = tokens.STEM_ABOVE) -> DataFrame:
+    """A bag (token, document, value) of stems: each distinct word is stemmed once, and equal stems are summed."""
+    return tokens.stemmed(bag, "token", above).groupBy("token", "document").agg(F.sum("value").alias("value"))
 
 
 register_extractor("lit", "l.")(lambda nodes: trees.literal_bag(nodes, tokens.hashed_token))
@@ -146,9 +153,10 @@ def tf_idf_words(files: DataFrame) -> DataFrame:
     return _weighted(tf, frequencies.document_frequency(tf), frequencies.n_documents(tf))
 
 
-def repos2coocc(nodes: DataFrame, least: int = 1, size: int | None = None, split: trees.Split = tokens.processed) -> DataFrame:
-    bags = trees.identifier_bag(nodes, split)
-    return matrices.cooccurrence(matrices.tree_contexts(nodes, split), vocabulary(bags, least, size))
+def repos2coocc(nodes: DataFrame, least: int = 1, size: int | None = None, split: trees.Split = tokens.split_identifier) -> DataFrame:
+    """Co-occurrences of the stems that ``least`` documents have, as ids of their vocabulary."""
+    words = vocabulary(stemmed_bag(trees.identifier_bag(nodes, split)), least, size)
+    return matrices.cooccurrence(tokens.stemmed(matrices.tree_contexts(nodes, split), "token"), words)
 
 
 def repos2ids(files: DataFrame, with_frequencies: bool = True, split: bool = True) -> DataFrame:

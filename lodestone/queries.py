@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, tokens
@@ -12,6 +12,7 @@ from .operators import evaluation, frequencies, languages, matrices, relational,
 from .plans import flows, table_functions
 from .session import stored
 from .sources import files as sources
+from .sources import git
 from .sources import nodes as trees_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +258,24 @@ def head_files(spark, d):
     return relational.head_files(_history(spark, d)).select("repository_id", "commit_hash", "path")
 
 
+@query("""WITH line AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS n FROM orders)
+SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS repository_id, 'c' || o_orderkey AS commit_hash, n AS index, l_returnflag || '/' || l_linestatus || '/' || l_linenumber || '.txt' AS path, '100644' AS mode, 'b' || l_partkey AS blob_id
+FROM line JOIN lineitem ON l_orderkey = o_orderkey WHERE n <= 5""")
+def history_trees(spark, d):
+    """Files of six commits of each repository, from commits with parents and trees: customers, their orders, the lines of an order by flag and status."""
+    o, li = _table(spark, d, "orders"), _table(spark, d, "lineitem")
+    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    parents = F.array_compact(F.array(F.lag(name("c", "o_orderkey")).over(before), F.lag(name("c", "o_orderkey"), 2).over(before)))
+    commits = o.select(F.col("o_custkey").cast("string").alias("repository_id"), name("c", "o_orderkey").alias("commit"), name("t", "o_orderkey").alias("tree"), parents.alias("parents"), F.lead("o_orderkey").over(before).isNull().alias("last"))
+    lines = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("string").alias("repository_id"), name("t", "o_orderkey").alias("top"), "l_returnflag", "l_linestatus", name("", "l_linenumber").alias("line"), name("b", "l_partkey").alias("blob"))
+    flag, status = F.concat_ws("/", "top", "l_returnflag"), F.concat_ws("/", "top", "l_returnflag", "l_linestatus")
+    entry = lambda tree, mode, label, object_id: F.struct(tree.alias("tree"), F.lit(mode).alias("mode"), label.alias("name"), object_id.alias("object_id"))
+    three = F.array(entry(F.col("top"), "40000", F.col("l_returnflag"), flag), entry(flag, "40000", F.col("l_linestatus"), status), entry(status, "100644", F.concat("line", F.lit(".txt")), F.col("blob")))
+    entries = lines.select("repository_id", F.explode(three).alias("e")).select("repository_id", "e.*").distinct()
+    return git.history_files(stored(commits, "commits"), stored(entries, "entries"), commits.where("last").select("repository_id", "commit"), 5)
+
+
 @query(f"WITH {FILES} SELECT repository_id || '//' || path || '@' || blob_id AS document FROM files")
 def document_name(spark, d):
     return _files(spark, d).select(scalars.document_name(F.col("repository_id"), F.col("path"), F.col("blob_id")).alias("document"))
