@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import models
 from .functions import lexers, tokens
 from .operators import evaluation, frequencies, languages, matrices, relational, swivel, trees
-from .plans import flows
+from .plans import conversion, flows
 from .session import create_session, stored
 from .sources import files as sources
 from .sources import git
@@ -182,9 +182,13 @@ def merge_coocc(spark, a):
     models.save(matrices.merged_cooccurrences([models.load(spark, p, "cooccurrences")[0] for p in a.inputs]), a.output, "cooccurrences")
 
 
-@command("merge-bow", MODELS, OUT, [(("--features",), {"nargs": "*"})])
+@command("merge-bow", MODELS, OUT, [(("--features",), {"nargs": "*"}), (("--per-file",), {"action": "store_true", "help": "one result for each input, and a table of what was made"})])
 def merge_bow(spark, a):
     """Bags (token, document, value) of several Parquet folders."""
+    if a.per_file:
+        made = conversion.converted(spark, {p.rstrip("/").rsplit("/", 1)[-1]: p for p in a.inputs}, a.output, conversion.MergedBags(a.features))
+        made.write.mode("append").json(f"{a.output}/_status")
+        return
     matrices.merged_bows([sources.load_parquet(spark, p) for p in a.inputs], a.features).write.parquet(a.output)
 
 
