@@ -1,18 +1,15 @@
-"""Byte-level BPE by replaying the merges over the words of the corpus instead of text by text.
+"""Byte-level BPE by replaying the merges over the words of many texts at once instead of text by text.
 
-1. Texts are cut by the byte-level pattern into words. Some megabytes of texts make a portion, which is kept as the
-   list of its distinct words and the place of each word of its texts in that list.
-2. The words of all portions meet by key, sorted, so that a task sees equal ones together and replays them once. (A key is
-   a word and one of ``SALTS`` groups of portions, since a common word is in all portions: no word is replayed more often.)
-   A block of words is laid out as one row of parts, bytes at first. An inverted index has, for the rank of each pair
-   that can merge, the positions of the pair; the ranks wait in a heap. The least rank is replayed at all its
-   positions, left to right; each merge looks up only the pairs with its two neighbours and enters them in the
-   index. A merge may make a pair of a lower rank than its own: the rest of that word then waits for the lower rank.
-3. The ids of a portion's words go to one file for each portion, from which the portion's texts are put together.
+A task takes its share of the corpus in portions of some megabytes. Texts are cut by the byte-level pattern into words; the
+distinct words of a portion that the task has not met are laid out, block by block, as one row of parts, bytes at first. An inverted index
+has, for the rank of each pair that can merge, the positions of the pair; the ranks wait in a heap. The least
+rank is replayed at all its positions, left to right; each merge looks up only the pairs with its two
+neighbours and enters them in the index. A merge may make a pair of a lower rank than its own: the rest of that
+word then waits for the lower rank. Texts are put together from the ids of their words.
 
-A word that is itself a token has that token's id, as in the library. Shuffled are the distinct words of portions and their
-ids, fractions of the text; texts and places are not. A portion has ``PORTION`` characters or is one longer text,
-so no group grows with the corpus.
+A word that is itself a token has that token's id, as in the library. Nothing is shuffled or written: most words are rare, and
+to bring the words of all portions together cost more than to replay them (figures in the README). ``PORTION``, ``BLOCK`` and
+``KNOWN_MOST`` bound what a task holds; a longer text is a portion of its own.
 
 Edge cases: a null text is the empty text, without ids; texts of special tokens are ordinary text; a null doc_id and equal
 rows pass through; an empty table gives no rows; other columns are not read; a long run without a blank is one word.
@@ -27,22 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bpe import PATTERN, PLAIN_BELOW, digests, plain_pattern
-from .common import cleaned, fresh_path, get_bytes, put_bytes, ship, table, texts, written
+from .common import ship, slices, table, texts
 
-#: Characters of the texts of a portion, and bytes of the words that are replayed together.
-PORTION, BLOCK = 8 << 20, 1 << 18
-SALTS = 16
+#: Characters of the texts of a portion, bytes of the words that are replayed together, and bytes of words that a task keeps the ids of.
+PORTION, BLOCK, KNOWN_MOST = 4 << 20, 4 << 20, 4 << 20
 ID = 32
 NONE = -1
-INTS = T.ArrayType(T.IntegerType())
 
 
 class Merges:
@@ -52,199 +43,147 @@ class Merges:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, source.splitlines()) if a}
         if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
             raise ValueError(f"bytes without a token: {missing[:5]}")
-        self.first = [self.ranks[bytes([b])] for b in range(256)]
-        # two tokens that follow each other merge if they spell a token together
-        self.pairs = {
-            self.ranks[t[:i]] << ID | self.ranks[t[i:]]: r
-            for t, r in self.ranks.items()
-            for i in range(1, len(t))
-            if t[:i] in self.ranks and t[i:] in self.ranks
-        }
+        self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.spelt = {r: t for t, r in self.ranks.items()}
-
-    def replayed(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
+        # two tokens that follow each other merge if they spell a token together
+        get = self.ranks.get
+        pairs = [(a << ID | b, r) for t, r in self.ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
+        pairs.sort()
+        self.codes, self.made = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
+        self.codes_of: dict[int, list[int]] = {}
+        for code, r in pairs:
+            self.codes_of.setdefault(r, []).append(code)
+        # tokens that can be part of one of a lower rank
+        highest = np.maximum(self.codes >> ID, self.codes & (1 << ID) - 1)
+        self.early = set(highest[highest > self.made].tolist())
+
+    def replayed(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian numbers of 32 bits."""
         whole = [self.ranks.get(w) for w in words]
-        open_ = [w for w, r in zip(words, whole) if r is None]
-        found = iter(self._replay(open_))
-        return [next(found) if r is None else [r] for r in whole]
+        found = iter(self._replay([w for w, r in zip(words, whole) if r is None]))
+        return [next(found) if r is None else r.to_bytes(4, "little") for r in whole]
 
-    def _replay(self, words: list[bytes]) -> list[list[int]]:
+    def _replay(self, words: list[bytes]) -> list[bytes]:
         lengths = np.array([len(w) for w in words], np.int64)
-        if not lengths.sum():
-            return [[] for _ in words]
-        data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(lengths)
-        n = len(data)
-        ids = np.array(self.first, np.int64)[data].tolist()
-        word = np.repeat(np.arange(len(words)), lengths).tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for lo, hi in zip((ends - lengths)[lengths > 0].tolist(), ends[lengths > 0].tolist()):
-            before[lo], after[hi - 1] = NONE, NONE
-        get, index = self.pairs.get, {}
-        for i, (a, b) in enumerate(zip(ids, ids[1:])):
-            if after[i] != NONE and (r := get(a << ID | b)) is not None:
-                index.setdefault(r, []).append(i)
-        waiting = list(index)
-        heapq.heapify(waiting)
+        ids = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        after, before = np.arange(1, len(ids) + 1), np.arange(-1, len(ids) - 1)
+        after[ends[lengths > 0] - 1], before[(ends - lengths)[lengths > 0]] = NONE, NONE
+        index: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def enter(at: np.ndarray) -> None:
+            """The positions whose pairs can merge, by rank."""
+            codes = ids[at] << ID | ids[after[at]]
+            place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            hit = self.codes[place] == codes if len(self.codes) else np.zeros(len(at), bool)
+            at, ranks = at[hit], self.made[place[hit]]
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for rank, part in zip(ranks[np.append(0, cuts)].tolist() if len(ranks) else (), np.split(at, cuts)):
+                if rank not in index:
+                    index[rank] = []
+                    heapq.heappush(waiting, rank)
+                index[rank].append(part)
+
+        enter(np.flatnonzero(after != NONE))
         while waiting:
             rank = heapq.heappop(waiting)
-            halted, put_off = set(), []
-            for i in sorted(index.pop(rank)):
-                j = after[i]
-                if ids[i] == NONE or j == NONE or get(ids[i] << ID | ids[j]) != rank:
-                    continue  # a neighbour's merge took it
-                if word[i] in halted:
-                    put_off.append(i)
-                    continue
-                ids[i], ids[j], k = rank, NONE, after[j]
-                after[i] = k
-                if k != NONE:
-                    before[k] = i
-                for left in (before[i], i):
-                    right = after[left] if left != NONE else NONE
-                    if right != NONE and (r := get(ids[left] << ID | ids[right])) is not None:
-                        if r not in index:
-                            heapq.heappush(waiting, r)
-                        index.setdefault(r, []).append(left)
-                        if r < rank:
-                            halted.add(word[i])
-            if put_off:
-                index[rank] = put_off
-                heapq.heappush(waiting, rank)
-        kept = np.array(ids, np.int64)
-        there = kept != NONE
-        counts = np.bincount(np.array(word)[there], minlength=len(words))
-        return [part.tolist() for part in np.split(kept[there], np.cumsum(counts)[:-1])]
-
-
-def packed(numbers: np.ndarray) -> bytes:
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(planes)
-
-
-def unpacked(content: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(content), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-
-
-def portions(docs: DataFrame) -> DataFrame:
-    """(portion, ids, lengths, places, words): some texts as places in the list of their distinct words."""
-    ids = T.ArrayType(docs.schema["doc_id"].dataType)
-    schema = T.StructType().add("portion", "long").add("ids", ids).add("lengths", INTS).add("places", "binary").add("words", T.ArrayType(T.StringType()))
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, full = plain_pattern().findall, regex.compile(PATTERN).findall
-        task, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, column = batch.columns
-            size, lo, numbers, places, lengths = 0, 0, {}, [], []
-            for i in range(batch.num_rows):
-                text = column[i].as_py()
-                found = (plain if text.isascii() or ord(max(text, default="a")) < PLAIN_BELOW else full)(text)
-                for w in set(found).difference(numbers):
-                    numbers[w] = len(numbers)
-                places.append(np.fromiter(map(numbers.__getitem__, found), "<u4", len(found)))
-                lengths.append(len(found))
-                size += len(text)
-                if size >= PORTION or i + 1 == batch.num_rows:
-                    one = [[task << 32 | n], [ids.slice(lo, i + 1 - lo).to_pylist()], [lengths], [packed(np.concatenate(places))], [list(numbers)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(one, arrow)], schema=arrow)
-                    n, size, lo, numbers, places, lengths = n + 1, 0, i + 1, {}, [], []
-        pa.default_memory_pool().release_unused()
-
-    return docs.mapInArrow(run, schema)
-
-
-def replayed(words: DataFrame, vocabulary: bytes) -> DataFrame:
-    """(portion, at, ids) from (portion, at, word); ids are little-endian numbers of 32 bits."""
-    sent = words.sparkSession.sparkContext.broadcast(vocabulary)  # a file of the vocabulary's size, whatever the data's
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, last, last_ids = Merges(sent.value), None, b""
-        for batch in batches:
-            coded = batch.column(2).dictionary_encode()
-            kinds, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            open_ = [w.encode() for w in kinds if w != last]
-            block, found = np.cumsum([len(w) for w in open_]) // BLOCK, []
-            cuts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
-            for lo, hi in zip(cuts, [*cuts[1:], len(open_)]):
-                found += [np.array(x, "<i4").tobytes() for x in merges.replayed(open_[lo:hi])]
-            if kinds and kinds[0] == last:  # rows are sorted: the word of the batch before can only come first
-                found.insert(0, last_ids)
-            if kinds:
-                last, last_ids = kinds[-1], found[-1]
-            ids = pa.array(found, pa.binary()).take(pa.array(number))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["portion", "at", "ids"])
+            at = np.unique(np.concatenate(index.pop(rank)))
+            right = after[at]
+            # a neighbour's merge may have taken either part
+            there = (ids[at] != NONE) & (right != NONE)
+            at, right = at[there], right[there]
+            codes, (one, *more) = ids[at] << ID | ids[right], self.codes_of[rank]
+            there = codes == one
+            for code in more:
+                there |= codes == code
+            at, right = at[there], right[there]
+            if len(at) > 1 and rank in self.early:
+                word = np.searchsorted(ends, at, "right")
+                first = np.append(True, word[1:] != word[:-1])
+                if not first.all():  # what the first merge of a word makes may go before the others
+                    index[rank] = [at[~first]]
+                    heapq.heappush(waiting, rank)
+                    at, right = at[first], right[first]
+            elif len(at) > 1 and (touch := np.append(False, at[1:] == right[:-1])).any():
+                heads = np.flatnonzero(~touch)  # of pairs in a row that share parts every second one merges
+                nth = np.arange(len(at)) - np.repeat(heads, np.diff(np.append(heads, len(at))))
+                at, right = at[nth % 2 == 0], right[nth % 2 == 0]
+            if not len(at):
+                continue
+            next_ = after[right]
+            ids[at], ids[right], after[at] = rank, NONE, next_
+            there = next_ != NONE
+            before[next_[there]] = at[there]
+            left = before[at]
+            enter(np.concatenate([left[left != NONE], at[there]]))
+        there = ids != NONE
+        packed = ids[there].astype("<i4").tobytes()
+        stops = (4 * np.append(0, np.cumsum(there))[ends]).tolist()
+        return [packed[lo:hi] for lo, hi in zip([0, *stops], stops)]
+
+
+class Numbers(dict):
+    """Distinct words, numbered as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Words:
+    """Packed ids and decoded bytes of words, replayed when a portion first holds them."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.known, self.size = merges, {}, 0
+
+    def of(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids as little-endian numbers of 32 bits, the bytes that they decode to) of distinct words."""
+        known, spelt = self.known, self.merges.spelt.__getitem__
+        new = [w for w in words if w not in known]
+        if self.size > KNOWN_MOST:
+            known = {w: known[w] for w in words if w in known}
+            self.size = sum(map(len, known))
+        raw = [w.encode() for w in new]
+        block = np.cumsum([len(w) for w in raw]) // BLOCK
+        cuts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(raw)]):
+            for word, ids in zip(new[lo:hi], self.merges.replayed(raw[lo:hi])):
+                known[word] = ids, b"".join(map(spelt, memoryview(ids).cast("i")))
+        self.known, self.size = known, self.size + sum(map(len, raw))
+        return list(map(known.__getitem__, words))
 
-    salt = F.pmod(F.xxhash64("portion"), F.lit(SALTS))
-    return words.repartition("word", salt).sortWithinPartitions("word").mapInArrow(run, "portion long, at int, ids binary")
 
-
-def put_ids(found: DataFrame, uri: str) -> None:
-    """One file for each portion of (portion, at, ids): the ids of its words in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, n = None, {}, 0
-        for batch in batches:
-            for portion, at, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if portion != now:
-                    n += put(now, own)
-                    now, own = portion, {}
-                own[at] = ids
-        yield pa.RecordBatch.from_arrays([pa.array([n + put(now, own)], pa.int64())], ["n"])
-
-    def put(portion: int | None, own: dict[int, bytes]) -> int:
-        if portion is None:
-            return 0
-        ids = [own[at] for at in range(len(own))]
-        sizes, values = np.array([len(x) // 4 for x in ids]), np.frombuffer(b"".join(ids), "<u4")
-        put_bytes(f"{uri}/{portion}", packed(np.concatenate([[len(ids)], sizes, values])))
-        return 1
-
-    found.repartition("portion").sortWithinPartitions("portion").mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one row
-
-
-def assembled(rows: DataFrame, uri: str, vocabulary: bytes) -> DataFrame:
-    """(doc_id, input_ids, decoded) from portions and the files of their words' ids."""
-    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = T.StructType().add("doc_id", rows.schema["ids"].dataType.elementType).add("input_ids", INTS).add("decoded", "binary")
-    arrow = to_arrow_schema(schema)
+def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
+    """doc_id, input_ids array<int>, decoded binary of every row; ``vocabulary`` is the content of a file of ranks."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(vocabulary)  # a file of the vocabulary's size, whatever the data's
+    source = texts(docs)
+    schema = T.StructType([source.schema["doc_id"]]).add("input_ids", T.ArrayType(T.IntegerType())).add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = Merges(sent.value).spelt
+        words, plain, full = Words(Merges(sent.value)), plain_pattern().findall, regex.compile(PATTERN).findall
         for batch in batches:
-            for at in range(batch.num_rows):
-                portion, docs, lengths, places = (c[at] for c in batch.columns)
-                content = get_bytes(f"{uri}/{portion.as_py()}")
-                n, *_ = found = unpacked(content).astype("<i4") if content else np.zeros(1, "<i4")
-                sizes, values = found[1 : n + 1], found[n + 1 :]
-                ids_of = [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])] if n else []
-                decoded = [b"".join(map(spelt.__getitem__, np.frombuffer(x, "<i4").tolist())) for x in ids_of]
-                places = unpacked(places.as_py())
-                ends = np.append(0, np.cumsum(lengths.values.to_numpy()))
-                tokens = np.append(0, np.cumsum(sizes[places]))[ends]
-                order = places.tolist()
-                ids = pa.array(np.frombuffer(b"".join(map(ids_of.__getitem__, order)), "<i4"), pa.int32())
-                ids = pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), ids)
-                back = [b"".join(map(decoded.__getitem__, order[lo:hi])) for lo, hi in zip(ends.tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([docs.values, ids, pa.array(back, pa.binary())], schema=arrow)
+            for lo, hi in slices(batch.column(1), PORTION):
+                numbers, places = Numbers(), []
+                for text in batch.column(1).slice(lo, hi - lo).to_pylist():
+                    found = (plain if text.isascii() or ord(max(text)) < PLAIN_BELOW else full)(text)
+                    places.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
+                made = words.of(list(numbers))
+                sizes = np.array([len(ids) // 4 for ids, _ in made], np.int64)
+                order = np.concatenate(places)
+                values = np.frombuffer(b"".join([made[k][0] for k in order.tolist()]), "<i4")
+                ends = np.append(0, np.cumsum([len(x) for x in places]))
+                tokens = np.append(0, np.cumsum(sizes[order]))[ends]
+                ids = pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(values, pa.int32()))
+                back = [b"".join([made[k][1] for k in x.tolist()]) for x in places]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), ids, pa.array(back, pa.binary())], ["doc_id", "input_ids", "decoded"])
         pa.default_memory_pool().release_unused()
 
-    return rows.select("portion", "ids", "lengths", "places").mapInArrow(run, schema)
-
-
-def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
-    """doc_id, input_ids array<int>, decoded binary of every row; ``vocabulary`` is the content of a file of ranks."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = written(portions(texts(docs)), "portions")
-    words = rows.select("portion", F.posexplode("words").alias("at", "word"))
-    uri = fresh_path(spark, "portion-ids")
-    with cleaned(spark):
-        put_ids(replayed(words, vocabulary), uri)
-    return assembled(rows, uri, vocabulary)
+    return source.mapInArrow(run, schema)
 
 
 def vocabulary_file(path: str | None = None) -> bytes:
