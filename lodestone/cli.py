@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import models
 from .functions import lexers, tokens
-from .operators import evaluation, frequencies, languages, matrices, relational, swivel, trees
+from .operators import evaluation, frequencies, languages, matrices, relational, splitter, swivel, trees
 from .plans import conversion, flows
 from .session import create_session, stored
 from .sources import files as sources
@@ -153,10 +153,24 @@ def id2vec_project(spark, a):
     matrices.write_projector(matrices.projected(models.load(spark, a.input, "id2vec")[0], models.load(spark, a.docfreq, "docfreq")[0].select("token", "freq")), a.output)
 
 
-@command("train-id-split", OUT, [(("--input",), {"required": True}), (("--max-length",), {"type": int, "default": 40})])
+@command("train-id-split", OUT, [(("--input",), {"required": True, "help": "rows of identifier and words"}), (("--test-ratio",), {"type": float, "default": 0.2}), (("--column",), {"default": "token"}), (("--split-column",), {"default": "token_split"}), (("--no-header",), {"action": "store_true"})])
 def train_id_split(spark, a):
-    """Features of the splitter's training rows; no network is trained."""
-    evaluation.splitter_features(spark.read.csv(a.input, header=True), length=a.max_length).write.parquet(a.output)
+    """A splitter of names; of the rows held out, by a hash of the name, its precision and recall are written."""
+    rows = spark.read.csv(a.input, header=not a.no_header)
+    if a.no_header:
+        rows = rows.toDF(a.column, a.split_column, *rows.columns[2:])
+    rows = rows.select(F.col(a.column).alias("token"), F.col(a.split_column).alias("token_split")).dropDuplicates(["token"])
+    held = F.pmod(F.xxhash64("token"), F.lit(1000)) < 1000 * a.test_ratio
+    counts, facts = splitter.trained(rows.where(~held))
+    models.save(counts, a.output, "splitter", **facts)
+    splitter.quality(rows.where(held), (counts, facts)).write.parquet(f"{a.output}/quality")
+
+
+@command("split-ids", OUT, [(("--input",), {"required": True, "help": "Parquet files with a column token"}), (("--model",), {"required": True})])
+def split_ids(spark, a):
+    """Names split by a trained splitter."""
+    counts, meta = models.load(spark, a.model, "splitter")
+    splitter.split_names(sources.load_parquet(spark, a.input), (counts, meta)).write.parquet(a.output)
 
 
 @command("bow2vw", OUT, [(("--input",), {"required": True})])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars, tokens
-from .operators import evaluation, frequencies, languages, matrices, relational, swivel, trees
+from .operators import evaluation, frequencies, languages, matrices, relational, splitter, swivel, trees
 from .plans import flows, table_functions
 from .session import stored
 from .sources import files as sources
@@ -595,6 +595,15 @@ def splitter_features(spark, d):
     return made.select("token", F.array_join(F.col("chars").cast("array<string>"), " ").alias("chars"), F.aggregate("flags", F.lit(0), lambda a, x: a + x).alias("n_splits"))
 
 
+@query(f"""WITH {NAMES}, s AS (SELECT {SPLIT.format('token')} AS w FROM names), k AS (SELECT array_to_string(w, '') AS plain, flatten(list_transform(w, lambda x: list_concat([1], list_transform(range(1, length(x)), lambda i: 0)))) AS flags FROM s),
+places AS (SELECT '^^^^^^' || plain || '$$$$$$' AS padded, flags, unnest(range(1, length(plain))) AS i FROM k WHERE plain <> ''),
+kinds AS (SELECT 'around' AS kind, -w AS lo, 2 * w AS size FROM range(0, 4) AS r(w) UNION ALL SELECT 'before', -w, w FROM range(0, 7) AS r(w) UNION ALL SELECT 'from', 0, w FROM range(0, 7) AS r(w))
+SELECT kind, substr(padded, i + 7 + lo, size) AS context, count(*) AS n, CAST(sum(flags[i + 1]) AS BIGINT) AS begins FROM places, kinds GROUP BY ALL""")
+def splitter_contexts(spark, d):
+    """What the trained splitter counts of names whose words are known."""
+    return splitter.trained(_names(spark, d).withColumn("token_split", F.array_join(_plain(F.col("token")), " ")))[0]
+
+
 @query("WITH s AS (SELECT sum(CASE WHEN l_returnflag = 'R' AND l_discount >= 0.05 THEN 1.0 ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END)::DOUBLE AS y FROM lineitem), m AS (SELECT tp / (p + 1e-8) AS a, tp / (y + 1e-8) AS b FROM s) SELECT round(a, 6) AS \"precision\", round(b, 6) AS recall, round(2 * a * b / (a + b + 1e-8), 6) AS f1 FROM m")
 def splitter_metrics(spark, d):
     li = _table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_discount").alias("p"))
