@@ -53,20 +53,30 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once: written to the folder that executors share (``spark.checkpoint.dir``) and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where that setting is unset (tests, local sessions) a temporary folder of this machine becomes the checkpoint folder.
+    Where that setting is unset, a temporary folder of this machine becomes the checkpoint folder, if all tasks run on this machine; a cluster fails.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    now = sc._jsc.sc().getCheckpointDir()
     if not at:
-        now = sc._jsc.sc().getCheckpointDir()
-        at = now.get() if now.isDefined() else "file:" + tempfile.mkdtemp(prefix="spark-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if now.isDefined():
+            at = now.get()
+        elif sc.master.startswith("local[") or sc.master == "local":
+            at = "file:" + tempfile.mkdtemp(prefix="spark-")
+        else:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if not now.isDefined():
         sc.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return at.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, computed once: written to the folder that executors share and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
