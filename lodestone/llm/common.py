@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,47 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import shared_folder, ship  # noqa: F401
+
 #: Words are maximal runs of anything but these six ASCII blanks, which is also
 #: how ``bytes.split()`` cuts UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once an application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as own:
-        tree = Path(own, "tree", root.name)
-        shutil.copytree(root, tree, ignore=shutil.ignore_patterns("__pycache__"))
-        made = shutil.make_archive(str(Path(own, f"{root.name}_pkg")), "zip", tree.parent)
-        keep = os.path.join(tempfile.mkdtemp(prefix="ship-"), os.path.basename(made))
-        shutil.move(made, keep)
-    spark.sparkContext.addPyFile(keep)
-    _shipped.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the setting is unset (tests, local sessions) a temporary folder of
-    this machine is set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        now = sc._jsc.sc().getCheckpointDir()
-        named = now.get() if now.isDefined() else "file:" + tempfile.mkdtemp(prefix="spark-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+    return shared_folder(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
