@@ -148,9 +148,10 @@ def id2vec_postproc(spark, a):
     models.save(matrices.embeddings_of(spark.read.parquet(a.rows), spark.read.parquet(a.cols)), a.output, "id2vec")
 
 
-@command("id2vec-project", OUT, [(("--input",), {"required": True}), (("--docfreq",), {"required": True})])
+@command("id2vec-project", OUT, [(("--input",), {"required": True}), (("--docfreq",), {"help": "without it some of the tokens are taken if there are many"})])
 def id2vec_project(spark, a):
-    matrices.write_projector(matrices.projected(models.load(spark, a.input, "id2vec")[0], models.load(spark, a.docfreq, "docfreq")[0].select("token", "freq")), a.output)
+    known = models.load(spark, a.docfreq, "docfreq")[0].select("token", "freq") if a.docfreq else None
+    matrices.write_projector(matrices.projected(models.load(spark, a.input, "id2vec")[0], known), a.output)
 
 
 @command("train-id-split", OUT, [(("--input",), {"required": True, "help": "rows of identifier and words"}), (("--test-ratio",), {"type": float, "default": 0.2}), (("--column",), {"default": "token"}), (("--split-column",), {"default": "token_split"}), (("--no-header",), {"action": "store_true"})])

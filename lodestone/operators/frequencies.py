@@ -70,6 +70,11 @@ def ordered(df: DataFrame) -> DataFrame:
     return df.join(indexed(df), "token").select("token", "freq", "token_id")
 
 
+def constructed(rows: DataFrame, order: str) -> DataFrame:
+    """(token, freq) of rows that name tokens more than once: by ``order`` the last of a token counts, and frequencies are not summed."""
+    return rows.where("token is not null").groupBy("token").agg(F.max_by("freq", order).alias("freq"))
+
+
 def merged(models: list[DataFrame], least: int = 1, size: int | None = None) -> DataFrame:
     """One vocabulary of several: frequencies are summed, then pruned and cut."""
     total = models[0]

@@ -158,14 +158,23 @@ def embeddings_of(rows: DataFrame, cols: DataFrame) -> DataFrame:
     return both.select(F.substring("token", 1, 256).alias("token"), averaged(F.col("embedding"), F.col("__col")).alias("embedding"))
 
 
-def projected(embeddings: DataFrame, frequencies: DataFrame, most: int = 10_000) -> DataFrame:
-    """The most frequent tokens with their vectors, of equal ones the last."""
+def projected(embeddings: DataFrame, frequencies: DataFrame | None = None, most: int = 10_000, seed: int = 777) -> DataFrame:
+    """The tokens to show with their vectors and, if there are frequencies, those.
+
+    No more than ``most`` are all shown, with the frequency 0 where there is none. Of more the most frequent, of equal ones the last by name;
+    without frequencies some that the seed and the names alone decide.
+    """
+    few = embeddings.limit(most + 1).count() <= most
+    if frequencies is None:
+        return embeddings if few else embeddings.orderBy(F.xxhash64(F.lit(seed), "token"), "token").limit(most)
+    if few:
+        return embeddings.join(frequencies, "token", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     return embeddings.join(frequencies, "token").orderBy(F.desc("freq"), F.desc("token")).limit(most)
 
 
 def write_projector(chosen: DataFrame, path: str) -> None:
-    """Tab-separated names and vectors."""
-    chosen.select("token").coalesce(1).write.mode("overwrite").csv(f"{path}/meta", sep="\t")
+    """Tab-separated names, with frequencies if there are any, and vectors."""
+    chosen.select("token", *[c for c in chosen.columns if c == "freq"]).coalesce(1).write.mode("overwrite").csv(f"{path}/meta", sep="\t")
     chosen.select(F.array_join(F.transform("embedding", lambda x: x.cast("string")), "\t").alias("v")).coalesce(1).write.mode("overwrite").text(f"{path}/data")
 
 

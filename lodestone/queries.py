@@ -135,6 +135,12 @@ def vocab_index(spark, d):
     return frequencies.ordered(doc_freq(spark, d))
 
 
+@query("SELECT source AS token, arg_max(n_chars, doc_id) AS freq FROM documents WHERE source IS NOT NULL GROUP BY source")
+def doc_freq_last(spark, d):
+    rows = _table(spark, d, "documents").select(F.col("source").alias("token"), F.col("n_chars").alias("freq"), "doc_id")
+    return frequencies.constructed(rows, "doc_id")
+
+
 @query(f"WITH {WORDS}, df AS (SELECT repository_id, token, count(DISTINCT document) AS freq FROM words GROUP BY ALL) SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM df GROUP BY token HAVING sum(freq) >= 3")
 def merge_df(spark, d):
     files = _files(spark, d)

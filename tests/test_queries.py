@@ -9,7 +9,7 @@ import pytest
 from lodestone.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["tfidf_words", "vocab_index", "idfreq", "token_split", "history_depth", "bag_graphlet", "bag_seq", "role_pairs", "id_tree_distance", "id_sequence", "mode_func", "cooc_trees", "bow_vw", "pmi_target", "shard_assign", "swivel_loss", "swivel_step", "language_by_content", "history_trees", "cooc", "repos2bow", "repos2coocc", "sql_bag_id", "sql_bag_seq", "sql_bag_graphlet", "splitter_features", "splitter_contexts"]
+QUICK = ["tfidf_words", "vocab_index", "idfreq", "token_split", "history_depth", "bag_graphlet", "bag_seq", "role_pairs", "id_tree_distance", "id_sequence", "mode_func", "cooc_trees", "bow_vw", "pmi_target", "shard_assign", "swivel_loss", "swivel_step", "language_by_content", "history_trees", "cooc", "repos2bow", "repos2coocc", "sql_bag_id", "sql_bag_seq", "sql_bag_graphlet", "splitter_features", "splitter_contexts", "doc_freq_last", "projector_top"]
 
 
 @pytest.fixture(scope="module")
