@@ -45,13 +45,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import coded_words, ship, table, written
+from .common import coded_words, ship, slices, table, written
 
 WINDOW = 13
 BROADCAST_MOST, BROADCAST_BYTES = 2_000_000, 256 << 20
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 TYPED, FOLDED, VERBATIM = 0, 1, 2
-CACHE_MOST, CHUNK = 250_000, 1_000
+#: Words whose hashes a task keeps, and bytes of texts that it works on at once.
+CACHE_MOST, CHUNK = 120_000, 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 #: Units that are written alike in most languages.
@@ -235,9 +236,9 @@ def template_windows(source: DataFrame, sizes, words: dict[str, Lists], wanted=N
             first = np.zeros(1 << 20, bool)
             first[own >> np.uint64(44)] = True
         for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                keys, langs = (batch.column(k).slice(lo, CHUNK).to_pylist() for k in (0, 2))
-                codes, vocabulary, lengths = coded_words(batch.column(1).slice(lo, CHUNK))
+            for lo, hi in slices(batch.column(1), CHUNK):
+                keys, langs = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 2))
+                codes, vocabulary, lengths = coded_words(batch.column(1).slice(lo, hi - lo))
                 starts = np.cumsum(lengths) - lengths
                 owner = np.repeat(np.arange(len(keys)), lengths)
                 hashes = known.of(codes, vocabulary, np.array([known.column.get(x, 0) for x in langs])[owner])
