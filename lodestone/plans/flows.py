@@ -79,7 +79,10 @@ def bags_of(nodes: DataFrame, extractors: list[str], weights: dict[str, float] |
     if least == 1:
         return bags
     bags = stored(bags, "bags")
-    return bags.join(frequencies.pruned(frequencies.document_frequency(bags), least).select("token"), "token", "left_semi").select(*bags.columns)
+    once = len({EXTRACTORS[e][0] for e in made}) == len(made)  # a bag has a token of a document once, and no two bags share a namespace
+    df = bags.groupBy("token").agg(F.count("document").alias("freq")) if once else frequencies.document_frequency(bags)
+    often = stored(frequencies.pruned(df, least).select("token"), "often")  # so that they are broadcast if they are few
+    return bags.join(often, "token", "left_semi").select(*bags.columns)
 
 
 def saved_vocabulary(spark: SparkSession, path: str | None, bags: DataFrame | None = None, save_to: str | None = None, least: int = 1, size: int | None = None) -> tuple[DataFrame, dict]:
@@ -134,7 +137,10 @@ def repos2bow(bags: DataFrame, least: int = 1, size: int | None = None, cache_ho
     tf = stored(frequencies.term_frequency(bags), "tf")  # read three times, made once
     if cache_hook:
         cache_hook(tf)
-    words = vocabulary(tf, least, size) if words is None else words
+    if words is None:
+        # a term frequency has a token of a document once
+        df = frequencies.pruned(tf.groupBy("token").agg(F.count("document").alias("freq")), least)
+        words = stored(frequencies.ordered(df if size is None else frequencies.greatest(df, size)), "words")  # so that it is broadcast if it is small
     n = frequencies.n_documents(tf)
     weighted = _weighted(tf, words, n)
     if save_hook:
@@ -150,7 +156,8 @@ def _weighted(tf: DataFrame, words: DataFrame, n: DataFrame) -> DataFrame:
 def tf_idf_words(files: DataFrame) -> DataFrame:
     """(token, document, value): the first whole flow."""
     tf = stored(word_bags(files), "tf")  # read three times, made once
-    return _weighted(tf, frequencies.document_frequency(tf), frequencies.n_documents(tf))
+    df = stored(tf.groupBy("token").agg(F.count("document").alias("freq")), "df")  # a file has a word once
+    return _weighted(tf, df, frequencies.n_documents(tf))
 
 
 def repos2coocc(nodes: DataFrame, least: int = 1, size: int | None = None, split: trees.Split = tokens.split_identifier) -> DataFrame:
