@@ -44,7 +44,7 @@ def language_model(files: DataFrame, smoothing: float = 0.5, least: int = 1) ->
 def scores(files: DataFrame, model: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
     """(key, lang, score) of files (key, content, candidates): the log probability with each candidate, null: each language."""
     gains, langs = model
-    counts = stored(token_counts(files, key), "file-tokens")
+    counts = stored(token_counts(files.select(key, "content").repartition(key), key), "file-tokens")  # texts are dealt, not their tokens
     found = counts.join(gains, "token").groupBy(key, "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
     names = langs.agg(F.sort_array(F.collect_set("lang")).alias("__all"))  # one row, of as many names as there are languages
     each = files.join(F.broadcast(names)).select(key, F.explode(F.coalesce("candidates", "__all")).alias("lang"))
