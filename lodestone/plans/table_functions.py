@@ -120,6 +120,8 @@ class Graphlets(Identifiers):
         return iter(())
 
 
+#: What each kind reads of a node besides its document, number, place and type.
+READ = {"id": ("token", "roles", "words"), "lit": ("token", "roles"), "uast2seq": (), "graphlet": ("parent_id",)}
 KINDS = {"id": Identifiers, "lit": Literals, "uast2seq": Sequences, "graphlet": Graphlets}
 
 
@@ -180,5 +182,5 @@ def sql_bag(nodes: DataFrame, kind: str) -> DataFrame:
     spark = nodes.sparkSession
     register(spark)
     view = "lodestone_nodes"
-    nodes.select("document", "node_id", "parent_id", "post", "internal_type", "token", "roles", "words").createOrReplaceTempView(view)
+    nodes.select("document", "node_id", "post", "internal_type", *READ.get(kind, ())).createOrReplaceTempView(view)
     return spark.sql(f"SELECT * FROM tree_bag('{kind}', TABLE({view}) PARTITION BY document ORDER BY post)")
