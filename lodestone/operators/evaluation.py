@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-8
+#: Levels by which the tasks of a round of regression sum up their gradients before the driver has them: a few sums reach it, however many tasks there are.
+DEPTH = 8
 
 
 def splitter_features(df: DataFrame, split: str = "token_split", length: int = 40) -> DataFrame:
@@ -61,7 +63,7 @@ def role_quality(df: DataFrame, vector: str, role: str, folds: int = 5, seed: in
     n = df.groupBy(role).agg(F.count("*").alias("__n"))
     part = F.pmod(F.xxhash64(vector), F.lit(3))
     data = df.join(n, role).select(part.alias("part"), F.col(role).cast("string").alias("role"), array_to_vector(vector).alias("features"), (1 / F.col("__n")).alias("weight"))
-    regression = LogisticRegression(weightCol="weight", labelCol="label", maxIter=30)
+    regression = LogisticRegression(weightCol="weight", labelCol="label", maxIter=30, aggregationDepth=DEPTH)
     rows = max(data.where("part <> 0").count(), 1)
     grid = ParamGridBuilder().addGrid(regression.regParam, [1 / (c * rows) for c in strengths]).build()
     measure = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
