@@ -6,10 +6,12 @@ for each language, counted in Spark over all documents. (Characters because the
 distinct n-grams then hardly grow with the corpus, while any word, also one never
 seen, gets a probability.) Grams with their probabilities, and contexts with
 their back-off weights, lie in sorted hash arrays in the shared folder, which
-the workers map into memory. A text's figure is its mean log10 probability a
-word. The band of a language is its median plus and minus ``WIDTH`` robust
+the workers map into memory. A second model of each language, of the same order,
+reads whole texts across the borders of words, so it sees which word follows which; both
+share the grams within a word. A text has two figures, its mean log10 probability a
+word by either model. A band of a language is the median plus and minus ``WIDTH`` robust
 standard deviations over all documents that pass the base rules; a text above or
-below is rejected.
+below either band is rejected.
 
 A language is known by the hash of its whole name. What there is one of for each language (its
 discounts, its band) is broadcast while there are at most ``LANGUAGES`` of them, so a language
@@ -31,19 +33,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, fresh_path, ship, table, written
+from .common import annotate, fresh_path, ship, slices, table, written
 from .kneser_ney import HashArrays, discount_columns, mixed
 
 ORDER = 5
 WIDTH = 5.0
 LEAST_WORDS, MOST_REPEAT = 50, 50
-#: Neither can occur in a word.
-BEGIN, END = "\t", "\n"
+#: None can occur in a word: before a word read alone, after each word, before a text.
+BEGIN, END, TOP = "\t", "\n", "\v"
+#: Marks the model of a language that reads across the borders of words.
+ACROSS = ">"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 FLUSH = 200_000
+#: Bytes of texts whose borders are counted at once.
+TEXTS = 4 << 20
 CACHE_MOST = 200_000
-SCORERS, PART = 32, 25_000
+SCORERS, PART = 16, 25_000
+#: Windows, and borders of two words, whose probabilities each model of a task keeps, 16 bytes each.
+KEPT = 400_000
 EXACT = 1 << 21
 #: Rows of one a language that are broadcast: some 100 bytes each.
 LANGUAGES = 50_000
@@ -87,46 +95,143 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
 
 
-def spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ``ORDER`` code points that end in a letter or the end of a word, and the word of each."""
-    text = "".join([BEGIN * (ORDER - 1) + w.decode(errors="replace") + END for w in words])
-    chars = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    ends = np.flatnonzero(chars == ord(END))
-    owner = np.searchsorted(ends, np.arange(len(chars)))
-    at = np.flatnonzero(chars != ord(BEGIN))
-    return np.lib.stride_tricks.sliding_window_view(chars, ORDER)[at - ORDER + 1], owner[at]
+def cut(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ``ORDER`` code points that lie in a piece, and the piece of each."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    chars = np.frombuffer("".join(pieces).encode("utf-32-le", "replace"), "<u4")
+    owner = np.repeat(np.arange(len(pieces)), np.maximum(size - ORDER + 1, 0))
+    first = np.cumsum(np.maximum(size - ORDER + 1, 0)) - np.maximum(size - ORDER + 1, 0)
+    at = np.arange(len(owner)) + (np.cumsum(size) - size - first)[owner]
+    if not len(at):
+        return np.empty((0, ORDER), "<u4"), owner
+    return np.lib.stride_tricks.sliding_window_view(chars, ORDER)[at], owner
+
+
+def letters(words: list[bytes]) -> list[str]:
+    """Each word with its end."""
+    return [w.decode(errors="replace") + END for w in words]
+
+
+def around(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that end in one of the last ``ORDER - 1`` columns of rows of code points (0: none), and the row of each."""
+    last = range(ORDER - 1, chars.shape[1])
+    rows = [np.flatnonzero(chars[:, k]) for k in last]
+    return np.concatenate([chars[at, k - ORDER + 1 : k + 1] for k, at in zip(last, rows)]), np.concatenate(rows)
+
+
+class Borders:
+    """What stands around the borders of words: the last letters before a word and its first ones.
+
+    The ``ORDER - 1`` letters before a word are the end of the word before it and, if that is shorter, of the one before that
+    (with its end a word has two letters at least, so no third is needed). Words have the numbers in which they are added, from 1; 0 stands before a text.
+    """
+
+    def __init__(self):
+        self.end, self.head = np.full((1, ORDER - 1), ord(TOP), "<u4"), np.zeros((1, ORDER - 1), "<u4")
+        self.hashes = np.zeros((1, 3), np.uint64)
+
+    def add(self, words: list[str]) -> np.ndarray:
+        """The first letters of the words, which are new."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4")
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        stop = np.cumsum(size)
+        near = np.arange(ORDER - 1)
+        at = stop[:, None] - ORDER + 1 + near
+        end = np.where(at >= (stop - size)[:, None], chars[np.maximum(at, 0)], 0).astype("<u4") if len(words) else self.end[:0]
+        at = (stop - size)[:, None] + near
+        head = np.where(at < stop[:, None], chars[np.minimum(at, len(chars) - 1)], 0).astype("<u4") if len(words) else self.head[:0]
+        none = np.zeros(len(words), np.int64)
+        hashes = np.stack([gram_keys(none, end, 0), gram_keys(none, end[:, -2:], 1), gram_keys(none, head, 2)], 1)
+        self.end, self.head, self.hashes = np.concatenate([self.end, end]), np.concatenate([self.head, head]), np.concatenate([self.hashes, hashes])
+        return head
+
+    def keys(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of what stands around the border before each word of the texts in a row, and the numbers (two words before, one before, its own)."""
+        here = np.concatenate([np.zeros(2, np.int64), *(x for t in texts for x in (t, np.zeros(2, np.int64)))])
+        three = np.lib.stride_tricks.sliding_window_view(here, 3)
+        three = three[three[:, 2] > 0]
+        before = np.where(self.end[three[:, 1], 0] == 0, self.hashes[three[:, 0], 1], np.uint64(0))
+        return mixed(mixed(self.hashes[three[:, 1], 0] + before) + self.hashes[three[:, 2], 2]), three
+
+    def chars(self, three: np.ndarray) -> np.ndarray:
+        """The letters around borders: rows for ``around``."""
+        before, far = self.end[three[:, 1]], self.end[three[:, 0]]
+        for missing in range(1, ORDER - 2):
+            short = (before[:, missing - 1] == 0) & (before[:, missing] != 0)
+            before[short, :missing] = far[short, ORDER - 1 - missing :]
+        return np.concatenate([before, self.head[three[:, 2]]], 1)
+
+
+def alone(heads: np.ndarray) -> np.ndarray:
+    """The beginnings of words read one by one: rows for ``around``."""
+    return np.concatenate([np.full((len(heads), ORDER - 1), ord(BEGIN), "<u4"), heads], 1)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, c): character n-grams of the highest order over all words of all rows, summed up in each task first."""
+    """(lang, gram, c): character n-grams of the highest order over all words of all rows, read one by one and across their borders, summed up in each task first.
+
+    Grams within a word are there once; with ``BEGIN`` they are of words read one by one, with ``TOP`` or an ``END`` before the last place of whole texts.
+    """
     ship(docs.sparkSession)
 
+    class Held:
+        def __init__(self):
+            self.number: dict[bytes, int] = {}
+            self.times, self.borders, self.seen, self.rows = np.zeros(1, np.int64), Borders(), [], 0
+
+        def add(self, texts: list[list[bytes]]) -> None:
+            new = list(dict.fromkeys(w for words in texts for w in words if w not in self.number))
+            self.number.update(zip(new, range(len(self.number) + 1, len(self.number) + 1 + len(new))))
+            self.borders.add(letters(new))
+            numbers = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in texts]
+            keys, three = self.borders.keys(numbers)
+            keys, first, count = np.unique(keys, return_index=True, return_counts=True)
+            self.seen.append((keys, count, self.borders.chars(three[first])))
+            self.rows += len(keys)
+            self.times = np.concatenate([self.times, np.zeros(len(new), np.int64)]) + np.bincount(three[:, 2], minlength=len(self.number) + 1)
+
+        def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """Windows, the row of each, how often each row occurs."""
+            words, times = letters(list(self.number)), self.times[1:]
+            keys, count, chars = (np.concatenate(x) for x in zip(*self.seen))
+            yield *around(alone(self.borders.head[1:])), times
+            yield from ((*cut(words[at : at + PART]), times[at : at + PART]) for at in range(0, len(words), PART))
+            yield *around(chars), count
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
+        held: dict[str, Held] = {}
 
         def rows(lang: str) -> Iterator[pa.RecordBatch]:
-            own = words.pop(lang)
-            every, times = list(own), np.fromiter(own.values(), np.int64, len(own))
-            for at in range(0, len(every), PART):
-                windows, owner = spelt(every[at : at + PART])
+            for windows, owner, times in held.pop(lang).windows():
                 _, first, which = np.unique(gram_keys(np.zeros(len(windows), np.int64), windows, 0), return_index=True, return_inverse=True)
-                count = np.bincount(which, times[at : at + PART][owner]).astype(np.int64)
+                count = np.bincount(which, times[owner], len(first)).astype(np.int64)
                 grams = windows[first].tobytes().decode("utf-32-le")
                 grams = [grams[i : i + ORDER] for i in range(0, len(grams), ORDER)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(count)], ["lang", "gram", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(count)], ["lang", "gram", "c"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(words_of(text))
-                if sum(map(len, words.values())) > FLUSH:
-                    yield from rows(max(words, key=lambda x: len(words[x])))
-        for lang in list(words):
+            for lo, hi in slices(batch.column(1), TEXTS):
+                own: dict[str, list[list[bytes]]] = {}
+                for lang, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()):
+                    own.setdefault(lang, []).append(words_of(text))
+                for lang, found in own.items():
+                    held.setdefault(lang, Held()).add(found)
+                while sum(len(x.number) for x in held.values()) > FLUSH or sum(x.rows for x in held.values()) > 5 * FLUSH:
+                    yield from rows(max(held, key=lambda x: 5 * len(held[x].number) + held[x].rows))
+        for lang in list(held):
             yield from rows(lang)
 
     source = docs.select(language().alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
+def of_models(grams: DataFrame) -> DataFrame:
+    """``grams`` of either model under the name that it has for the language."""
+    across = F.col("gram").contains(TOP) | (F.instr("gram", END).between(1, ORDER - 1))
+    words = grams.where(~across)
+    return words.unionByName(grams.where(~F.col("gram").contains(BEGIN)).withColumn("lang", F.concat(F.lit(ACROSS), "lang")))
+
+
 def gram_keys(langs: np.ndarray, chars: np.ndarray, space: int) -> np.ndarray:
     """Keys of grams given as rows of code points; ``langs`` are codes of languages, ``space`` keeps contexts apart from grams."""
     key = mixed(langs.astype(np.uint64) + np.uint64(space + 1))
@@ -143,13 +248,14 @@ def lang_code(lang: str) -> int:
 def train(docs: DataFrame) -> HashArrays:
     """Count, smooth and store the models of all languages."""
     spark = docs.sparkSession
-    counts = [written(count_grams(docs), "grams")]
-    for n in range(ORDER - 1, 0, -1):  # below the highest order: in how many contexts, but how often after a word's begin
+    counts = [written(of_models(written(count_grams(docs), "grams")), "model-grams")]
+    begins = lambda x: F.startswith(x, F.lit(BEGIN)) | F.startswith(x, F.lit(TOP))
+    for n in range(ORDER - 1, 0, -1):  # below the highest order: in how many contexts, but how often after a begin
         shorter = counts[0].withColumn("gram", F.substring("gram", 2, n)).groupBy("lang", "gram")
-        counts.insert(0, written(shorter.agg(F.when(F.startswith(F.col("gram"), F.lit(BEGIN)), F.sum("c")).otherwise(F.count("*")).alias("c")), f"grams{n}"))
+        counts.insert(0, written(shorter.agg(F.when(begins(F.col("gram")), F.sum("c")).otherwise(F.count("*")).alias("c")), f"grams{n}"))
     lower, parts = None, []
     for n, grams in enumerate(counts, 1):
-        grams = grams.where(~F.endswith(F.col("gram"), F.lit(BEGIN)))
+        grams = grams.where(~F.endswith(F.col("gram"), F.lit(BEGIN)) & ~F.endswith(F.col("gram"), F.lit(TOP)))
         tally = lambda k: F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}")
         cut = by_language(grams.groupBy("lang").agg(*map(tally, range(1, 5)), F.count("*").alias("v")).select("lang", "v", *discount_columns()), f"discounts{n}")
         grams = grams.join(cut, "lang").withColumn("context", F.substring("gram", 1, n - 1)).withColumn("suffix", F.substring("gram", 2, n - 1))
@@ -198,15 +304,67 @@ def train(docs: DataFrame) -> HashArrays:
     return store
 
 
-class Scorer:
-    """log10 probabilities of a language's words; a task keeps those of its recent ones."""
+class Known:
+    """Values of keys, of which a task keeps ``KEPT`` at most."""
 
-    def __init__(self, store: HashArrays, lang: str | None):
-        self.store, self.code = store, lang_code("" if lang is None else f"={lang}")
+    def __init__(self):
+        self.keys, self.values = np.empty(0, np.uint64), np.empty(0)
+
+    def __call__(self, distinct: np.ndarray, make) -> np.ndarray:
+        """The values of keys in order; ``make`` gives those of the places that are new."""
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != distinct[inside]
+        out = np.empty(len(distinct))
+        out[~new] = self.values[at[~new]]
+        if new.any():
+            out[new] = make(np.flatnonzero(new))
+            if len(self.keys) + int(new.sum()) > KEPT:
+                self.keys, self.values = distinct, out
+            else:
+                self.keys, self.values = np.insert(self.keys, at[new], distinct[new]), np.insert(self.values, at[new], out[new])
+        return out
+
+
+class Model:
+    """log10 probabilities of windows under the model of one name."""
+
+    def __init__(self, store: HashArrays, name: str):
+        self.store, self.code = store, lang_code(name)
         there, found = store.find(gram_keys(np.array([self.code], np.uint64), np.empty((1, 0)), 0))
         self.uniform = float(found["p"][0]) if there[0] else 1e-6
+        self.known = Known()
+
+    def score(self, windows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """The sums over the windows of each of n owners."""
+        distinct, first, which = np.unique(gram_keys(np.zeros(len(windows), np.int64), windows, 0), return_index=True, return_inverse=True)
+        return np.bincount(owner, self.known(distinct, lambda new: self._looked_up(windows[first[new]].astype(np.int64)))[which], n)
+
+    def _looked_up(self, grams: np.ndarray) -> np.ndarray:
+        code, p = np.full(len(grams), self.code, np.uint64), np.full(len(grams), self.uniform)
+        for n in range(1, ORDER + 1):
+            there, found = self.store.find(gram_keys(code, grams[:, ORDER - n :], 0))
+            _, weight = self.store.find(gram_keys(code, grams[:, ORDER - n : ORDER - 1], 1))
+            gamma = weight["p"].astype(float)
+            p = np.where(there, found["p"], np.where(gamma > 0, gamma * p, p))
+        return np.log10(np.maximum(p, 1e-30))
+
+
+class Scorer:
+    """log10 probabilities of a language's words and of their borders; a task keeps those of its recent ones."""
+
+    def __init__(self, store: HashArrays, lang: str | None):
+        name = "" if lang is None else f"={lang}"
+        self.words, self.across = Model(store, name), Model(store, ACROSS + name)
         self.number: dict[bytes, int] = {}
-        self.p = np.empty(0)
+        self.borders = Borders()
+        #: By number, from 1: of a word read alone, and of what lies within it, read in a text.
+        self.p, self.within = np.zeros(1), np.zeros(1)
+        self.known = Known()
+
+    def forget_words(self) -> None:
+        self.number, self.borders, self.p, self.within = {}, Borders(), np.zeros(1), np.zeros(1)
 
     def numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Numbers of the words of each text; ``p`` has the probabilities by number."""
@@ -214,29 +372,27 @@ class Scorer:
         new = list(dict.fromkeys(w for words in texts for w in words if w not in number))
         for at in range(0, len(new), PART):
             part = new[at : at + PART]
-            number.update(zip(part, range(len(number), len(number) + len(part))))
-            self.p = np.concatenate([self.p, self._score(part)])
+            number.update(zip(part, range(len(number) + 1, len(number) + 1 + len(part))))
+            spelt = letters(part)
+            begun, inside = around(alone(self.borders.add(spelt))), cut(spelt)
+            self.p = np.concatenate([self.p, self.words.score(*begun, len(part)) + self.words.score(*inside, len(part))])
+            self.within = np.concatenate([self.within, self.across.score(*inside, len(part))])
         return [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in texts]
 
-    def _score(self, words: list[bytes]) -> np.ndarray:
-        windows, owner = spelt(words)
-        key = gram_keys(np.full(len(windows), self.code, np.uint64), windows, 0)
-        distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
-        grams, code = windows[first].astype(np.int64), np.full(len(first), self.code, np.uint64)
-        p = np.full(len(grams), self.uniform)
-        for n in range(1, ORDER + 1):
-            there, found = self.store.find(gram_keys(code, grams[:, ORDER - n :], 0))
-            _, weight = self.store.find(gram_keys(code, grams[:, ORDER - n : ORDER - 1], 1))
-            gamma = weight["p"].astype(float)
-            p = np.where(there, found["p"], np.where(gamma > 0, gamma * p, p))
-        return np.bincount(owner, np.log10(np.maximum(p, 1e-30))[which], len(words))
+    def in_text(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """The log10 probability of each word of each text (numbers) after the words before it."""
+        keys, three = self.borders.keys(texts)
+        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        p = self.known(distinct, lambda new: self.across.score(*around(self.borders.chars(three[first[new]])), len(new)))
+        values = self.within[three[:, 2]] + p[which]
+        return np.split(values, np.cumsum([len(t) for t in texts])[:-1])
 
 
-FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("word_logp", "double")]
+FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("word_logp", "double"), ("text_logp", "double")]
 
 
 def measured(docs: DataFrame, store: HashArrays, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, the base counts and word_logp (null without words) of every row."""
+    """Columns ``keep``, the base counts, word_logp and text_logp (null without words) of every row."""
 
     def make():
         scorers: dict[str | None, Scorer] = {}
@@ -247,14 +403,17 @@ def measured(docs: DataFrame, store: HashArrays, keep: list[str]) -> DataFrame:
                 by_lang.setdefault(lang, []).append(i)
             made: list[tuple] = [()] * len(rows)
             for lang, own in by_lang.items():
-                if lang not in scorers and len(scorers) >= SCORERS or sum(len(x.number) for x in scorers.values()) > CACHE_MOST:
+                if lang not in scorers and len(scorers) >= SCORERS:
                     scorers.clear()
+                if sum(len(x.number) for x in scorers.values()) > CACHE_MOST:
+                    max(scorers.values(), key=lambda x: len(x.number)).forget_words()
                 if lang not in scorers:
                     scorers[lang] = Scorer(store, lang)
                 scorer = scorers[lang]
-                for i, numbers in zip(own, scorer.numbers([words_of(rows[i]) for i in own])):
+                found = scorer.numbers([words_of(rows[i]) for i in own])
+                for i, numbers, values in zip(own, found, scorer.in_text(found)):
                     few = numbers if len(scorer.p) <= EXACT else np.unique(numbers, return_inverse=True)[1]
-                    made[i] = (*base_counts(rows[i], few), float(scorer.p[numbers].mean()) if len(numbers) else None)
+                    made[i] = (*base_counts(rows[i], few), *((float(scorer.p[numbers].mean()), float(values.copy().mean())) if len(numbers) else (None, None)))
             return list(map(list, zip(*made)))
 
         return of
@@ -263,21 +422,25 @@ def measured(docs: DataFrame, store: HashArrays, keep: list[str]) -> DataFrame:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(lang, low, high) from all ``rows`` (lang, word_logp) that pass the base rules."""
-    passed = rows.where(~base_failed() & F.col("word_logp").isNotNull()).select(language().alias("lang"), "word_logp")
-    middle = by_language(passed.groupBy("lang").agg(F.percentile_approx("word_logp", 0.5, 10_000).alias("middle")), "middles")
-    spread = passed.join(middle, "lang").groupBy("lang", "middle").agg((1.4826 * F.percentile_approx(F.abs(F.col("word_logp") - F.col("middle")), 0.5, 10_000)).alias("spread"))
-    return spread.select("lang", (F.col("middle") - WIDTH * F.col("spread")).alias("low"), (F.col("middle") + WIDTH * F.col("spread")).alias("high"))
+    """(lang, word_low, word_high, text_low, text_high) from all ``rows`` (lang, word_logp, text_logp) that pass the base rules."""
+    figures = ("word", "text")
+    passed = rows.where(~base_failed() & F.col("word_logp").isNotNull()).select(language().alias("lang"), *[f"{x}_logp" for x in figures])
+    middle = by_language(passed.groupBy("lang").agg(*[F.percentile_approx(f"{x}_logp", 0.5, 10_000).alias(f"{x}_middle") for x in figures]), "middles")
+    off = lambda x: F.abs(F.col(f"{x}_logp") - F.col(f"{x}_middle"))
+    spread = passed.join(middle, "lang").groupBy("lang", *[f"{x}_middle" for x in figures]).agg(*[(1.4826 * F.percentile_approx(off(x), 0.5, 10_000)).alias(f"{x}_spread") for x in figures])
+    edge = lambda x, sign, name: (F.col(f"{x}_middle") + sign * WIDTH * F.col(f"{x}_spread")).alias(f"{x}_{name}")
+    return spread.select("lang", *[edge(x, sign, name) for x in figures for sign, name in ((-1, "low"), (1, "high"))])
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` (lang among them), the base counts, word_logp, base_failed and kept of every row."""
+    """Columns ``keep`` (lang among them), the base counts, word_logp, text_logp, base_failed and kept of every row."""
     rows = written(measured(docs, train(docs), keep), "quality-rows")
-    own = by_language(bands(rows).select(F.col("lang").alias("__lang"), "low", "high"), "bands")
-    inside = F.coalesce(F.col("word_logp").between(F.col("low"), F.col("high")), F.lit(False))
-    return rows.join(own, language() == F.col("__lang"), "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("__lang", "low", "high")
+    edges = ["word_low", "word_high", "text_low", "text_high"]
+    own = by_language(bands(rows).select(F.col("lang").alias("__lang"), *edges), "bands")
+    inside = lambda x: F.coalesce(F.col(f"{x}_logp").between(F.col(f"{x}_low"), F.col(f"{x}_high")), F.lit(False))
+    return rows.join(own, language() == F.col("__lang"), "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside("word") & inside("text")).drop("__lang", *edges)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id", "lang"])
-    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_logp")
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "word_logp", "text_logp")
