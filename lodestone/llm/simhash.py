@@ -217,6 +217,9 @@ NEAR_SIMILARITY, NEAR_SHINGLE = (4, 5), 5
 SAMPLED, COMMON_MOST = 64, 1 << 15
 SET_FILE_BYTES = 1 << 22
 NEAR_CENTERS = 4
+SKETCH_BITS = 512
+#: Under a shingle of more texts than this, not all in one group, pairs are judged by their sketches as they are made.
+CROWDED = 16
 
 
 def few(batch: pa.RecordBatch) -> Iterator[str]:
@@ -241,6 +244,12 @@ def near_set(text: str) -> tuple[bytes, np.ndarray]:
     return xxhash.xxh128_digest(joined), np.sort(np.fromiter(own, np.uint64, len(own)))
 
 
+def near_sketch(own: np.ndarray) -> np.ndarray:
+    """A bit is 1 if an odd number of the shingles fall on it: two sets differ in as many members at least as their sketches in bits."""
+    odd = np.bincount((own % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def near_prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order of all shingles: those not in ``common`` by hash, then ``common`` by rank.
 
@@ -260,6 +269,13 @@ def _enough(overlap, n, m):
     return (p + q) * overlap >= p * (n + m)
 
 
+def _alike_sketches(x, y, n, m):
+    """Whether sets of n and m members can reach the similarity by their sketches: with the overlap asked for they differ in (n + m) / 9 members at most."""
+    p, q = NEAR_SIMILARITY
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return (p + q) * apart <= (q - p) * (n + m)
+
+
 def _common_shingles(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the most frequent shingles of a sample, and their ranks: only the order of prefixes depends on it."""
 
@@ -309,7 +325,11 @@ def _near_sets(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def _verified(pairs: DataFrame, distinct: DataFrame, source: DataFrame, keep: Scratch) -> DataFrame:
     """Those of the pairs (a, b) of ``distinct`` texts whose sets reach the similarity, counted on the sets of all texts in a pair."""
     scratch = Scratch(source.sparkSession)
-    pairs = scratch.written(pairs.distinct(), "near-pairs")
+    pairs = pairs.distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(distinct.select(F.col("t").alias(side), F.col("sketch").alias(f"{side}_sketch"), F.col("n").alias(f"{side}_n")), side)
+    pairs = pairs.where(_alike_sketches(F.col("a_sketch"), F.col("b_sketch"), F.col("a_n"), F.col("b_n"))).select("a", "b")
+    pairs = scratch.written(pairs, "near-pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
     rows = distinct.join(members, "t", "left_semi").select("id", "text_key")
     ids = scratch.written(rows.select(F.col("id").alias("doc_id")).where("doc_id is not null").distinct(), "near-ids")
@@ -359,7 +379,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     SimHash fingerprints over those shingles link (pivot distances, as ``groups`` does), and
     pairs each text under a shingle of its prefix (``near_prefix``) with one that is there too. The second makes the groups those of all near copies: two near
     copies always share a shingle of their prefixes, so all texts under one that are still in
-    different groups are compared, if their sizes and places of that shingle allow the similarity. Texts of one doc_id are in one group.
+    different groups are compared, if their sizes, places of that shingle and sketches allow the similarity. Texts of one doc_id are in one group.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -370,23 +390,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = order.value
         for batch in batches:
-            keys, fps, sizes, prefixes = [], [], [], []
+            keys, fps, sizes, prefixes, sketches = [], [], [], [], []
             for t in few(batch):
                 key, own = near_set(t)
                 keys.append(key)
                 fps.append(signed(majority(own)))
                 sizes.append(len(own))
                 prefixes.append(near_prefix(own, common, rank).view(np.int64))
+                sketches.append(near_sketch(own))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), prefix], ["doc_id", "text_key", "fp", "n", "prefix"])
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(np.concatenate([*sketches, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), prefix, sketch], ["doc_id", "text_key", "fp", "n", "prefix", "sketch"])
 
-    schema = T.StructType([source.schema["doc_id"], *T._parse_datatype_string("text_key binary, fp long, n int, prefix array<long>")])
+    schema = T.StructType([source.schema["doc_id"], *T._parse_datatype_string("text_key binary, fp long, n int, prefix array<long>, sketch array<long>")])
     rows = Scratch(spark)
     every = rows.written(source.mapInArrow(run, schema), "near-rows")
     made = written(every.select("doc_id", "text_key"), "near-keys")
-    distinct = every.groupBy("text_key").agg(F.min("doc_id").alias("id"), *[F.any_value(c).alias(c) for c in ("fp", "n", "prefix")])
-    distinct = scratch.written(distinct.select("text_key", F.xxhash64("text_key").alias("t"), "id", "fp", "n", "prefix"), "near-distinct")
+    distinct = every.groupBy("text_key").agg(F.min("doc_id").alias("id"), *[F.any_value(c).alias(c) for c in ("fp", "n", "prefix", "sketch")])
+    distinct = scratch.written(distinct.select("text_key", F.xxhash64("text_key").alias("t"), "id", "fp", "n", "prefix", "sketch"), "near-distinct")
     rows.drop()
 
     shared = scratch.written(_under_one_shingle(distinct, scratch), "near-shared")
@@ -398,12 +420,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     grouped = scratch.written(components(first_links.unionByName(same_id)), "near-grouped")
 
     named = shared.drop("center").join(grouped.withColumnRenamed("node", "t"), "t", "left").withColumn("group", F.coalesce("component", "t")).drop("component")
-    mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-    one = scratch.written(named.join(mixed, "key", "left_semi"), "near-mixed")
-    x, y = one.alias("x"), one.alias("y")
+    mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("others")).where("lo <> hi")
+    one = scratch.written(named.join(mixed.select("key", (F.col("others") > CROWDED).alias("crowded")), "key"), "near-mixed")
+    crowded = scratch.written(one.where("crowded").join(distinct.select("t", "sketch"), "t"), "near-crowded")
     together = (F.col("x.key") == F.col("y.key")) & (F.col("x.t") < F.col("y.t")) & (F.col("x.group") != F.col("y.group"))
-    met = x.join(y, together & _possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    second_links = _verified(met.select(F.col("x.t").alias("a"), F.col("y.t").alias("b")), distinct, source, scratch)
+    together &= _possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    pairs = lambda rows, near: rows.alias("x").join(rows.alias("y"), near).select(F.col("x.t").alias("a"), F.col("y.t").alias("b"))
+    met = pairs(one.where("not crowded"), together).unionByName(pairs(crowded, together & _alike_sketches(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"))))
+    second_links = _verified(met, distinct, source, scratch)
     nodes = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second_links))
 
     classes = distinct.select("text_key", "t", "id").join(nodes, F.col("t") == F.col("node"), "left").select("text_key", "id", F.coalesce("component", "t").alias("group"))
@@ -426,8 +450,10 @@ def _under_one_shingle(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     that a shingle of very many texts is gathered nowhere.
     """
     held = distinct.select("t", "n", F.posexplode("prefix").alias("at", "key"))
-    center = F.min(F.struct(F.xxhash64("t", F.pmod("key", F.lit(NEAR_CENTERS))).alias("h"), "t", "n", "at"))
-    centers = held.groupBy("key").agg(F.count("*").alias("others"), center.alias("c")).where("others > 1").select("key", "c")
+    turned = lambda x: x.bitwiseXOR(F.shiftleft(F.pmod("key", F.lit(NEAR_CENTERS)), 62))  # noqa: E731  t is a hash: its order, by quarters
+    center = F.min(F.struct(turned(F.col("t")).alias("h"), "n", "at"))
+    centers = held.groupBy("key").agg(F.count("*").alias("others"), center.alias("c")).where("others > 1")
+    centers = centers.select("key", F.struct(turned(F.col("c.h")).alias("t"), "c.n", "c.at").alias("c"))
     shared = held.join(scratch.written(centers, "near-centers"), "key")
     met = (F.col("t") != F.col("c.t")) & _possible(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"))
     return shared.select("key", "t", "n", "at", F.when(met, F.col("c.t")).alias("center"))
