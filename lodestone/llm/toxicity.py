@@ -103,12 +103,21 @@ def dictionary_content(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
 
 
 class Distances:
-    """Compressors with either dictionary, made in each task, and what the toxic one saved lately."""
+    """Compressors with either dictionary, and what the toxic one saved lately."""
+
+    #: The last one of this process: what it knows serves the tasks that follow in it.
+    last: tuple[tuple[bytes, bytes], "Distances"] | None = None
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         self.toxic, self.ordinary = self._compressor(toxic), self._compressor(ordinary)
         self.known: dict[bytes, int] = {}
 
+    @classmethod
+    def of(cls, content: tuple[bytes, bytes]) -> "Distances":
+        if cls.last is None or cls.last[0] != content:
+            cls.last = content, cls(*content)
+        return cls.last[1]
+
     @staticmethod
     def _compressor(content: bytes):
         d = zstandard.ZstdCompressionDict(spelt(content), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -170,7 +179,7 @@ class Model:
     def scorer(self):
         if self.weights is None:
             return lambda text: 0.0
-        distances = Distances(*self.content)
+        distances = Distances.of(self.content)
 
         def score(text: str) -> float:
             z = (np.array(distances.features(text)) - self.mean) / self.scale
