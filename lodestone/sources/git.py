@@ -32,6 +32,8 @@ from ..session import dropped, ship, stored
 KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 BY_OFFSET, BY_NAME = 6, 7
 OBJECTS_A_TASK = 20_000
+#: Steps behind a head that are walked one by one.
+WALKED = 12
 #: Bytes of bases that a task keeps for the deltas to come.
 KEPT = 64 << 20
 ENTRY = T.StructType().add("mode", "string").add("name", "string").add("object_id", "string")
@@ -395,10 +397,20 @@ def first_parents(commits: DataFrame, heads: DataFrame, depth: int = -1) -> Data
     """(repository_id, commit, index): the commits on the line of first parents from ``heads`` (repository_id, commit), from 0.
 
     ``commits`` has (repository_id, commit, parent); a head without a commit is left out, a missing parent ends the line. With a ``depth``
-    below 0 all of them, else those up to that index. The commits found and the way that one jump goes
-    double in each round.
+    below 0 all of them, else those up to that index. Up to a depth of ``WALKED`` each step is one join with the commits; beyond, the commits found and the way that one jump goes
+    double in each round, which deals the commits four times.
     """
     jumps = stored(commits.select("repository_id", "commit", "parent"), "jumps")
+    if 0 <= depth <= WALKED:
+        at, found = heads.select("repository_id", "commit").distinct(), None
+        for index in range(depth + 1):
+            # a head or a parent whose commit is not here (a shallow copy) ends the line
+            here = stored(at.join(jumps, ["repository_id", "commit"]).dropDuplicates(["repository_id", "commit"]), "found")
+            own = here.select("repository_id", "commit", F.lit(index).cast("long").alias("index"))
+            found = own if found is None else found.unionByName(own)
+            at = here.where("parent is not null").select("repository_id", F.col("parent").alias("commit"))
+        dropped(jumps)
+        return found
     found = stored(heads.select("repository_id", "commit").join(jumps.select("repository_id", "commit"), ["repository_id", "commit"], "left_semi").distinct().withColumn("index", F.lit(0).cast("long")), "found")
     way = 1
     while depth < 0 or way <= depth:
