@@ -8,7 +8,8 @@ seen, gets a probability.) Grams with their probabilities, and contexts with
 their back-off weights, lie in sorted hash arrays in the shared folder, which
 the workers map into memory. A second model of each language, of the same order,
 reads whole texts across the borders of words, so it sees which word follows which; both
-share the grams within a word. A text has two figures, its mean log10 probability a
+share the grams within a word. Texts are read as rows of code points, some ``CHARS`` at a time, so
+what a task holds is bounded by that and by how many different grams it keeps, not by its words. A text has two figures, its mean log10 probability a
 word by either model. A band of a language is the median plus and minus ``WIDTH`` robust
 standard deviations over all documents that pass the base rules; a text above or
 below either band is rejected.
@@ -24,7 +25,6 @@ has a band of that figure; repeated rows count as often as they occur.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,18 +41,21 @@ WIDTH = 5.0
 LEAST_WORDS, MOST_REPEAT = 50, 50
 #: None can occur in a word: before a word read alone, after each word, before a text.
 BEGIN, END, TOP = "\t", "\n", "\v"
+#: No code point.
+NONE = 0x110000
 #: Marks the model of a language that reads across the borders of words.
 ACROSS = ">"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-FLUSH = 200_000
-#: Bytes of texts whose borders are counted at once.
-TEXTS = 4 << 20
-CACHE_MOST = 200_000
-SCORERS, PART = 16, 25_000
-#: Windows, and borders of two words, whose probabilities each model of a task keeps, 16 bytes each.
-KEPT = 400_000
+#: Bytes of texts, and of these code points, that are worked on at once.
+TEXTS, CHARS = 2 << 20, 1 << 19
+#: Grams that a task counts before it sums them up, or passes them on.
+HELD = 1 << 20
+#: Grams whose probabilities a task keeps, 24 bytes each.
+KEPT = 1 << 19
 EXACT = 1 << 21
+#: Languages whose models a task has at hand.
+SCORERS = 16
 #: Rows of one a language that are broadcast: some 100 bytes each.
 LANGUAGES = 50_000
 
@@ -61,6 +64,13 @@ def words_of(text: str) -> list[bytes]:
     return text.encode(errors="replace").split()
 
 
+def numbered(words: list[bytes]) -> np.ndarray:
+    """A number for each word, the same for equal ones."""
+    own = dict.fromkeys(words)
+    own.update(zip(own, range(len(own))))
+    return np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+
+
 def base_counts(text: str, words: np.ndarray) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; ``words`` are numbers that stand for the words."""
     lines = [x for x in text.split("\n") if x.strip(BLANKS)]
@@ -71,12 +81,14 @@ def base_counts(text: str, words: np.ndarray) -> tuple[int, int, int, int, int]:
         else:
             pair = np.unique((words[:-1] << 32) | words[1:], return_inverse=True)[1]
             key = (pair[:-1] << 32) | words[2:]
-        three, count = np.unique(key, return_inverse=True, return_counts=True)[1:]
-        twice = count[three] > 1
-        covered = np.zeros(len(words), bool)
-        for k in range(3):
-            covered[k : k + len(twice)] |= twice
-        repeat = int(covered.sum())
+        in_order = np.sort(key)
+        again = in_order[1:][in_order[1:] == in_order[:-1]]
+        if len(again):
+            twice = again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key
+            covered = np.zeros(len(words), bool)
+            for k in range(3):
+                covered[k : k + len(twice)] |= twice
+            repeat = int(covered.sum())
     return len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
@@ -95,76 +107,81 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
 
 
-def cut(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ``ORDER`` code points that lie in a piece, and the piece of each."""
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    chars = np.frombuffer("".join(pieces).encode("utf-32-le", "replace"), "<u4")
-    owner = np.repeat(np.arange(len(pieces)), np.maximum(size - ORDER + 1, 0))
-    first = np.cumsum(np.maximum(size - ORDER + 1, 0)) - np.maximum(size - ORDER + 1, 0)
-    at = np.arange(len(owner)) + (np.cumsum(size) - size - first)[owner]
-    if not len(at):
-        return np.empty((0, ORDER), "<u4"), owner
-    return np.lib.stride_tricks.sliding_window_view(chars, ORDER)[at], owner
+def in_a_row(texts: list[list[bytes]]) -> np.ndarray:
+    """The code points of the words of all texts: before each text ``ORDER - 1`` times ``TOP``, after each of its words an ``END``, after all texts zeros."""
+    lead, end = TOP.encode() * (ORDER - 1), END.encode()
+    joined = b"".join([lead + end.join(words) + end if words else lead for words in texts])
+    return np.frombuffer((joined + bytes(ORDER - 1)).decode().encode("utf-32-le"), "<u4")
 
 
-def letters(words: list[bytes]) -> list[str]:
-    """Each word with its end."""
-    return [w.decode(errors="replace") + END for w in words]
+def portions(chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of ``in_a_row``, ``CHARS`` at a time: where windows of ``ORDER`` begin, their hashes, where words begin, the hashes of their heads."""
+    last = len(chars) - ORDER + 1
+    for lo in range(ORDER - 1, last, CHARS):
+        hi = min(lo + CHARS, last)
+        here, before = chars[lo:hi], chars[lo - 1 : hi - 1]
+        at = np.flatnonzero(here != ord(TOP))
+        first = at[(before[at] == ord(END)) | (before[at] == ord(TOP))] + lo
+        yield at + lo - ORDER + 1, hashed([chars[lo - ORDER + 1 + k : hi - ORDER + 1 + k] for k in range(ORDER)])[at], first, hashed(heads(chars, first).T)
 
 
-def around(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that end in one of the last ``ORDER - 1`` columns of rows of code points (0: none), and the row of each."""
-    last = range(ORDER - 1, chars.shape[1])
-    rows = [np.flatnonzero(chars[:, k]) for k in last]
-    return np.concatenate([chars[at, k - ORDER + 1 : k + 1] for k, at in zip(last, rows)]), np.concatenate(rows)
+def heads(chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A ``BEGIN`` and the first ``ORDER - 1`` code points of the words, with their ends, that begin there, ``NONE`` after an end."""
+    out = np.empty((len(first), ORDER), "<u4")
+    out[:, 0], going = ord(BEGIN), np.ones(len(first), bool)
+    for k in range(1, ORDER):
+        out[:, k] = np.where(going, chars[first + k - 1], NONE)
+        going &= (out[:, k] != ord(END)) & (out[:, k] != NONE)
+    return out
 
 
-class Borders:
-    """What stands around the borders of words: the last letters before a word and its first ones.
+def begun(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows with a ``BEGIN`` of words with these heads, and the head of each."""
+    chars = np.concatenate([np.full((len(rows), ORDER - 2), ord(BEGIN), "<u4"), rows], 1)
+    own = [np.flatnonzero(chars[:, k] != NONE) for k in range(ORDER - 1, chars.shape[1])]
+    return np.concatenate([chars[at, k : k + ORDER] for k, at in enumerate(own)]), np.concatenate(own)
 
-    The ``ORDER - 1`` letters before a word are the end of the word before it and, if that is shorter, of the one before that
-    (with its end a word has two letters at least, so no third is needed). Words have the numbers in which they are added, from 1; 0 stands before a text.
-    """
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each different key, and which of these each key is."""
+    which = pa.array(keys.view(np.int64)).dictionary_encode().indices.to_numpy()
+    one = np.empty(int(which.max()) + 1 if len(which) else 0, np.int64)
+    one[which] = np.arange(len(which))
+    return one, which
+
+
+class Counted:
+    """How often rows of code points occur."""
 
     def __init__(self):
-        self.end, self.head = np.full((1, ORDER - 1), ord(TOP), "<u4"), np.zeros((1, ORDER - 1), "<u4")
-        self.hashes = np.zeros((1, 3), np.uint64)
-
-    def add(self, words: list[str]) -> np.ndarray:
-        """The first letters of the words, which are new."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "replace"), "<u4")
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        stop = np.cumsum(size)
-        near = np.arange(ORDER - 1)
-        at = stop[:, None] - ORDER + 1 + near
-        end = np.where(at >= (stop - size)[:, None], chars[np.maximum(at, 0)], 0).astype("<u4") if len(words) else self.end[:0]
-        at = (stop - size)[:, None] + near
-        head = np.where(at < stop[:, None], chars[np.minimum(at, len(chars) - 1)], 0).astype("<u4") if len(words) else self.head[:0]
-        none = np.zeros(len(words), np.int64)
-        hashes = np.stack([gram_keys(none, end, 0), gram_keys(none, end[:, -2:], 1), gram_keys(none, head, 2)], 1)
-        self.end, self.head, self.hashes = np.concatenate([self.end, end]), np.concatenate([self.head, head]), np.concatenate([self.hashes, hashes])
-        return head
-
-    def keys(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of what stands around the border before each word of the texts in a row, and the numbers (two words before, one before, its own)."""
-        here = np.concatenate([np.zeros(2, np.int64), *(x for t in texts for x in (t, np.zeros(2, np.int64)))])
-        three = np.lib.stride_tricks.sliding_window_view(here, 3)
-        three = three[three[:, 2] > 0]
-        before = np.where(self.end[three[:, 1], 0] == 0, self.hashes[three[:, 0], 1], np.uint64(0))
-        return mixed(mixed(self.hashes[three[:, 1], 0] + before) + self.hashes[three[:, 2], 2]), three
-
-    def chars(self, three: np.ndarray) -> np.ndarray:
-        """The letters around borders: rows for ``around``."""
-        before, far = self.end[three[:, 1]], self.end[three[:, 0]]
-        for missing in range(1, ORDER - 2):
-            short = (before[:, missing - 1] == 0) & (before[:, missing] != 0)
-            before[short, :missing] = far[short, ORDER - 1 - missing :]
-        return np.concatenate([before, self.head[three[:, 2]]], 1)
-
-
-def alone(heads: np.ndarray) -> np.ndarray:
-    """The beginnings of words read one by one: rows for ``around``."""
-    return np.concatenate([np.full((len(heads), ORDER - 1), ord(BEGIN), "<u4"), heads], 1)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _, _ in self.parts)
+
+    def add(self, keys: np.ndarray, rows) -> None:
+        """Rows by their hashes; ``rows`` gives those at some places."""
+        one, which = distinct(keys)
+        self.parts.append((keys[one], np.bincount(which, minlength=len(one)), rows(one)))
+
+    def sum_up(self) -> None:
+        if len(self.parts) > 1:
+            keys, count, rows = (np.concatenate(x) for x in zip(*self.parts))
+            one, which = distinct(keys)
+            self.parts = [(keys[one], np.bincount(which, count, len(one)).astype(np.int64), rows[one])]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each row once, and how often it occurs."""
+        self.sum_up()
+        return (self.parts[0][2], self.parts[0][1]) if self.parts else (np.empty((0, ORDER), "<u4"), np.empty(0, np.int64))
+
+
+def as_strings(rows: np.ndarray) -> pa.Array:
+    """Rows of code points as a string each."""
+    size = 1 + (rows >= 0x80).astype(np.int32) + (rows >= 0x800) + (rows >= 0x10000)
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(size.sum(1), dtype=np.int32)])
+    content = rows.tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(content))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -174,40 +191,18 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
 
-    class Held:
-        def __init__(self):
-            self.number: dict[bytes, int] = {}
-            self.times, self.borders, self.seen, self.rows = np.zeros(1, np.int64), Borders(), [], 0
-
-        def add(self, texts: list[list[bytes]]) -> None:
-            new = list(dict.fromkeys(w for words in texts for w in words if w not in self.number))
-            self.number.update(zip(new, range(len(self.number) + 1, len(self.number) + 1 + len(new))))
-            self.borders.add(letters(new))
-            numbers = [np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)) for words in texts]
-            keys, three = self.borders.keys(numbers)
-            keys, first, count = np.unique(keys, return_index=True, return_counts=True)
-            self.seen.append((keys, count, self.borders.chars(three[first])))
-            self.rows += len(keys)
-            self.times = np.concatenate([self.times, np.zeros(len(new), np.int64)]) + np.bincount(three[:, 2], minlength=len(self.number) + 1)
-
-        def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-            """Windows, the row of each, how often each row occurs."""
-            words, times = letters(list(self.number)), self.times[1:]
-            keys, count, chars = (np.concatenate(x) for x in zip(*self.seen))
-            yield *around(alone(self.borders.head[1:])), times
-            yield from ((*cut(words[at : at + PART]), times[at : at + PART]) for at in range(0, len(words), PART))
-            yield *around(chars), count
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Held] = {}
+        held: dict[str, tuple[Counted, Counted]] = {}
+        size = lambda x: sum(map(len, held[x]))
 
         def rows(lang: str) -> Iterator[pa.RecordBatch]:
-            for windows, owner, times in held.pop(lang).windows():
-                _, first, which = np.unique(gram_keys(np.zeros(len(windows), np.int64), windows, 0), return_index=True, return_inverse=True)
-                count = np.bincount(which, times[owner], len(first)).astype(np.int64)
-                grams = windows[first].tobytes().decode("utf-32-le")
-                grams = [grams[i : i + ORDER] for i in range(0, len(grams), ORDER)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(count)], ["lang", "gram", "c"])
+            (grams, count), (firsts, times) = (x.all() for x in held.pop(lang))
+            windows, owner = begun(firsts)
+            one, which = distinct(hashed(windows.T))
+            grams, count = np.concatenate([grams, windows[one]]), np.concatenate([count, np.bincount(which, times[owner], len(one)).astype(np.int64)])
+            for at in range(0, len(count), 1 << 16):
+                part = count[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(part)), as_strings(grams[at : at + len(part)]), pa.array(part, pa.int64())], ["lang", "gram", "c"])
 
         for batch in batches:
             for lo, hi in slices(batch.column(1), TEXTS):
@@ -215,11 +210,19 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 for lang, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()):
                     own.setdefault(lang, []).append(words_of(text))
                 for lang, found in own.items():
-                    held.setdefault(lang, Held()).add(found)
-                while sum(len(x.number) for x in held.values()) > FLUSH or sum(x.rows for x in held.values()) > 5 * FLUSH:
-                    yield from rows(max(held, key=lambda x: 5 * len(held[x].number) + held[x].rows))
+                    grams, firsts = held.setdefault(lang, (Counted(), Counted()))
+                    chars = in_a_row(found)
+                    for at, keys, begin, head_keys in portions(chars):
+                        grams.add(keys, lambda one, at=at: chars[at[one][:, None] + np.arange(ORDER)])
+                        firsts.add(head_keys, lambda one, begin=begin: heads(chars, begin[one]))
+                if sum(map(size, held)) > HELD:
+                    for x in held.values():
+                        x[0].sum_up(), x[1].sum_up()
+                while sum(map(size, held)) > HELD * 3 // 4:
+                    yield from rows(max(held, key=size))
         for lang in list(held):
             yield from rows(lang)
+        pa.default_memory_pool().release_unused()
 
     source = docs.select(language().alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
@@ -232,12 +235,27 @@ def of_models(grams: DataFrame) -> DataFrame:
     return words.unionByName(grams.where(~F.col("gram").contains(BEGIN)).withColumn("lang", F.concat(F.lit(ACROSS), "lang")))
 
 
+#: What the code points of a gram are multiplied by, its last one by the last: odd numbers of 64 bits.
+FACTORS = mixed(np.arange(1, ORDER + 1)) | np.uint64(1)
+
+
+def hashed(columns) -> np.ndarray:
+    """A hash of grams, given as a column of code points for each place; ``gram_keys`` mixes it with the language."""
+    out = columns[0].astype(np.uint64) * FACTORS[-len(columns)]
+    for x, factor in zip(columns[1:], FACTORS[len(FACTORS) - len(columns) + 1 :]):
+        out += x.astype(np.uint64) * factor
+    return out
+
+
+def model_seed(langs: np.ndarray, size: int, space: int) -> np.ndarray:
+    """What is added to the hashes of grams of ``size`` code points; ``langs`` are codes of languages, ``space`` keeps contexts apart from grams."""
+    return mixed(mixed(langs.astype(np.uint64) + np.uint64(space + 1)) + np.uint64(size + 1))
+
+
 def gram_keys(langs: np.ndarray, chars: np.ndarray, space: int) -> np.ndarray:
-    """Keys of grams given as rows of code points; ``langs`` are codes of languages, ``space`` keeps contexts apart from grams."""
-    key = mixed(langs.astype(np.uint64) + np.uint64(space + 1))
-    for k in range(chars.shape[1]):
-        key = mixed(key + chars[:, k].astype(np.uint64))
-    return key
+    """Keys of grams given as rows of code points."""
+    seed = model_seed(langs, chars.shape[1], space)
+    return mixed(seed + hashed(chars.T)) if chars.shape[1] else seed
 
 
 def lang_code(lang: str) -> int:
@@ -281,11 +299,12 @@ def train(docs: DataFrame) -> HashArrays:
             lang, gram, space, value = (c.to_pylist() for c in b.columns)
             code = {x: lang_code(x) for x in set(lang)}
             keys = np.zeros(len(gram), np.uint64)
-            length = np.array([len(g) for g in gram]) * 2 + np.array(space, int)
+            length = np.fromiter(map(len, gram), int, len(gram)) * 2 + np.array(space, int)
+            codes = np.fromiter(map(code.__getitem__, lang), np.uint64, len(lang))
             for kind in np.unique(length):
                 at = np.flatnonzero(length == kind)
-                chars = np.array([[ord(c) for c in gram[i]] for i in at], np.int64).reshape(len(at), -1)
-                keys[at] = gram_keys(np.array([code[lang[i]] for i in at], np.uint64), chars, int(kind % 2))
+                chars = np.frombuffer("".join([gram[i] for i in at.tolist()]).encode("utf-32-le"), "<u4").reshape(len(at), int(kind // 2))
+                keys[at] = gram_keys(codes[at], chars, int(kind % 2))
             yield pa.RecordBatch.from_arrays([pa.array(store.shard(keys)), pa.array(keys.view(np.int64)), pa.array(value, pa.float64())], ["shard", "key", "p"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,88 +323,95 @@ def train(docs: DataFrame) -> HashArrays:
     return store
 
 
-class Known:
-    """Values of keys, of which a task keeps ``KEPT`` at most."""
-
-    def __init__(self):
-        self.keys, self.values = np.empty(0, np.uint64), np.empty(0)
-
-    def __call__(self, distinct: np.ndarray, make) -> np.ndarray:
-        """The values of keys in order; ``make`` gives those of the places that are new."""
-        at = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != distinct[inside]
-        out = np.empty(len(distinct))
-        out[~new] = self.values[at[~new]]
-        if new.any():
-            out[new] = make(np.flatnonzero(new))
-            if len(self.keys) + int(new.sum()) > KEPT:
-                self.keys, self.values = distinct, out
-            else:
-                self.keys, self.values = np.insert(self.keys, at[new], distinct[new]), np.insert(self.values, at[new], out[new])
-        return out
-
-
 class Model:
-    """log10 probabilities of windows under the model of one name."""
+    """log10 probabilities of grams under the model of one name."""
 
     def __init__(self, store: HashArrays, name: str):
-        self.store, self.code = store, lang_code(name)
-        there, found = store.find(gram_keys(np.array([self.code], np.uint64), np.empty((1, 0)), 0))
+        self.store, self.code = store, np.array([lang_code(name)], np.uint64)
+        there, found = store.find(gram_keys(self.code, np.empty((1, 0)), 0))
         self.uniform = float(found["p"][0]) if there[0] else 1e-6
-        self.known = Known()
 
-    def score(self, windows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """The sums over the windows of each of n owners."""
-        distinct, first, which = np.unique(gram_keys(np.zeros(len(windows), np.int64), windows, 0), return_index=True, return_inverse=True)
-        return np.bincount(owner, self.known(distinct, lambda new: self._looked_up(windows[first[new]].astype(np.int64)))[which], n)
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        there, found = self.store.find(gram_keys(self.code, grams, 0))
+        p = found["p"].astype(float)
+        if not there.all():
+            p[~there] = self._backed_off(grams[~there])
+        return np.log10(np.maximum(p, 1e-30))
 
-    def _looked_up(self, grams: np.ndarray) -> np.ndarray:
-        code, p = np.full(len(grams), self.code, np.uint64), np.full(len(grams), self.uniform)
+    def _backed_off(self, grams: np.ndarray) -> np.ndarray:
+        p = np.full(len(grams), self.uniform)
         for n in range(1, ORDER + 1):
-            there, found = self.store.find(gram_keys(code, grams[:, ORDER - n :], 0))
-            _, weight = self.store.find(gram_keys(code, grams[:, ORDER - n : ORDER - 1], 1))
+            there, found = self.store.find(gram_keys(self.code, grams[:, ORDER - n :], 0))
+            _, weight = self.store.find(gram_keys(self.code, grams[:, ORDER - n : ORDER - 1], 1))
             gamma = weight["p"].astype(float)
             p = np.where(there, found["p"], np.where(gamma > 0, gamma * p, p))
-        return np.log10(np.maximum(p, 1e-30))
+        return p
+
+
+class Known:
+    """What a task knows of grams of all languages, ``KEPT`` at least, each at the place that its key has: a newer one replaces what is there."""
+
+    def __init__(self):
+        self.bits = max(1, (KEPT - 1).bit_length())
+        self.table = np.zeros(1 << self.bits, [("key", "<u8"), ("word", "<f8"), ("text", "<f8")])
+        self.table["key"][0] = ~np.uint64(0)  # that key has another place, and key 0 is not known
+
+    def __call__(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """What keys add to the figures of words and of texts; ``make`` gives both for the places of new ones."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.table.take(at)
+        word, text = found["word"], found["text"]
+        new = np.flatnonzero(found["key"] != keys)
+        if len(new):
+            one, which = distinct(keys[new])
+            made = np.empty(len(one), self.table.dtype)
+            made["key"] = keys[new[one]]
+            made["word"], made["text"] = make(new[one])
+            self.table[at[new[one]]] = made
+            word[new], text[new] = made["word"][which], made["text"][which]
+        return word, text
 
 
 class Scorer:
-    """log10 probabilities of a language's words and of their borders; a task keeps those of its recent ones."""
+    """log10 probabilities of texts of a language by both of its models."""
 
-    def __init__(self, store: HashArrays, lang: str | None):
+    def __init__(self, store: HashArrays, lang: str | None, known: Known | None = None):
         name = "" if lang is None else f"={lang}"
-        self.words, self.across = Model(store, name), Model(store, ACROSS + name)
-        self.number: dict[bytes, int] = {}
-        self.borders = Borders()
-        #: By number, from 1: of a word read alone, and of what lies within it, read in a text.
-        self.p, self.within = np.zeros(1), np.zeros(1)
-        self.known = Known()
-
-    def forget_words(self) -> None:
-        self.number, self.borders, self.p, self.within = {}, Borders(), np.zeros(1), np.zeros(1)
+        self.alone, self.across, self.known = Model(store, name), Model(store, ACROSS + name), known or Known()
+        self.seed = model_seed(self.across.code, ORDER, 0)
+
+    def sums(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the sum over its words read one by one, and that over the words after each other."""
+        chars = in_a_row(texts)
+        start = np.flatnonzero(chars == ord(TOP))[:: ORDER - 1]
+        word, text = np.zeros(len(texts)), np.zeros(len(texts))
+        for at, keys, begin, head_keys in portions(chars):
+            for places, hashes, make in ((at, keys, self._windows), (begin, head_keys, self._heads)):
+                if not len(places):
+                    continue
+                values = self.known(mixed(hashes + self.seed), lambda new, places=places, make=make: make(chars, places[new]))
+                cuts = np.searchsorted(places, start)
+                own = np.flatnonzero(np.diff(cuts, append=len(places)))
+                for out, x in zip((word, text), values):
+                    out[own] += np.add.reduceat(x, cuts[own])
+        return word, text
+
+    def _windows(self, chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        grams = chars[at[:, None] + np.arange(ORDER)]
+        within = ~((grams[:, :-1] == ord(END)) | (grams[:, :-1] == ord(TOP))).any(1)
+        word = np.zeros(len(grams))
+        word[within] = self.alone(grams[within])
+        return word, self.across(grams)
+
+    def _heads(self, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        grams, owner = begun(heads(chars, first))
+        return np.bincount(owner, self.alone(grams), len(first)), np.zeros(len(first))
 
     def numbers(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Numbers of the words of each text; ``p`` has the probabilities by number."""
-        number = self.number
-        new = list(dict.fromkeys(w for words in texts for w in words if w not in number))
-        for at in range(0, len(new), PART):
-            part = new[at : at + PART]
-            number.update(zip(part, range(len(number) + 1, len(number) + 1 + len(part))))
-            spelt = letters(part)
-            begun, inside = around(alone(self.borders.add(spelt))), cut(spelt)
-            self.p = np.concatenate([self.p, self.words.score(*begun, len(part)) + self.words.score(*inside, len(part))])
-            self.within = np.concatenate([self.within, self.across.score(*inside, len(part))])
-        return [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in texts]
-
-    def in_text(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """The log10 probability of each word of each text (numbers) after the words before it."""
-        keys, three = self.borders.keys(texts)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        p = self.known(distinct, lambda new: self.across.score(*around(self.borders.chars(three[first[new]])), len(new)))
-        values = self.within[three[:, 2]] + p[which]
-        return np.split(values, np.cumsum([len(t) for t in texts])[:-1])
+        """Numbers of the words of each text; ``p`` has by number the probabilities of these words read alone."""
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for words in texts for w in words))}
+        self.p = self.sums([[w] for w in number])[0]
+        return [np.array([number[w] for w in words], np.int64) for words in texts]
 
 
 FIELDS = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("word_logp", "double"), ("text_logp", "double")]
@@ -396,6 +422,7 @@ def measured(docs: DataFrame, store: HashArrays, keep: list[str]) -> DataFrame:
 
     def make():
         scorers: dict[str | None, Scorer] = {}
+        known = Known()
 
         def of(rows: list[str], langs: list[str | None]):
             by_lang: dict[str | None, list[int]] = {}
@@ -405,15 +432,14 @@ def measured(docs: DataFrame, store: HashArrays, keep: list[str]) -> DataFrame:
             for lang, own in by_lang.items():
                 if lang not in scorers and len(scorers) >= SCORERS:
                     scorers.clear()
-                if sum(len(x.number) for x in scorers.values()) > CACHE_MOST:
-                    max(scorers.values(), key=lambda x: len(x.number)).forget_words()
                 if lang not in scorers:
-                    scorers[lang] = Scorer(store, lang)
-                scorer = scorers[lang]
-                found = scorer.numbers([words_of(rows[i]) for i in own])
-                for i, numbers, values in zip(own, found, scorer.in_text(found)):
-                    few = numbers if len(scorer.p) <= EXACT else np.unique(numbers, return_inverse=True)[1]
-                    made[i] = (*base_counts(rows[i], few), *((float(scorer.p[numbers].mean()), float(values.copy().mean())) if len(numbers) else (None, None)))
+                    scorers[lang] = Scorer(store, lang, known)
+                column = pa.array([rows[i] for i in own], pa.string())
+                for lo, hi in slices(column, TEXTS):
+                    texts = [words_of(rows[i]) for i in own[lo:hi]]
+                    for i, words, word, text in zip(own[lo:hi], texts, *scorers[lang].sums(texts)):
+                        n = len(words)
+                        made[i] = (*base_counts(rows[i], numbered(words)), *((word / n, text / n) if n else (None, None)))
             return list(map(list, zip(*made)))
 
         return of

@@ -1,0 +1,45 @@
+"""What a task of the quality rules looks up and holds."""
+
+import random
+import tracemalloc
+
+import numpy as np
+
+from lodestone.llm import quality
+
+
+class Store:
+    """Has every gram, and counts what it is asked for."""
+
+    asked = 0
+
+    def find(self, keys):
+        self.asked += len(keys)
+        return np.ones(len(keys), bool), {"p": np.full(len(keys), 0.5, "<f4")}
+
+
+def words(rng, n):
+    return ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(n)]
+
+
+def test_a_known_gram_is_looked_up_once():
+    store = Store()
+    (numbers,) = (scorer := quality.Scorer(store, "en")).numbers([[w.encode() for w in words(random.Random(1), 50)]])
+    # 10 windows of a word read alone; at most 14 of a text, of them 6 that are there once for both
+    assert store.asked <= 50 * 30
+    assert np.allclose(scorer.p[numbers], 10 * np.log10(0.5))
+
+
+def test_words_are_not_held(monkeypatch):
+    monkeypatch.setattr(quality, "KEPT", 1 << 10)
+    made = []
+    monkeypatch.setattr(quality, "annotate", lambda docs, keep, fields, make, **more: made.append(make))
+    quality.measured(None, Store(), [])
+    rng, of = random.Random(2), made[0]()
+    of(["warm up"], ["en"])
+    tracemalloc.start()
+    for _ in range(10):
+        of([" ".join(words(rng, 5_000))], ["en"])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2e6
