@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, quality, secret_scan, simhash
-from lodestone.llm.common import annotate, cleaned, fresh_path, table, written
+from lodestone.llm.common import annotate, cleaned, fresh_path, small_batches, table, written
 
 
 def apart(docs: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the text of a benchmark item, also with other numbers or names."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    with small_batches(spark):
+        return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        with cleaned(spark):
+        with cleaned(spark), small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

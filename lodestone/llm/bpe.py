@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, table, texts
+from .common import given_back, ship, table, texts
 
 #: Fixed value: the public byte-level pre-tokenization pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, vocabulary: bytes) -> DataFrame:
 
     source = texts(docs)
     schema = T.StructType([source.schema["doc_id"], T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(given_back(run), schema)
 
 
 def vocabulary_file(path: str | None = None) -> bytes:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import coded_words, ship, slices, table, written
+from .common import coded_words, given_back, ship, slices, table, written
 
 WINDOW = 13
 BROADCAST_MOST, BROADCAST_BYTES = 2_000_000, 256 << 20
@@ -265,7 +265,7 @@ def template_windows(source: DataFrame, sizes, words: dict[str, Lists], wanted=N
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *map(pa.array, cols[1:], ARROW)], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(given_back(run), schema)
 
 
 def item_sizes(n: int) -> tuple[int, ...]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, fresh_path, ship, slices, table, written
+from .common import annotate, fresh_path, given_back, ship, slices, small_batches, table, written
 from .kneser_ney import HashArrays, discount_columns, mixed
 
 ORDER = 5
@@ -222,10 +222,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     yield from rows(max(held, key=size))
         for lang in list(held):
             yield from rows(lang)
-        pa.default_memory_pool().release_unused()
 
     source = docs.select(language().alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return source.mapInArrow(given_back(run), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def of_models(grams: DataFrame) -> DataFrame:
@@ -266,7 +265,9 @@ def lang_code(lang: str) -> int:
 def train(docs: DataFrame) -> HashArrays:
     """Count, smooth and store the models of all languages."""
     spark = docs.sparkSession
-    counts = [written(of_models(written(count_grams(docs), "grams")), "model-grams")]
+    with small_batches(spark):
+        counted = written(count_grams(docs), "grams")
+    counts = [written(of_models(counted), "model-grams")]
     begins = lambda x: F.startswith(x, F.lit(BEGIN)) | F.startswith(x, F.lit(TOP))
     for n in range(ORDER - 1, 0, -1):  # below the highest order: in how many contexts, but how often after a begin
         shorter = counts[0].withColumn("gram", F.substring("gram", 2, n)).groupBy("lang", "gram")
@@ -318,8 +319,8 @@ def train(docs: DataFrame) -> HashArrays:
                 n += int(own.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    made = everything.mapInArrow(keyed, "shard long, key long, p double")
-    made.repartition(1 << store.bits, "shard").mapInArrow(save, "n long").agg(F.sum("n")).first()
+    made = everything.mapInArrow(given_back(keyed), "shard long, key long, p double")
+    made.repartition(1 << store.bits, "shard").mapInArrow(given_back(save), "n long").agg(F.sum("n")).first()
     return store
 
 
@@ -460,7 +461,9 @@ def bands(rows: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` (lang among them), the base counts, word_logp, text_logp, base_failed and kept of every row."""
-    rows = written(measured(docs, train(docs), keep), "quality-rows")
+    store = train(docs)
+    with small_batches(docs.sparkSession):
+        rows = written(measured(docs, store, keep), "quality-rows")
     edges = ["word_low", "word_high", "text_low", "text_high"]
     own = by_language(bands(rows).select(F.col("lang").alias("__lang"), *edges), "bands")
     inside = lambda x: F.coalesce(F.col(f"{x}_logp").between(F.col(f"{x}_low"), F.col(f"{x}_high")), F.lit(False))

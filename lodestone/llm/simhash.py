@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, annotate, mapped, put_bytes, ship, table, texts, written
+from .common import Scratch, annotate, given_back, mapped, put_bytes, ship, small_batches, table, texts, written
 from .components import components
 
 SHINGLE = 4
@@ -196,7 +196,7 @@ def links(rows: DataFrame, masks: list[int], most_bits: int) -> DataFrame:
         if rest is not None:
             yield found(*rest)
 
-    made = written(met.mapInArrow(run, "a long, b long").distinct(), "links")
+    made = written(met.mapInArrow(given_back(run), "a long, b long").distinct(), "links")
     scratch.drop()
     return made
 
@@ -285,7 +285,7 @@ def _common_shingles(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(near_set(t)[1].view(np.int64))], ["h"])
 
     sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
-    top = sample.mapInArrow(run, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
+    top = sample.mapInArrow(given_back(run), "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON_MOST).collect()
     hashes = np.array([r[0] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], (len(top) - order).astype(np.int32)
@@ -316,9 +316,9 @@ def _near_sets(docs: DataFrame, scratch: Scratch) -> DataFrame:
                     sets, rows, size = [], [], 0
         if rows:
             yield flushed()
-        pa.default_memory_pool().release_unused()
 
-    made = scratch.written(docs.mapInArrow(run, "text_key binary, file string, at int, n int"), "near-sets")
+    with small_batches(docs.sparkSession):
+        made = scratch.written(docs.mapInArrow(given_back(run), "text_key binary, file string, at int, n int"), "near-sets")
     places = made.groupBy("text_key").agg(F.min(F.struct("file", "at", "n")).alias("x"))
     return places.select(F.xxhash64("text_key").alias("t"), "x.*")
 
@@ -359,9 +359,8 @@ def _verified(pairs: DataFrame, distinct: DataFrame, source: DataFrame, keep: Sc
                 overlap = int((y[np.minimum(np.searchsorted(y, x), m - 1)] == x).sum())
                 good.append(bool(_enough(overlap, n, m)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-        pa.default_memory_pool().release_unused()
 
-    found = keep.written(pairs.mapInArrow(run, "a long, b long"), "near-links")
+    found = keep.written(pairs.mapInArrow(given_back(run), "a long, b long"), "near-links")
     scratch.drop()
     return found
 
@@ -404,11 +403,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
             sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(np.concatenate([*sketches, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), prefix, sketch], ["doc_id", "text_key", "fp", "n", "prefix", "sketch"])
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     schema = T.StructType([source.schema["doc_id"], *T._parse_datatype_string("text_key binary, fp long, n int, prefix array<long>, sketch array<long>")])
     rows = Scratch(spark)
-    every = rows.written(source.mapInArrow(run, schema), "near-rows")
+    with small_batches(spark):
+        every = rows.written(source.mapInArrow(given_back(run), schema), "near-rows")
     made = written(every.select("doc_id", "text_key"), "near-keys")
     distinct = every.groupBy("text_key").agg(F.min("doc_id").alias("id"), *[F.any_value(c).alias(c) for c in ("fp", "n", "prefix", "sketch")])
     distinct = scratch.written(distinct.select("text_key", F.xxhash64("text_key").alias("t"), "id", "fp", "n", "prefix", "sketch"), "near-distinct")
