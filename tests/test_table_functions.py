@@ -47,3 +47,26 @@ def test_bad_trees_are_rows(spark):
     assert set(got) == {("good", "g.None_File_Name"), ("good", "g.File_Name"), ("orphan", None), ("untyped", None), ("twice", None)}
     assert "no node 7" in got["orphan", None] and "without number" in got["untyped", None] and "two nodes" in got["twice", None]
     assert [r.error for r in tf.sql_bag(nodes.where("document = 'good'"), "nothing").collect()] == ["ValueError: no bag 'nothing': ['graphlet', 'id', 'lit', 'uast2seq']"]
+
+
+def test_nodes_come_in_batches_of_many_documents(spark):
+    """A document that goes on in the next batch is one, with what is wrong with it; PARTITION BY gives the same bags."""
+    columns = "document string, node_id long, parent_id long, post long, internal_type string, token string, roles array<string>"
+    rows = [(f"d{d}", i, 0 if i else None, (i - 1) % 5, "T", ["aName", "", None, "bName", "aName"][i], [["IDENTIFIER"], ["IDENTIFIER", "LITERAL"], ["IDENTIFIER"], ["LITERAL"], None][(i + d) % 5]) for d in range(6) for i in range(5)]
+    rows += [("e", 1, None, 7, "T", "x", ["IDENTIFIER"]), ("e", 2, None, 7, "T", "y", ["IDENTIFIER"]), ("f", 1, None, 0, "T", "x", ["IDENTIFIER"]), ("f", 2, 1, None, "T", "y", None), (None, 1, None, 0, "T", "x", ["IDENTIFIER"])]
+    nodes = tf.with_words(spark.createDataFrame(rows, columns), tokens.split_identifier)
+    good = nodes.where("document is null or document < 'e'")
+    made = {"id": trees.identifier_bag(good, tokens.split_identifier), "lit": trees.literal_bag(good, tokens.hashed_token), "uast2seq": trees.sequence_bag(good)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 3, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for kind, want in made.items():
+                df = tf.sql_bag(nodes, kind)
+                assert "ArrowEvalPythonUDTF" in df._jdf.queryExecution().executedPlan().toString()
+                for got in (df.collect(), spark.sql(f"SELECT * FROM tree_bag('{kind}', TABLE(lodestone_nodes) PARTITION BY document ORDER BY post)").collect()):
+                    assert {r.document: r.error for r in got if r.error} == {"e": "ValueError: two nodes at place 7", "f": "ValueError: a node without number, place or type"}
+                    bag = {(r.document, r.token[2:]): r.value for r in got if not r.error}
+                    assert len(bag) == sum(not r.error for r in got) and bag == {(r.document, r.token): r.value for r in want.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
