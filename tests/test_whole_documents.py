@@ -2,12 +2,14 @@
 
 import hashlib
 import os
+import random
 from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lodestone.functions import walks
+from lodestone.functions import tokens, walks
 from lodestone.operators import trees
 from lodestone.queries import QUERIES
 from lodestone.sources.nodes import order_nodes
@@ -82,3 +84,31 @@ def test_lines_of_an_order_are_gathered_once(spark):
         ("o1", 3, 3, 2, 0, "GroupN", "groupNName", 4), ("o1", 4, 2, 101, 2, "LineO", "lineNStatusOpart2", None),
     ] + [r for r in got if r[0] == "o2"]
     assert [r[:6] for r in got if r[0] == "o2"] == [("o2", 0, 4, 0, None, "Order"), ("o2", 1, 1, 1, 0, None), ("o2", 2, 0, 100, 1, "LineO"), ("o2", 3, 3, 2, 0, "GroupN"), ("o2", 4, 2, 101, 2, "LineF")]
+
+
+def grown(spark, documents, n, seed):
+    """Random trees, some of whose nodes are identifiers without a token or below what is not in the table."""
+    rng, rows = random.Random(seed), []
+    for d in range(documents):
+        paths = [()]
+        for i in range(1, n):
+            up = rng.randrange(i)
+            paths.append((*paths[up], up))
+        rows += [(None if d == 3 else f"d{d}", i, rng.choice(["aName", "nameOf", "", None, "x_y_name", "longerIdentifiers", "y"]), rng.choice([["IDENTIFIER"], ["IDENTIFIER", "NAME"], ["LITERAL"], None]), [99, *p] if d == 4 else list(p)) for i, p in enumerate(paths)]
+    rows += [("one", 7, "aName", ["IDENTIFIER"], []), ("lost", 7, "aNameName", ["IDENTIFIER"], [1, 2])]
+    return spark.createDataFrame(rows, "document string, node_id long, token string, roles array<string>, ancestors array<long>").repartition(3)
+
+
+def test_distances_of_alike_identifiers_are_counted_once(spark):
+    nodes, split = grown(spark, 6, 40, 2), tokens.split_identifier
+    for most in (1, 2, 3, 10):
+        want = {tuple(r) for r in trees.tree_distances(nodes, split, most).groupBy("first", "second", "distance").agg(F.count("*").alias("n")).collect()}
+        df = trees.tree_distance_counts(nodes, split, most)
+        assert {tuple(r) for r in df.collect()} == want and operators(df, "Join") == 0
+    assert len(want) > 20
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_identifiers_of_orders_meet_where_they_are(spark):
+    plan = QUERIES["id_tree_distance"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "points" not in plan and len([line for line in plan.splitlines() if "Exchange hashpartitioning" in line]) <= 4
