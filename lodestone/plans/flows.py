@@ -162,8 +162,10 @@ def tf_idf_words(files: DataFrame) -> DataFrame:
 
 def repos2coocc(nodes: DataFrame, least: int = 1, size: int | None = None, split: trees.Split = tokens.split_identifier) -> DataFrame:
     """Co-occurrences of the stems that ``least`` documents have, as ids of their vocabulary."""
-    words = stored(vocabulary(stemmed_bag(trees.identifier_bag(nodes, split)), least, size), "words")  # so that it is broadcast if it is small
-    return matrices.cooccurrence(tokens.stemmed(matrices.tree_contexts(nodes, split), "token"), words, context=("document", "at"))
+    found = matrices.Contexts(nodes, split, tokens.STEM_ABOVE)
+    df = frequencies.pruned(found.document_frequency(), least)
+    words = stored(frequencies.ordered(df if size is None else frequencies.greatest(df, size)), "words")  # so that it is broadcast if it is small
+    return found.cooccurrence(words)
 
 
 def repos2ids(files: DataFrame, with_frequencies: bool = True, split: bool = True) -> DataFrame:

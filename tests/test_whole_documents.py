@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import tokens, walks
-from lodestone.operators import trees
+from lodestone.operators import frequencies, matrices, trees
+from lodestone.plans import flows
 from lodestone.queries import QUERIES
 from lodestone.sources.nodes import order_nodes
 
@@ -99,6 +100,20 @@ def grown(spark, documents, n, seed):
     return spark.createDataFrame(rows, "document string, node_id long, token string, roles array<string>, ancestors array<long>").repartition(3)
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_contexts_with_the_same_identifiers_meet_once(spark, monkeypatch, block):
+    nodes, split = grown(spark, 8, 30, 1), tokens.split_identifier
+    same = nodes.where("document = 'd0'").withColumn("document", F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda k: F.concat(F.lit("copy"), k.cast("string")))))
+    nodes = nodes.unionByName(same)
+    want = {tuple(r) for r in matrices.cooccurrence(matrices.tree_contexts(nodes, split), context=("document", "at")).collect()}
+    found = matrices.Contexts(nodes, split)
+    assert {tuple(r) for r in found.cooccurrence(block=block).collect()} == want and len(want) > 10
+    made = found.alike.groupBy("whole").agg(F.count("*").alias("rows"), F.sum("times").alias("times")).collect()
+    assert all(r.rows < r.times / 4 for r in made) and {r.times for r in made if r.whole} == {nodes.where("document is not null and array_contains(roles, 'IDENTIFIER')").select("document").distinct().count()}
+    df = {tuple(r) for r in frequencies.document_frequency(flows.stemmed_bag(trees.identifier_bag(nodes.where("document is not null"), split))).collect()}
+    assert {tuple(r) for r in matrices.Contexts(nodes, split, tokens.STEM_ABOVE).document_frequency().collect()} == df and "" in {t for t, _ in df}
+
+
 def test_distances_of_alike_identifiers_are_counted_once(spark):
     nodes, split = grown(spark, 6, 40, 2), tokens.split_identifier
     for most in (1, 2, 3, 10):
