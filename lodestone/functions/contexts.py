@@ -34,7 +34,8 @@ def alike(part: pa.Table) -> pa.RecordBatch:
     nearest[of[named[last]]] = up[named[last]]
     second = (nearest >= 0) & (nearest != own)
     found: Counter[tuple[bool, bytes]] = Counter()
-    for whole, key, codes in ((False, np.concatenate([own, nearest[second]]), np.concatenate([code, code[second]])), (True, *np.unique(np.stack([document, code]), axis=1))):
+    once = np.unique(document << 32 | code.astype(np.int64))
+    for whole, key, codes in ((False, np.concatenate([own, nearest[second]]), np.concatenate([code, code[second]])), (True, once >> 32, once & 0xFFFFFFFF)):
         order = np.lexsort((codes, key))
         key, codes = key[order], codes[order].astype(np.int32)
         ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]

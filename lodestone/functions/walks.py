@@ -50,6 +50,8 @@ class Trees:
         key, up = document * len(rank) + at[: len(ids)], document * len(rank) + at[len(ids) :]
         first = np.concatenate([[True], key[1:] != key[:-1]])  # rows are in the order of documents and numbers
         known, row = key[first], np.cumsum(first) - 1
+        #: The node that each row of the part is.
+        self.row = row
         self.document, self.ids, self.kind = document[first], ids[first], kind[first]
         place = np.minimum(np.searchsorted(known, up), len(known) - 1)
         below = has & (known[place] == up)

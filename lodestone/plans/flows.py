@@ -5,15 +5,15 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import models
-from ..functions import lexers, tokens
+from ..functions import features, lexers, tokens
 from ..functions.scalars import document_name
 from ..operators import frequencies, matrices, trees
 from ..operators.relational import non_empty
-from ..session import stored
+from ..session import ship, stored
 
 WORD = "[A-Za-z]+"
 #: Bag makers by name: (namespace, nodes to bag).
@@ -61,6 +61,52 @@ def levels_of(nodes: DataFrame, partitions: int = 20) -> DataFrame:
     return trees.quantization_levels(histogram, partitions)
 
 
+class Features:
+    """Bags of identifiers, graphlets and children from one walk through the trees.
+
+    Documents lie one after the other, and tasks take whole ones; what a document has is counted there and stored once, for all documents
+    that have the same. Bags are of one document of those alike, which a digest of 128 bits stands for: ``documents`` has (document, alike), ``counts`` (alike, times, has).
+    Each distinct identifier is split once and its words stemmed, and levels come from the counts.
+    """
+
+    def __init__(self, nodes: DataFrame):
+        ship(nodes.sparkSession)
+        starts = F.row_number().over(Window.partitionBy("document").orderBy("node_id")) == 1
+        long = lambda c: F.col(c).cast("long").alias(c)
+        identifier = F.coalesce(trees.has_roles("IDENTIFIER"), F.lit(False))
+        rows = nodes.select("document", long("node_id"), long("parent_id"), "internal_type", F.when(identifier, F.col("token")).alias("token"), identifier.alias("identifier")).withColumn("starts", starts)
+        rows = rows.withColumn("document", F.when(F.col("starts"), F.col("document")))
+        has = "array<struct<kind:string,token:string,n_children:bigint,n:bigint>>"
+        found = stored(rows.mapInArrow(features.of_documents, f"document string, alike string, has {has}"), "features")
+        self.documents = found.select("document", "alike")
+        self.counts = stored(found.groupBy("alike").agg(F.first("has", ignorenulls=True).alias("has"), F.count("document").alias("times")), "alike")
+
+    def of(self, kind: str) -> DataFrame:
+        """(document, times, token, n_children, n), where a document stands for all that are alike."""
+        return self.counts.select(F.col("alike").alias("document"), "times", F.explode(F.filter("has", lambda x: x["kind"] == kind)).alias("x")).select("document", "times", "x.token", "x.n_children", "x.n")
+
+    def id(self, stem_above: int = tokens.STEM_ABOVE, least_length: int = tokens.LEAST_SPLIT, most_length: int = tokens.MOST_LENGTH) -> DataFrame:
+        if stem_above < 1:
+            raise ValueError("the length above which words are stemmed is at least 1")
+        words = F.when(F.col("identifier") == "", F.array(F.lit(""))).otherwise(tokens.split_identifier(F.col("identifier"), least=least_length, most=most_length))
+        names = tokens.stemmed(self.of("id").select(F.col("token").alias("identifier")).distinct().select("identifier", F.explode(words).alias("word")), "word", stem_above)
+        names = stored(names.groupBy("identifier", "word").agg(F.count("*").alias("m")), "names")  # so that they are broadcast if they are few
+        return self.of("id").join(names, F.col("token") == F.col("identifier")).select(F.col("word").alias("token"), "document", (F.col("n") * F.col("m")).alias("value"))
+
+    def graphlet(self) -> DataFrame:
+        return self.of("graphlet").select("token", "document", F.col("n").alias("value"))
+
+    def children(self, partitions: int = 20, levels: DataFrame | None = None) -> DataFrame:
+        found = self.of("children").withColumnRenamed("token", "internal_type")
+        if levels is None:
+            levels = stored(trees.quantization_levels(found.groupBy("internal_type", "n_children").agg(F.sum(F.col("n") * F.col("times")).alias("freq")), partitions), "levels")
+        return trees.leveled(found, levels).select("token", "document", F.col("n").alias("value"))
+
+    def bags(self, extractors: list[str], **options: dict) -> DataFrame:
+        """(token, document, value) with namespaces."""
+        return trees.combined(*[trees.with_namespace(getattr(self, e)(**options.get(e, {})), EXTRACTORS[e][0]) for e in extractors])
+
+
 def options_of(extractor: str) -> dict[str, int | float | str]:
     """The options of an extractor that a command line can give, with their defaults."""
     own = inspect.signature(EXTRACTORS[extractor][1]).parameters
@@ -129,28 +175,35 @@ def vocabulary(bags: DataFrame, least: int = 1, size: int | None = None) -> Data
     return frequencies.ordered(df if size is None else frequencies.greatest(df, size))
 
 
-def repos2bow(bags: DataFrame, least: int = 1, size: int | None = None, cache_hook=None, save_hook=None, words: DataFrame | None = None) -> DataFrame:
+def repos2bow(bags: DataFrame, least: int = 1, size: int | None = None, cache_hook=None, save_hook=None, words: DataFrame | None = None, found: Features | None = None) -> DataFrame:
     """TF-IDF rows (document, tokens, values) of bags, over their own vocabulary or a saved one (``words``).
 
-    ``cache_hook`` sees the term frequencies (and may persist them), ``save_hook`` the weighted bags.
+    ``cache_hook`` sees the term frequencies (and may persist them), ``save_hook`` the weighted bags. With ``found`` the documents of
+    the bags stand for all that are alike: these count in frequencies, and get the rows at the end.
     """
     tf = stored(frequencies.term_frequency(bags), "tf")  # read three times, made once
     if cache_hook:
         cache_hook(tf)
+    times = None if found is None else found.counts.select(F.col("alike").alias("document"), "times")
     if words is None:
         # a term frequency has a token of a document once
-        df = frequencies.pruned(tf.groupBy("token").agg(F.count("document").alias("freq")), least)
+        df = tf.groupBy("token").agg(F.count("document").alias("freq")) if times is None else tf.join(times, "document").groupBy("token").agg(F.sum("times").alias("freq"))
+        df = frequencies.pruned(df, least)
         words = stored(frequencies.ordered(df if size is None else frequencies.greatest(df, size)), "words")  # so that it is broadcast if it is small
-    n = frequencies.n_documents(tf)
-    weighted = _weighted(tf, words, n)
+    n = frequencies.n_documents(tf) if times is None else times.join(tf, "document", "left_semi").agg(F.sum("times").alias("ndocs"))
+    weighted = _weighted(tf, words, n, "token_id")
     if save_hook:
-        save_hook(weighted)
-    return matrices.bow_rows(weighted, words)
+        save_hook(weighted.drop("token_id"))
+    rows = matrices.rows_of_cells(weighted)
+    if found is None:
+        return rows
+    rows = stored(rows.withColumnRenamed("document", "alike"), "rows")  # so that they are broadcast if they are few
+    return found.documents.join(rows, "alike").select("document", "tokens", "values")
 
 
-def _weighted(tf: DataFrame, words: DataFrame, n: DataFrame) -> DataFrame:
-    counted = words.select("token", "freq").join(F.broadcast(n))  # one row
-    return tf.join(counted, "token").select("token", "document", frequencies.log_tf_log_idf(F.col("value"), F.col("freq"), F.col("ndocs")).alias("value"))
+def _weighted(tf: DataFrame, words: DataFrame, n: DataFrame, *more: str) -> DataFrame:
+    counted = words.select("token", "freq", *more).join(F.broadcast(n))  # one row
+    return tf.join(counted, "token").select("token", "document", *more, frequencies.log_tf_log_idf(F.col("value"), F.col("freq"), F.col("ndocs")).alias("value"))
 
 
 def tf_idf_words(files: DataFrame) -> DataFrame:

@@ -127,3 +127,18 @@ def test_distances_of_alike_identifiers_are_counted_once(spark):
 def test_identifiers_of_orders_meet_where_they_are(spark):
     plan = QUERIES["id_tree_distance"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "points" not in plan and len([line for line in plan.splitlines() if "Exchange hashpartitioning" in line]) <= 4
+
+
+def test_documents_alike_are_weighed_once(spark):
+    """Rows of all documents, as from the bags of each; the order of extractors and what is null do not matter."""
+    rng = random.Random(5)
+    schema = "document string, node_id long, parent_id long, internal_type string, token string, roles array<string>"
+    rows = [(f"d{d}", i, rng.randrange(i) if i else None, rng.choice("ABC"), rng.choice(["aName", "nameOfIdentifiers", "", None, "x_y"]), rng.choice([["IDENTIFIER"], ["LITERAL"]])) for d in range(12) for i in range(1 + d % 6)]
+    rows += [(f"copy{k}", *r[1:]) for r in rows if r[0] == "d5" for k in range(40)] + [("lost", 3, 77, "A", "aName", ["IDENTIFIER"]), ("lost", 4, 3, "B", None, ["IDENTIFIER"])]
+    nodes = spark.createDataFrame(rows, schema).repartition(3)
+    want = flows.repos2bow(flows.bags_of(nodes, ["id", "graphlet", "children"]), least=2)
+    found = flows.Features(nodes)
+    got = flows.repos2bow(found.bags(["children", "id", "graphlet"]), least=2, found=found)
+    cells = lambda df: sorted((r.document, r.tokens, [round(v, 9) for v in r["values"]]) for r in df.collect())
+    assert cells(got) == cells(want) and len(cells(got)) > 45
+    assert found.documents.count() == len({r[0] for r in rows}) and found.counts.count() <= 13 and found.counts.agg(F.max("times")).first()[0] >= 41
